@@ -5,11 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexloom.functions.instants import listing_norms
 from lexloom.operators.orphans import orphans, orphans_by_month
 from lexloom.tables import table
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    norms = listing_norms(table(spark, folder, "listings"), table(spark, folder, "sources"))
+    return norms.where("date is not null and date <> norm").select("id", "norm")
+
+
+def p4_precisions(spark: SparkSession, folder: str) -> DataFrame:
+    """How many listings of each source have a date of each precision after normalisation."""
+    norms = listing_norms(table(spark, folder, "listings"), table(spark, folder, "sources"))
+    shown = F.when(F.col("norm").isNull() | (F.col("norm") == "none"), "none").otherwise(F.element_at(F.create_map(*[F.lit(x) for kv in {4: "year", 7: "month", 10: "day", 20: "time"}.items() for x in kv]), F.length("norm")))
+    return norms.groupBy("source", shown.alias("shown")).agg(F.count("*").alias("listings"))
+
+
 def p7_links(spark: SparkSession, folder: str) -> DataFrame:
     return orphans(table(spark, folder, "links"), table(spark, folder, "docs"), table(spark, folder, "chunks"))
 
@@ -22,7 +36,7 @@ def p7_by_month(spark: SparkSession, folder: str) -> DataFrame:
     return orphans_by_month(p7_links(spark, folder))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_found": p7_found, "p7_by_month": p7_by_month}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_precisions": p4_precisions, "p7_found": p7_found, "p7_by_month": p7_by_month}
 
 PLAIN = r"""CASE WHEN regexp_matches(k0, '^gazette:[0-9]+/[0-9]$') THEN replace(k0, '/', '/0') ELSE k0 END"""
 
