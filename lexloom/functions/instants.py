@@ -113,53 +113,58 @@ def with_norms(df: DataFrame, text: str, precision: str, home_zone: str, date_or
     """
     pattern, rewrite = _pattern()
     cleaned = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(text), "[\\x{200b}-\\x{200d}\\x{feff}]", ""), SPACES, " "), "^ +| +$", ""))
-    have = set(df.columns)
-    own = lambda name: f"_{name}_of_date" if f"_{name}" in have else f"_{name}"
-    raw, part = own("raw"), own("part")
-    out = df.withColumn(raw, F.regexp_replace(cleaned, pattern, rewrite))
-    out = out.withColumn(part, F.when(F.col(raw).startswith("\u0002"), F.split(F.substring(raw, 2, 200), "\u0001")))
-    get = {name: F.when(F.col(part)[i] != "", F.col(part)[i]) for i, name in enumerate(PARTS)}
-
+    mark = "_d"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    col = lambda name: F.col(f"{mark}_{name}")
+    spark = df.sparkSession
+    zones = spark.createDataFrame([(z.lower(), z) for z in sorted(available_timezones())], f"{mark}_zone string, {mark}_rules string")
+    # One column a component: the optimizer keeps a column that is used again and again instead of writing it out in each place.
+    out = df.withColumn(f"{mark}_part", F.split(F.regexp_replace(cleaned, pattern, rewrite), "\u0001"))
+    at = {name: F.get(col("part"), F.lit(i)) for i, name in enumerate(PARTS)}
+    number = lambda name: at[name].try_cast("int")
     first_is_month = F.coalesce(F.lower(F.col(date_order)) == "mdy", F.lit(False))
-    written = get["y"].cast("int")
-    year = F.when(F.length(get["y"]) == 2, F.when(written + 1900 >= FIRST_YEAR, written + 1900).when(written + 2000 <= LAST_YEAR, written + 2000)).otherwise(written)
-    month = F.coalesce(get["mo"].cast("int"), _month_number(get["mon"]), F.when(first_is_month, get["p"].cast("int")).otherwise(get["q"].cast("int")))
-    day = F.coalesce(get["d"].cast("int"), F.when(first_is_month, get["q"].cast("int")).otherwise(get["p"].cast("int")))
-    names_month = F.coalesce(get["mo"], get["mon"], get["p"]).isNotNull()
-    names_day = F.coalesce(get["d"], get["p"]).isNotNull()
-    hour12 = get["h"].cast("int")
-    hour = F.when(get["half"].isNull(), hour12).when((hour12 >= 1) & (hour12 <= 12), F.pmod(hour12, F.lit(12)) + F.when(get["half"] == "p", 12).otherwise(0))
-    zones = {z.lower(): z for z in sorted(available_timezones()) if "/" in z}
-    zone_names = F.create_map(*[F.lit(x) for kv in zones.items() for x in kv])
-    c = own("date")
-    out = out.withColumn(c, F.when(F.col(part).isNotNull(), F.struct(
-        year.alias("y"), month.alias("mo"), day.alias("d"), names_month.alias("has_mo"), names_day.alias("has_d"),
-        get["h"].isNotNull().alias("has_time"), hour.alias("h"), get["m"].cast("int").alias("m"), F.coalesce(get["s"].cast("int"), F.lit(0)).alias("s"),
-        get["off"].alias("off"), get["zone"].alias("zone"), get["n"].cast("long").alias("n"))))
-    f = lambda name: F.col(f"{c}.{name}")
-    dated = f("y").isNotNull() & (f("y") >= 1) & (~f("has_mo") | F.coalesce(f("mo").between(1, 12), F.lit(False))) & (~f("has_d") | F.coalesce(f("d").between(1, days_in_month(f("y"), f("mo"))), F.lit(False)))
-    timed = ~f("has_time") | (F.coalesce(f("h").between(0, 23), F.lit(False)) & f("m").between(0, 59) & f("s").between(0, 59))
-    said = F.lower(F.col(precision))
-    local = days_from_civil(f("y"), f("mo"), f("d")) * 86400 + f("h") * 3600 + f("m") * 60 + f("s")
-    home = F.lower(F.col(home_zone))
-    zone = F.when(f("zone").isNotNull(), F.try_element_at(zone_names, f("zone"))).when(home.isin("utc", "gmt"), "UTC").otherwise(F.try_element_at(zone_names, home))
-    instant = F.when(f("off").isNotNull(), local - _offset_seconds(f("off"))).when(zone.isNotNull(), F.unix_timestamp(F.to_utc_timestamp(F.timestamp_seconds(local), zone)))
-    counted = F.when(f("n") >= MILLISECONDS_FROM, F.floor(f("n") / 1000)).otherwise(f("n"))
-    s = own("seconds")
-    out = out.withColumn(s, F.when(f("n").isNotNull(), F.when(counted < 253_402_300_800, counted)).when(dated & timed & f("has_time"), instant).cast("long"))
-    utc = utc_text(F.col(s))
-    ymd = F.format_string("%04d-%02d-%02d", f("y"), f("mo"), f("d"))
+    read = {
+        "parsed": F.size(col("part")) == len(PARTS),
+        "digits": F.length(F.regexp_replace(at["y"], "\u0002", "")),
+        "year": F.regexp_replace(at["y"], "\u0002", "").try_cast("int"),
+        "month": F.coalesce(number("mo"), _month_number(at["mon"]), F.when(first_is_month, number("p")).otherwise(number("q"))),
+        "day": F.coalesce(number("d"), F.when(first_is_month, number("q")).otherwise(number("p"))),
+        "has_month": (at["mo"] != "") | (at["mon"] != "") | (at["p"] != ""),
+        "has_day": (at["d"] != "") | (at["p"] != ""),
+        "has_time": at["h"] != "",
+        "hour": number("h"),
+        "minute": number("m"),
+        "second": F.coalesce(number("s"), F.lit(0)),
+        "half": at["half"],
+        "offset": at["off"],
+        "count": at["n"].try_cast("long"),
+        "zone": F.coalesce(F.nullif(at["zone"], F.lit("")), F.lower(F.col(home_zone))),
+        "said": F.lower(F.col(precision)),
+    }
+    out = out.select(*df.columns, *[e.alias(f"{mark}_{n}") for n, e in read.items()])
+    short = F.when(col("year") + 1900 >= FIRST_YEAR, col("year") + 1900).when(col("year") + 2000 <= LAST_YEAR, col("year") + 2000)
+    out = out.withColumn(f"{mark}_year", F.when(col("digits") == 2, short).otherwise(col("year")))
+    out = out.withColumn(f"{mark}_hour", F.when(col("half") == "", col("hour")).when(col("hour").between(1, 12), F.pmod(col("hour"), F.lit(12)) + F.when(col("half") == "p", 12).otherwise(0)))
+    out = out.join(F.broadcast(zones), f"{mark}_zone", "left")
+    dated = (col("year") >= 1) & (~col("has_month") | col("month").between(1, 12)) & (~col("has_day") | col("day").between(1, days_in_month(col("year"), col("month"))))
+    timed = ~col("has_time") | (col("hour").between(0, 23) & col("minute").between(0, 59) & col("second").between(0, 59))
+    out = out.withColumn(f"{mark}_valid", F.coalesce(col("parsed") & dated & timed, F.lit(False)))
+    out = out.withColumn(f"{mark}_local", F.when(col("valid") & col("has_time"), days_from_civil(col("year"), col("month"), col("day")) * 86400 + col("hour") * 3600 + col("minute") * 60 + col("second")).cast("long"))
+    instant = F.when(col("offset") != "", col("local") - _offset_seconds(col("offset"))).otherwise(F.unix_timestamp(F.to_utc_timestamp(F.timestamp_seconds(col("local")), col("rules"))))
+    counted = F.when(col("count") >= MILLISECONDS_FROM, F.floor(col("count") / 1000)).otherwise(col("count"))
+    out = out.withColumn(f"{mark}_seconds", F.when(col("count").isNotNull(), F.when(counted < 253_402_300_800, counted)).otherwise(instant).cast("long"))
+    out = out.withColumn(f"{mark}_utc", utc_text(col("seconds")))
     norm = (
         F.when(F.col(text).isNull(), None)
-        .when(F.col(c).isNull(), "none")
-        .when(f("n").isNotNull(), F.substring(utc, 1, F.when(said == "year", 4).when(said == "day", 10).otherwise(20)))
-        .when(~dated | ~timed, "none")
-        .when(~f("has_mo") | (said == "year"), F.format_string("%04d", f("y")))
-        .when(~f("has_d"), F.format_string("%04d-%02d", f("y"), f("mo")))
-        .when(~f("has_time") | (said == "day"), ymd)
-        .otherwise(utc)
+        .when(col("count").isNotNull(), F.substring(col("utc"), F.lit(1), F.when(col("said") == "year", 4).when(col("said") == "day", 10).otherwise(20)))
+        .when(~col("valid"), "none")
+        .when(~col("has_month") | (col("said") == "year"), F.format_string("%04d", col("year")))
+        .when(~col("has_day"), F.format_string("%04d-%02d", col("year"), col("month")))
+        .when(~col("has_time") | (col("said") == "day"), F.format_string("%04d-%02d-%02d", col("year"), col("month"), col("day")))
+        .otherwise(col("utc"))
     )
-    return out.withColumn(to, F.when(F.col(text).isNotNull(), F.coalesce(norm, F.lit("none")))).drop(raw, part, c, s)
+    return out.select(*df.columns, F.when(F.col(text).isNotNull(), F.coalesce(norm, F.lit("none"))).alias(to))
 
 
 def listing_norms(listings: DataFrame, sources: DataFrame) -> DataFrame:

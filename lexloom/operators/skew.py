@@ -10,13 +10,14 @@ HOT_ROWS = 200_000
 
 
 def spread_join(big: DataFrame, small: DataFrame, key: str, rows: str, payload: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Left join of big with small, which has one row a key and in column `rows` the number of rows that big has of it.
+    """Left join of big with small, which has one row a key (its first column) and in column `rows` the number of rows that big has of it.
 
     Hot keys, of which there are few by their definition, meet their rows by broadcast, and those rows enter the shuffle
     under a null key spread by their hash, so that no task gets them all. All other keys join by shuffle.
     """
-    hot = small.where(F.col(rows) >= hot_rows).select(F.col(key).alias("_hot"), F.struct(*payload).alias("_hot_row"))
-    cold = small.where(F.col(rows) < hot_rows).select(F.col(key).alias("_cold"), F.lit(0).alias("_spread"), F.struct(*payload).alias("_cold_row"))
+    own = small.columns[0]
+    hot = small.where(F.col(rows) >= hot_rows).select(F.col(own).alias("_hot"), F.struct(*payload).alias("_hot_row"))
+    cold = small.where(F.col(rows) < hot_rows).select(F.col(own).alias("_cold"), F.lit(0).alias("_spread"), F.struct(*payload).alias("_cold_row"))
     met = big.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
     met = met.withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(1 << 16)).cast("int")))
     joined = met.join(cold, (F.col(key) == F.col("_cold")) & (F.col("_salt") == F.col("_spread")), "left")
