@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,17 +12,36 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared folder (spark.checkpoint.dir); only a session without one gets a folder of its own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; only a session without one gets a folder of its own."""
     context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexloom-"))
+    if not context.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-"))
+    return context.getCheckpointDir().get()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files: survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and go on from it: the lineage ends there, and lost executors lose nothing.
 
+    checkpoint() would also carry on the estimates of size, which multiply from join to join until, after some dozen steps,
+    planning takes longer than running; a table has its own size. It is deleted at the end of the application or by drop().
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _path(spark, path)[1].deleteOnExit(_path(spark, path)[0])
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, *cuts: DataFrame) -> None:
+    """Delete tables of cut() that nothing will read any more."""
+    for df in cuts:
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path, system = _path(spark, folder)
+            system.delete(path, True)
+
+
+def _path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
