@@ -9,10 +9,47 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.keys import plain_key, tidy
 from lexloom.llm.groups import components
+from lexloom.llm.leaks import WORDS, leaks
+from lexloom.llm.splitting import split_texts
+from lexloom.llm.survivors import claims, survivors, truth_discovery
 from lexloom.llm.tokens import token_ids
 from lexloom.tables import table
 
 
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_texts(table(spark, folder, "chunks"), table(spark, folder, "size_limits"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = split_texts(table(spark, folder, "chunks"), table(spark, folder, "size_limits"), keep_whole=False)
+    return pieces.where("piece = 1").select("id", "how")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors(table(spark, folder, "listings"), table(spark, folder, "sources"), table(spark, folder, "documents")).drop("listings")
+
+
+def p3_truth(spark: SparkSession, folder: str) -> DataFrame:
+    """The surviving record of each document as voted by the sources, weighted by their reliability."""
+    best, _ = truth_discovery(claims(table(spark, folder, "listings"), table(spark, folder, "sources")))
+    value = lambda field: F.max(F.when(F.col("field") == field, F.col("value"))).alias(field)
+    return best.groupBy("doc_key").agg(value("title"), value("date"), value("language"))
+
+
+def p3_reliability(spark: SparkSession, folder: str) -> DataFrame:
+    _, known = truth_discovery(claims(table(spark, folder, "listings"), table(spark, folder, "sources")))
+    return known.select("source", F.round("reliability", 3).alias("reliability"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).where(F.col("words") >= WORDS).select("doc_id", "item_id")
+
+
+def p9_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a passage whose numbers, names or units are changed throughout."""
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).where((F.col("words") < WORDS) & (F.col("alike") >= WORDS)).select("doc_id", "item_id", "alike")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     links = table(spark, folder, "links").where(tidy(F.col("kind")) == "same_as")
     pairs = links.select(plain_key(F.col("src_doc")).alias("a"), plain_key(F.col("dst_doc")).alias("b"))
@@ -24,11 +61,29 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p3_found": p3_found,
+    "p3_truth": p3_truth,
+    "p3_reliability": p3_reliability,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_templates": p9_templates,
 }
 
 ORACLE: dict[str, str] = {
+    "p1_found": r"""
+SELECT c.id, CASE WHEN list_max(list_transform(regexp_split_to_array(c.text, '[ \t\r\n\x{a0}]+'), lambda w: length(w))) > l.max_chars THEN 'hard' ELSE 'natural' END AS how
+FROM chunks c JOIN size_limits l ON l.kind = coalesce(c.kind, '*') WHERE length(c.text) > l.max_chars
+""",
+    "p9_found": r"""
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, text AS t FROM documents UNION ALL SELECT 'i', item_id, passage FROM eval_items),
+n AS (SELECT side, id, list_filter(string_split_regex(regexp_replace(lower(t), '[^\p{L}\p{M}\p{Nd}\s]', '', 'g'), '\s+'), lambda x: x <> '') AS ws FROM w WHERE t IS NOT NULL),
+g AS (SELECT side, id, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS gram FROM n WHERE len(ws) >= 13)
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON i.gram = d.gram WHERE d.side = 'd' AND i.side = 'i'
+""",
     "p6_found": r"""
 WITH RECURSIVE e0 AS (
   SELECT CASE WHEN regexp_matches(s0, '^gazette:[0-9]+/[0-9]$') THEN replace(s0, '/', '/0') ELSE s0 END AS s,
