@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.keys import plain_key, tidy
 from lexloom.llm.groups import components
+from lexloom.llm.languages import languages_of, wrong_labels
 from lexloom.llm.leaks import WORDS, leaks
 from lexloom.llm.splitting import split_texts
 from lexloom.llm.survivors import claims, survivors, truth_discovery
@@ -25,6 +26,16 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.where("piece = 1").select("id", "how")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return wrong_labels(languages_of(table(spark, folder, "listings")))
+
+
+def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every segment of every listing with its language and a confidence."""
+    told = languages_of(table(spark, folder, "listings"))
+    return told.select("id", F.posexplode("segments").alias("segment", "s")).select("id", "segment", "s.text", "s.language", "s.confidence")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivors(table(spark, folder, "listings"), table(spark, folder, "sources"), table(spark, folder, "documents")).drop("listings")
 
@@ -63,6 +74,8 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_segments": p2_segments,
     "p3_found": p3_found,
     "p3_truth": p3_truth,
     "p3_reliability": p3_reliability,
