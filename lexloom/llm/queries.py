@@ -14,6 +14,7 @@ from lexloom.llm.leaks import WORDS, leaks
 from lexloom.llm.splitting import split_texts
 from lexloom.llm.survivors import claims, survivors, truth_discovery
 from lexloom.llm.tokens import token_ids
+from lexloom.llm.truncation import by_source, truncated
 from lexloom.tables import table
 
 
@@ -71,6 +72,14 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_ids(table(spark, folder, "documents"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncated(table(spark, folder, "documents")).where("cut").select("doc_id").distinct()
+
+
+def p10_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    return by_source(truncated(table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -83,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_templates": p9_templates,
+    "p10_found": p10_found,
+    "p10_by_source": p10_by_source,
 }
 
 ORACLE: dict[str, str] = {
