@@ -10,10 +10,8 @@ re-parameterised passage has.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,23 +25,30 @@ ITEMS = 20_000
 UNITS = frozenset("rs rupees rupee cents ha hectares hectare acres acre perches metres metre km kilometres feet days day weeks week months month years year percent".split())
 
 
-@lru_cache(1)
-def _dropped() -> re.Pattern[str]:
-    """Characters other than letters, marks, decimal digits and white space."""
-    runs, start = [], None
-    for i in range(sys.maxunicode + 2):
-        c = chr(i) if i <= sys.maxunicode else " "
-        out = not (c.isspace() or (k := unicodedata.category(c))[0] in "LM" or k == "Nd")
-        if out and start is None:
-            start = i
-        elif not out and start is not None:
-            runs.append(f"\\U{start:08x}-\\U{i - 1:08x}")
-            start = None
-    return re.compile("[" + "".join(runs) + "]+")
+class _Cleaner:
+    """Drops characters other than letters, marks, decimal digits and white space: one small class of those met so far."""
+
+    def __init__(self) -> None:
+        self.kept: set[str] = set()
+        self.dropped: set[str] = set()
+        self.pattern = re.compile("(?!)")
+
+    def __call__(self, text: str) -> str:
+        new = set(text) - self.kept - self.dropped
+        if new:
+            drop = {c for c in new if not (c.isspace() or (kind := unicodedata.category(c))[0] in "LM" or kind == "Nd")}
+            self.kept |= new - drop
+            if drop:
+                self.dropped |= drop
+                self.pattern = re.compile("[" + "".join(f"\\U{ord(c):08x}" for c in sorted(self.dropped)) + "]+")
+        return self.pattern.sub("", text)
+
+
+_clean = _Cleaner()
 
 
 def words(text: str) -> list[str]:
-    return _dropped().sub("", text.lower()).split()
+    return _clean(text.lower()).split()
 
 
 def names_in(passages: list[str]) -> frozenset[str]:
