@@ -11,6 +11,7 @@ from lexloom.functions.keys import plain_key, tidy
 from lexloom.llm.groups import components
 from lexloom.llm.languages import languages_of, wrong_labels
 from lexloom.llm.leaks import WORDS, leaks
+from lexloom.llm.scans import repaired
 from lexloom.llm.splitting import split_texts
 from lexloom.llm.survivors import claims, survivors, truth_discovery
 from lexloom.llm.tokens import token_ids
@@ -62,6 +63,16 @@ def p9_templates(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).where((F.col("words") < WORDS) & (F.col("alike") >= WORDS)).select("doc_id", "item_id", "alike")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = repaired(table(spark, folder, "chunks"), table(spark, folder, "docs"), with_text=False)
+    return found.select("id", F.explode("noise").alias("noise")).distinct()
+
+
+def p5_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks as continuous paragraphs."""
+    return repaired(table(spark, folder, "chunks"), table(spark, folder, "docs")).select("id", "text")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     links = table(spark, folder, "links").where(tidy(F.col("kind")) == "same_as")
     pairs = links.select(plain_key(F.col("src_doc")).alias("a"), plain_key(F.col("dst_doc")).alias("b"))
@@ -88,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_truth": p3_truth,
     "p3_reliability": p3_reliability,
+    "p5_found": p5_found,
+    "p5_text": p5_text,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
