@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import dealt
+from lexloom.plans import dealt, graph
 
-MODULES = [dealt]
+MODULES = [dealt, graph]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["p7_found"](spark, folder)
+    return QUERIES["resolve_links"](spark, folder)
