@@ -58,7 +58,7 @@ def lifetimes(parents: DataFrame) -> DataFrame:
     begins covers nothing but still counts as built. A null built_at never exists.
     """
     key = ["field", "family", "n"]
-    lives = parents.where("built_at is not null").select(*key, "built_at", F.coalesce("removed_at", F.lit("9999-12-31 00:00:00").cast("timestamp")).alias("ends"))
+    lives = parents.where("built_at is not null").select(*key, "built_at", F.coalesce("removed_at", F.lit("9999-12-31 00:00:00").cast(parents.schema["removed_at"].dataType)).alias("ends"))
     lives = lives.groupBy(*key, "built_at").agg(F.max("ends").alias("ends"))
     order = Window.partitionBy(*key).orderBy("built_at")
     reach = F.max("ends").over(order.rowsBetween(Window.unboundedPreceding, -1))
