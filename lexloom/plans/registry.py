@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import catalog, dealt, graph, search, usage
+from lexloom.plans import catalog, corpus, dealt, graph, search, usage
 
-MODULES = [dealt, graph, usage, search, catalog]
+MODULES = [dealt, graph, usage, search, catalog, corpus]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

@@ -29,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _path(spark, path)[1].deleteOnExit(_path(spark, path)[0])
+    path_of(spark, path)[1].deleteOnExit(path_of(spark, path)[0])
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -37,11 +37,11 @@ def drop(spark: SparkSession, *cuts: DataFrame) -> None:
     """Delete tables of cut() that nothing will read any more."""
     for df in cuts:
         for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-            path, system = _path(spark, folder)
+            path, system = path_of(spark, folder)
             system.delete(path, True)
 
 
-def _path(spark: SparkSession, path: str):
+def path_of(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     own = jvm.org.apache.hadoop.fs.Path(path)
     return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
