@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.keys import SPACES
 from lexloom.operators.skew import spread_join
 from lexloom.tables import cut
 
@@ -143,8 +142,11 @@ def sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def endings(documents: DataFrame) -> DataFrame:
     """(doc_id, doc_key, source, how, last_line) of every document whose text isn't null or blank."""
-    text = F.regexp_replace("text", SPACES + "$", "")
-    core = F.regexp_replace(text, r"(?i)\s*(\.{2,}|…|\[(\.{2,}|…)\]|&#?\w{0,8}|�+|[-¬\x{ad}])$", "")
+    # The ends of texts are looked at by themselves: a pattern tried at each place of a long text costs more than the sort.
+    text = F.rtrim("text", F.lit(" \t\r\n\u00a0\u3000"))
+    tail = F.substring(text, -14, 14)
+    sign = F.length(tail) - F.length(F.regexp_replace(tail, r"(?i)\s*(\.{2,}|…|\[(\.{2,}|…)\]|&#?\w{0,8}|�+|[-¬\x{ad}])$", ""))
+    core = F.substring(text, F.lit(1), F.length(text) - sign)
     rows = documents.where(F.col("text").rlike(r"[^\s\x{a0}]")).select("doc_id", "doc_key", "source", "title", core.alias("core"), F.substring(text, -2000, 2000).alias("text"))
     rows = rows.orderBy("core", "doc_id")
     schema = "doc_id long, doc_key string, source string, how string, last_line string, state string, part int, core string"
