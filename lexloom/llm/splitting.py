@@ -89,7 +89,7 @@ def split_texts(df: DataFrame, limits: DataFrame, keep_whole: bool = True) -> Da
     texts = df.select("id", "kind", "label", "text").where("text is not null").withColumn("_one", F.lit(1))
     texts = texts.join(own, F.col("kind") == F.col("_kind"), "left").join(F.broadcast(star), "_one", "left")
     texts = texts.select("id", "label", "text", F.coalesce("max_chars", "_star_max").cast("int").alias("limit"), F.coalesce(F.when(F.col("max_chars").isNotNull(), F.col("overlap_chars")), F.col("_star_overlap"), F.lit(0)).cast("int").alias("overlap"))
-    over = F.coalesce(F.char_length("text") > F.greatest(F.col("limit"), F.lit(1)), F.lit(False))
+    over = F.col("limit").isNotNull() & (F.char_length("text") > F.greatest(F.col("limit"), F.lit(1)))
     schema = "id string, piece int, start int, text string, label string, limit int, how string"
     pieces = texts.where(over).mapInArrow(_split_batches, schema)
     if not keep_whole:

@@ -68,8 +68,8 @@ def truth_discovery(said: DataFrame, rounds: int = 10, enough: float = 1e-3) ->
     """(doc_key, field, value, support) with the highest-supported value of each field, and (source, reliability).
 
     In turn, a value's support is the sum of the log odds of the sources that claim it, and a source's reliability the share
-    of its claims that are the best supported, until no reliability moves by more than `enough`. Claims without a rival tell
-    nothing of a source and are left out of its reliability. Ties go to the value that comes last by bytes. No claims, no rows.
+    of its claims that are the best supported, until no reliability moves by more than `enough`. Claims without a rival, and
+    those of values that tie, tell nothing of a source and are left out of its reliability. Ties go to the value that comes last by bytes. No claims, no rows.
     """
     spark = said.sparkSession
     said = cut(said)
@@ -77,8 +77,8 @@ def truth_discovery(said: DataFrame, rounds: int = 10, enough: float = 1e-3) ->
     for _ in range(rounds):
         odds = F.log(F.col("reliability") / (1 - F.col("reliability")))
         votes = said.join(known, "source").groupBy("doc_key", "field", "value").agg(F.sum(F.greatest(odds, F.lit(0.01))).alias("support"))
-        best = votes.groupBy("doc_key", "field").agg(F.max(F.struct("support", "value")).alias("best"), F.count("*").alias("rivals"))
-        judged = said.join(best.where("rivals > 1"), ["doc_key", "field"]).groupBy("source").agg(((F.sum((F.col("value") == F.col("best.value")).cast("int")) + 4) / (F.count("*") + 5)).alias("now"))
+        best = votes.groupBy("doc_key", "field").agg(F.max(F.struct("support", "value")).alias("best"), F.min(F.struct((-F.col("support")).alias("s"), F.col("value"))).alias("same"), F.count("*").alias("rivals"))
+        judged = said.join(best.where("rivals > 1 and best.value = same.value"), ["doc_key", "field"]).groupBy("source").agg(((F.sum((F.col("value") == F.col("best.value")).cast("int")) + 4) / (F.count("*") + 5)).alias("now"))
         after = cut(known.join(judged, "source", "left").select("source", F.least(F.coalesce("now", "reliability"), F.lit(0.99)).alias("reliability"), F.abs(F.coalesce("now", "reliability") - F.col("reliability")).alias("moved")))
         moved = after.agg(F.max("moved")).first()[0]
         drop(spark, known)
