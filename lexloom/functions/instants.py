@@ -173,6 +173,10 @@ def listing_norms(listings: DataFrame, sources: DataFrame) -> DataFrame:
     sources is a small reference table with one row a source; a repeated source counts by its smallest zone and order, and a
     source that has no row is taken to write dmy and to name every zone: its moments without a zone are `none`.
     """
-    rules = sources.where("source is not null").groupBy(F.col("source").alias("_source")).agg(F.min("home_zone").alias("_home_zone"), F.min("date_order").alias("_date_order"))
-    joined = listings.join(rules, F.col("source") == F.col("_source"), "left")
-    return with_norms(joined, "date", "date_precision", "_home_zone", "_date_order").drop("_source", "_home_zone", "_date_order")
+    mark = "_of_source"
+    while any(c.endswith(mark) for c in listings.columns):
+        mark += "_"
+    source, zone, order = f"source{mark}", f"zone{mark}", f"order{mark}"
+    rules = sources.where("source is not null").groupBy(F.col("source").alias(source)).agg(F.min("home_zone").alias(zone), F.min("date_order").alias(order))
+    joined = listings.join(rules, F.col("source") == F.col(source), "left")
+    return with_norms(joined, "date", "date_precision", zone, order).drop(source, zone, order)

@@ -67,11 +67,11 @@ def dense(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int,
     return out.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def terms(df: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, term, tf, length): lower-case runs of letters and digits of each text."""
+def tokens(df: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, length, term): every lower-case run of letters and digits of each text, with the number of the text's runs."""
     words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}\p{Nd}]+", " ")), " "), lambda w: w != "")
     listed = df.where(F.col(text).isNotNull()).select(F.col(id_).alias("id"), words.alias("words"))
-    return listed.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return listed.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, id_: str = "id", text: str = "text", query_id: str = "query", query_text: str = "words") -> DataFrame:
@@ -79,9 +79,8 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, id_: str = "id", text: s
 
     Only terms that some query has leave the index, so a frequent word that no query asks for isn't shuffled.
     """
-    index = terms(corpus, id_, text)
-    asked = terms(queries, query_id, query_text).select(F.col("id").alias("query"), "term")
-    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
+    asked = tokens(queries, query_id, query_text).select(F.col("id").alias("query"), "term").distinct()
+    wanted = tokens(corpus, id_, text).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     size = corpus.where(F.col(text).isNotNull()).select(F.size(F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}\p{Nd}]+", " ")), " "), lambda w: w != "")).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
     spread = wanted.groupBy("term").agg(F.count("*").alias("df"))
     weighed = spread.join(F.broadcast(size)).select("term", F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
