@@ -1,17 +1,20 @@
 """Noise in text from scanned pages, and the continuous text without it.
 
-The lines of a text are labelled body, break, header or page by a hidden Markov model whose emissions are layout features of a
+The lines of a text are labelled body, break, header or page by a linear-chain conditional model over layout features of a
 line: how it agrees with the document's title, whether it is a number with the signs around page numbers, how the lines
-around it begin and end. Paragraphs are put together again from the body lines. Broken and misread words are told by the
+around it begin and end. It is fitted to texts of the corpus set as printed pages, of which the labels are known. Paragraphs are put together again from the body lines. Broken and misread words are told by the
 counts of words over the whole corpus: a rare word that a usual misreading makes of a word many times as frequent.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
+import textwrap
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -45,7 +48,7 @@ NUMBERS = re.compile(r"^[\s0-9.,;:()-]+$")
 BESIDE = re.compile(r"^(?:[\s|–—-]*([0-9]{1,4})[\s|–—-]{1,}(?=\D))?(.*?)(?:[\s|–—-]+([0-9]{1,4})[\s|–—-]*)?$", re.DOTALL)
 #: A number after these belongs to the sentence; a title after these is cited.
 TAKES_NUMBER = re.compile(r"(?:\brs\.?|\bnos?\.?|(?<!-)\bsections?|\bpages?|\bchapter|\bact|\bparagraphs?|\bform)$", re.IGNORECASE)
-CITES = re.compile(r"(?:cited|known|called|referred to|entitled|titled)(?:\s+as)?(?:\s+the)?[\s“\"‘']*$", re.IGNORECASE)
+CITES = re.compile(r"(?:cited|known|called|referred to|entitled|titled)(?:\s+as)?(?:\s+t(?:he|be|lie))?[\s“\"‘']*$", re.IGNORECASE)
 SENTENCE_END = re.compile(r"[.!?:;][\"'”’)\]]*$")
 
 
@@ -131,8 +134,6 @@ class Words:
 
 
 BODY, BREAK, HEADER, PAGE_LINE = range(4)
-#: Log odds of the next line's label (columns) by this line's (rows): running heads and page numbers stand together and are rare.
-MOVES = [[math.log(p) for p in row] for row in ((0.90, 0.07, 0.02, 0.01), (0.86, 0.06, 0.05, 0.03), (0.70, 0.08, 0.02, 0.20), (0.70, 0.08, 0.20, 0.02))]
 
 
 @lru_cache(50_000)
@@ -166,85 +167,172 @@ def agrees(line: str, title: str | None) -> tuple[float, bool]:
     return best
 
 
-def label_lines(lines: list[str], title: str | None) -> list[tuple[int, bool]]:
-    """(label, whether a page number stands beside) of each line, by the best path through the model."""
+#: What a line can show. Those of titles and pages are told only of lines that may be one.
+FEATURES = [
+    "blank", "text", "title", "title_whole", "title_beside", "title_capitals", "title_breaks_sentence", "title_cited", "title_stopped", "title_goes_on", "title_then_stop",
+    "page", "page_signs", "page_plain", "page_breaks_sentence", "page_signs_near_number", "page_plain_near_number", "page_plain_taken", "page_plain_after_colon", "page_in_brackets",
+]
+_AT = {f: i for i, f in enumerate(FEATURES)}
+#: Texts and titles from which the line model is fitted, and rounds of fitting.
+SAMPLE_TEXTS, ROUNDS = 800, 6
+
+
+def line_features(lines: list[str], title: str | None) -> list[list[int]] | None:
+    """The features of each line; None where no line can be a header or page number, so that nothing is to be decided."""
     n = len(lines)
     bare = [x.strip() for x in lines]
     told = [agrees(x, title) if i and x else (0.0, False) for i, x in enumerate(bare)]
     paged = [bool(x) and bool(PAGE.match(x)) for x in bare]
     if not any(paged) and not any(t[0] for t in told):
-        return [(BODY if x else BREAK, False) for x in bare]
+        return None
     before: list[str] = []
     last = ""
     for i, x in enumerate(bare):
         before.append(last)
         if x and not paged[i] and not told[i][0]:
             last = x
-    after = [""] * n
-    following = ""
-    for i in range(n - 1, -1, -1):
-        after[i] = following
-        if bare[i] and not paged[i] and not told[i][0]:
-            following = bare[i]
     near = [x for x in bare if x]
-    where = {}
-    k = 0
-    for i, x in enumerate(bare):
-        if x:
-            where[i] = k
-            k += 1
-    scores = []
+    out, k = [], -1
     for i, x in enumerate(bare):
         if not x:
-            scores.append((-9.0, 0.0, -30.0, -30.0))
+            out.append([_AT["blank"]])
             continue
-        open_before = bool(before[i]) and not SENTENCE_END.search(before[i])
-        header, page = -12.0, -12.0
+        k += 1
+        breaks = bool(before[i]) and not SENTENCE_END.search(before[i])
+        after = bare[i + 1] if i + 1 < n else ""
+        own = []
         if told[i][0]:
-            header = 4.0 + 3.0 * told[i][0] + (2.0 if told[i][1] else 0.0) + (1.0 if x.isupper() else 0.0) + (2.0 if open_before else 0.0)
-            next_line = bare[i + 1] if i + 1 < n else ""
             # "cited as" before and "the" after: what lies between isn't what is cited.
-            cited = bool(CITES.search(before[i])) and not (re.match(r"t(?:he|be|lie)\b", next_line) and not re.search(r"\bt(?:he|be|lie)$", before[i])) or x[-1] in ".,;”"
+            cited = bool(CITES.search(before[i])) and not (re.match(r"t(?:he|be|lie)\b", after) and not re.search(r"\bt(?:he|be|lie)$", before[i]))
             rest = _bare(title or "")[len(_bare(x)) :]
-            if cited or (rest and next_line and _bare(next_line)[: len(rest)] == rest) or re.match(r"^[.,;”]", next_line):
-                header -= 12.0
+            own += ["title"] + [f for f, on in (
+                ("title_whole", told[i][0] > 0.99), ("title_beside", told[i][1]), ("title_capitals", x.isupper()), ("title_breaks_sentence", breaks), ("title_cited", cited),
+                ("title_stopped", x[-1] in ".,;”"), ("title_goes_on", bool(rest and after and _bare(after)[: len(rest)] == rest)), ("title_then_stop", bool(re.match(r"^[.,;”]", after)))) if on]
         if paged[i]:
-            decorated = not PLAIN_NUMBER.match(x)
-            page = 6.0 + (3.0 if decorated else 0.0) + (1.5 if open_before else 0.0)
-            j = where[i]
-            sides = [near[j - 1] if j else "", near[j + 1] if j + 1 < len(near) else ""]
-            if any(NUMBERS.match(s) for s in sides if s):
-                page -= 12.0 if not decorated else 6.0
-            if not decorated and (TAKES_NUMBER.search(before[i]) or before[i].endswith(":")):
-                page -= 8.0
-            if re.match(r"^\(?[0-9]{1,3}\)$", x):
-                page -= 12.0
-        scores.append((0.0, -20.0, header, page))
-    value = list(scores[0])
-    back = []
-    for i in range(1, n):
-        step, origin = [], []
-        for s in range(4):
-            best = max(range(4), key=lambda r: value[r] + MOVES[r][s])
-            step.append(value[best] + MOVES[best][s] + scores[i][s])
-            origin.append(best)
-        back.append(origin)
-        value = step
-    path = [max(range(4), key=lambda s: value[s])]
-    for origin in reversed(back):
-        path.append(origin[path[-1]])
-    path.reverse()
-    return [(s, s == HEADER and told[i][1]) for i, s in enumerate(path)]
-
-
-def repair(text: str, title: str | None, words: Words) -> tuple[str, list[str]]:
+            signs = not PLAIN_NUMBER.match(x)
+            number = any(NUMBERS.match(s) for s in ([near[k - 1]] if k else []) + ([near[k + 1]] if k + 1 < len(near) else []))
+            own += ["page", "page_signs" if signs else "page_plain"] + [f for f, on in (
+                ("page_breaks_sentence", breaks), ("page_signs_near_number", signs and number), ("page_plain_near_number", not signs and number), ("page_plain_taken", not signs and bool(TAKES_NUMBER.search(before[i]))),
+                ("page_plain_after_colon", not signs and before[i].endswith(":")), ("page_in_brackets", bool(re.match(r"^\(?[0-9]{1,3}\)$", x)))) if on]
+        out.append([_AT[f] for f in own or ["text"]])
+    return out
+
+
+@dataclass
+class LineModel:
+    """A linear-chain model: weights of each label for each feature, and of each label after each other."""
+
+    weights: list[list[float]]
+    moves: list[list[float]]
+
+    def path(self, features: list[list[int]]) -> list[int]:
+        w, moves = self.weights, self.moves
+        value = [sum(w[s][f] for f in features[0]) for s in range(4)]
+        back = []
+        for own in features[1:]:
+            step, origin = [], []
+            for s in range(4):
+                best = max(range(4), key=lambda r: value[r] + moves[r][s])
+                step.append(value[best] + moves[best][s] + sum(w[s][f] for f in own))
+                origin.append(best)
+            back.append(origin)
+            value = step
+        path = [max(range(4), key=lambda s: value[s])]
+        for origin in reversed(back):
+            path.append(origin[path[-1]])
+        return path[::-1]
+
+    def labels(self, lines: list[str], title: str | None) -> list[tuple[int, bool]]:
+        """(label, whether a page number stands beside) of each line."""
+        features = line_features(lines, title)
+        if features is None:
+            return [(BODY if x.strip() else BREAK, False) for x in lines]
+        return [(s, s == HEADER and _AT["title_beside"] in f) for s, f in zip(self.path(features), features, strict=True)]
+
+
+def printed_page(text: str, title: str, rng: random.Random) -> tuple[list[str], list[int]]:
+    """A text set in lines with running heads and page numbers as printers set them, and the label of each line."""
+    lines, labels = [], []
+    width = rng.randrange(44, 80)
+    for part in re.split(r"(?<=[.!?”]) (?=\(\d)", " ".join(text.split()))[:8]:
+        if lines and rng.random() < 0.3:
+            lines.append("")
+            labels.append(BREAK)
+        if (kind := rng.random()) < 0.08:
+            start = rng.randrange(1, 90)
+            own = ["Lots:", *[str(start + 2 * i) for i in range(rng.randrange(3, 8))]]
+        elif kind < 0.16:
+            own = ["This may be cited as the", *textwrap.wrap(f"{title}.", width)]
+        elif kind < 0.2:
+            own = [f"({rng.randrange(2, 9)})", *textwrap.wrap(part, width)]
+        else:
+            own = textwrap.wrap(part, width)
+        lines += own
+        labels += [BODY] * len(own)
+    for _ in range(rng.choice([0, 1, 1, 2])):
+        if len(lines) < 2:
+            break
+        at = rng.randrange(1, len(lines))
+        cited = CITES.search(lines[at - 1]) or NUMBERS.match(lines[at - 1]) or NUMBERS.match(lines[at])
+        if cited or labels[at - 1] in (HEADER, PAGE_LINE) or labels[at] in (HEADER, PAGE_LINE):
+            continue
+        n = rng.randrange(1, 300)
+        new, told = [], []
+        if (kind := rng.random()) < 0.6:
+            words = title.split()
+            head = title if rng.random() < 0.7 or len(words) < 5 else " ".join(words[: rng.randrange(4, len(words))])
+            head = head.upper() if rng.random() < 0.5 else head
+            head = f"{n}   {head}" if kind < 0.12 else f"{head}    {n}" if kind < 0.24 else head
+            new, told = [head], [HEADER]
+        if kind > 0.5:
+            new.append(rng.choice([f"- {n} -", f"— {n} —", f"[{n}]", f"Page {n}", f"p. {n}", f"Page {n} of {n + 40}", f"{n} |", f"{n}"]))
+            told.append(PAGE_LINE)
+        lines[at:at], labels[at:at] = new, told
+    return lines, labels
+
+
+def fit_lines(texts: list[str], titles: list[str], rounds: int = ROUNDS, seed: int = 11) -> LineModel:
+    """A model fitted by the averaged perceptron to texts set as printed pages, whose labels are known because they were set here."""
+    rng = random.Random(seed)
+    titles = [t for t in titles if t and len(t.split()) > 2] or ["General Matters and Other Things Act, No. 1 of 2000"]
+    texts = [t for t in texts if t and len(t) > 120] or ["The Council shall hear the appeal before the end of the year and publish what it finds. (2) No fee is due, unless the Council so directs." * 2]
+    pages = []
+    for i in range(max(len(texts), 400)):
+        title = titles[i % len(titles)]
+        lines, labels = printed_page(texts[i % len(texts)][:4000], title, rng)
+        features = line_features(lines, title) if lines else None
+        if features:
+            pages.append((features, labels))
+    model = LineModel([[0.0] * len(FEATURES) for _ in range(4)], [[0.0] * 4 for _ in range(4)])
+    total = LineModel([[0.0] * len(FEATURES) for _ in range(4)], [[0.0] * 4 for _ in range(4)])
+    steps = 0
+    for _ in range(rounds):
+        rng.shuffle(pages)
+        for features, labels in pages:
+            steps += 1
+            told = model.path(features)
+            if told == labels:
+                continue
+            for sign, way in ((1.0, labels), (-1.0, told)):
+                for i, s in enumerate(way):
+                    for f in features[i]:
+                        model.weights[s][f] += sign
+                        total.weights[s][f] += sign * steps
+                    if i:
+                        model.moves[way[i - 1]][s] += sign
+                        total.moves[way[i - 1]][s] += sign * steps
+    mean = lambda now, sums: [[x - y / max(1, steps) for x, y in zip(a, b, strict=True)] for a, b in zip(now, sums, strict=True)]
+    return LineModel(mean(model.weights, total.weights), mean(model.moves, total.moves))
+
+
+def repair(text: str, title: str | None, words: Words, model: LineModel) -> tuple[str, list[str]]:
     """The text without its noise, as one line a paragraph, and the kinds of noise found in it, in alphabetical order."""
     kinds: set[str] = set()
     body = text
     if "\n" in text:
         lines = text.split("\n")
         kept = []
-        for line, (state, beside) in zip(lines, label_lines(lines, title), strict=True):
+        for line, (state, beside) in zip(lines, model.labels(lines, title), strict=True):
             if state == HEADER:
                 kinds.add("header")
                 if beside:
@@ -327,7 +415,19 @@ def known_words(texts: DataFrame, share: float = SHARE) -> Words:
     return Words(words)
 
 
-def repaired(chunks: DataFrame, docs: DataFrame, words: Words | None = None, with_text: bool = True) -> DataFrame:
+def fitted_lines(chunks: DataFrame, docs: DataFrame, rows: int = SAMPLE_TEXTS) -> LineModel:
+    """The line model of a corpus, from the texts and titles with the smallest hashes, `rows` of each."""
+
+    def sample(df: DataFrame, key: str, value: str) -> list[str]:
+        some = df.where(F.col(value).isNotNull()).select(key, F.substring(value, 1, 4000).alias("value"))
+        share = min(1.0, 4.0 * rows / max(1, some.count()))
+        place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+        return [r.value for r in some.where(place < int(share * (1 << 30))).orderBy(place, "value").limit(rows).select("value").collect()]
+
+    return fit_lines(sample(chunks, "id", "text"), sample(docs, "doc_key", "title"))
+
+
+def repaired(chunks: DataFrame, docs: DataFrame, words: Words | None = None, with_text: bool = True, model: LineModel | None = None) -> DataFrame:
     """(id, text, noise) of every chunk with a text: the repaired text, or null without with_text, and the kinds of noise found.
 
     docs gives the titles (doc_key, title); of repeated keys the last title by bytes counts, and a chunk without a title has
@@ -335,12 +435,13 @@ def repaired(chunks: DataFrame, docs: DataFrame, words: Words | None = None, wit
     each. Only texts with line breaks are joined with titles; a document with very many chunks is spread over tasks.
     """
     words = words or known_words(chunks)
+    lines_ = model or fitted_lines(chunks, docs)
     sent = chunks.sparkSession.sparkContext.broadcast(words.counts)
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Words(sent.value)
         for batch in batches:
-            done = [repair(x, t, own) for x, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            done = [repair(x, t, own, lines_) for x, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] if with_text else None for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.string()))], names=["id", "text", "noise"])
 
     texts = chunks.where("text is not null").select("id", "doc_key", "text")

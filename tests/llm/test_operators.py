@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 from datetime import datetime
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -149,6 +150,24 @@ def words():
     return scans.Words(counts | {"by-law": 500, "harbour": 400, "intra-district": 90, "surveyor-general": 80, "statutory": 200, "commissioner": 200})
 
 
+@lru_cache(1)
+def line_model():
+    return scans.fit_lines([], [])
+
+
+def test_line_model_on_held_out_pages():
+    rng = random.Random(77)
+    title = "Orchard Keepers (Amendment) Ordinance, No. 7 of 1931"
+    right = lines = 0
+    for _ in range(300):
+        text = " ".join(sentence(rng, ENGLISH) for _ in range(rng.randrange(3, 12)))
+        page, labels = scans.printed_page(text, title, rng)
+        told = [s for s, _ in line_model().labels(page, title)]
+        right += sum(a == b for a, b in zip(told, labels, strict=True))
+        lines += len(page)
+    assert right / lines > 0.99
+
+
 @pytest.mark.parametrize(
     ("text", "noise", "mended"),
     [
@@ -174,7 +193,7 @@ def words():
     ],
 )
 def test_noise(text, noise, mended):
-    got, kinds = scans.repair(text, "Harbour Trust Act, No. 3 of 1990", words())
+    got, kinds = scans.repair(text, "Harbour Trust Act, No. 3 of 1990", words(), line_model())
     assert kinds == noise
     if mended is not None:
         assert got == mended
