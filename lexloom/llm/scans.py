@@ -84,7 +84,7 @@ class Words:
         least = max(LEAST, RATIO * self.count(word))
         best, most = None, 0
         for option in self._options(word, 2 if digits or len(word) > 4 else 1):
-            if (n := self.count(option)) > most and option.replace("-", "").isalpha():
+            if len(option) > 1 and (n := self.count(option)) > most and option.replace("-", "").isalpha():
                 best, most = option, n
         if best and most >= least:
             return best
@@ -355,6 +355,9 @@ def repair(text: str, title: str | None, words: Words, model: LineModel) -> tupl
 
     fixes = {t: p for t in set(TOKEN.findall(body)) if (p := words.printed(t))}
     if fixes:
+        # The last word of a text without an end may be cut off, which isn't misread.
+        ends = re.search(r"[^\W_]+$", body)
+        fixes = {t: p for t, p in fixes.items() if not (ends and ends.group() == t and body.count(t) == 1)}
         fixes = {t: p for t, p in fixes.items() if re.search(rf"(?<![\w/-]){re.escape(t)}(?![\w/]|-\w)", body)}
     if fixes:
         kinds.add("char")
