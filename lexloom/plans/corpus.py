@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +12,9 @@ from lexloom.functions import text as t
 from lexloom.functions.ids import uuid5, vector_id
 from lexloom.functions.keys import plain_key
 from lexloom.operators import cdc, office, quality
+from lexloom.operators.citations import equal_titles as titles_shared
 from lexloom.operators.citations import majority_target, mentions, name_index, named_targets
-from lexloom.operators.structure import build_chunks
+from lexloom.operators.structure import build_chunks, commencement
 from lexloom.plans.shared import LINKS, both, plain_links, plain_sql
 from lexloom.sources.files import text_parts as parts_of
 from lexloom.streaming import ledger
@@ -58,6 +60,20 @@ def unique_names(spark: SparkSession, folder: str) -> DataFrame:
     return name_index(table(spark, folder, "docs"))
 
 
+def equal_titles(spark: SparkSession, folder: str) -> DataFrame:
+    return titles_shared(table(spark, folder, "docs"))
+
+
+def commencements(spark: SparkSession, folder: str) -> DataFrame:
+    """How documents say that they begin, counted."""
+
+    @F.pandas_udf("string")
+    def how(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else commencement(x)[0])
+
+    return _latest(spark, folder).where("text is not null").groupBy(how("text").alias("how")).agg(F.count("*").alias("documents"))
+
+
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks wrapped as pages of HTML come out as the text that they were."""
     page = F.concat(F.lit("<html><style>p {}</style><script>var x = '<p>';</script><p>"), F.replace(F.replace("crumb", F.lit("&"), F.lit("&amp;")), F.lit("›"), F.lit("&gt;")), F.lit("</p><!-- x --><div>"), F.col("address"), F.lit("</div></html>"))
@@ -236,7 +252,7 @@ SELECT coalesce(doc_type, 'all') AS doc_type, coalesce(lang, CASE WHEN grouping(
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_long_pieces": split_long_pieces, "pages_chunks": pages_chunks, "tree_units": build_units, "mention_rows": mention_rows, "amended_sections": amended_sections, "citing_majority": citing_majority,
-    "unique_names": unique_names, "html_to_text": html_text, "script_share": script_shares, "display_titles": titles, "natural_labels": natural_labels, "roman_numbers": roman_numbers, "chunk_ids": chunk_ids,
+    "unique_names": unique_names, "equal_titles": equal_titles, "commencements": commencements, "html_to_text": html_text, "script_share": script_shares, "display_titles": titles, "natural_labels": natural_labels, "roman_numbers": roman_numbers, "chunk_ids": chunk_ids,
     "text_hash_check": text_hashes, "doc_fingerprint": doc_fingerprint, "bag_diff": bag_diff, "lost_gained_labels": lost_gained_labels, "label_gaps": label_gaps, "run_diff": run_diff, "gate_summary": gate_summary,
     "review_list": review_list, "gold_precision_recall": gold_scores, "release_plan": release_plan, "embedding_changes": embedding_changes, "work_plan": work_plan, "text_parts": text_parts, "office_diff": office_diff,
     "case_replay": case_replay, "file_states": file_states, "file_windows": file_windows, "handle_map": handle_map, "stream_daily_counts": stream_daily_counts, "stream_once": stream_once, "stream_states": stream_states,
@@ -251,6 +267,7 @@ ORACLE: dict[str, str] = {
     "amended_sections": "SELECT id, len(f) AS sections FROM (SELECT id, regexp_extract_all(text, 'Section (\\d+[A-Z]?) of the ([A-Z][a-z]+ [A-Z][a-z]+ Act) is amended') AS f FROM chunks) WHERE len(f) > 0",
     "citing_majority": f"WITH {LINKS}, v AS (SELECT dst_label AS name, dst_doc AS doc_key, count(*) AS n FROM l WHERE dst_label IS NOT NULL GROUP BY ALL) SELECT name, arg_max(doc_key, n) AS doc_key FROM v GROUP BY name HAVING max(n) > sum(n) - max(n)",
     "unique_names": "SELECT name, min(doc_key) AS doc_key, max(doc_year) AS year FROM (SELECT lower(regexp_extract(title, '^(?:The )?(.*?(?:Act|Law|Ordinance))\\b', 1)) AS name, doc_key, doc_year FROM docs WHERE title IS NOT NULL) WHERE name <> '' GROUP BY name HAVING min(doc_key) = max(doc_key)",
+    "equal_titles": "SELECT min(doc_key) AS doc, max(doc_key) AS twin FROM (SELECT lower(regexp_replace(title, '\\s+', ' ', 'g')) AS t, doc_key FROM docs WHERE title IS NOT NULL) GROUP BY t HAVING count(DISTINCT doc_key) = 2 AND split_part(min(doc_key), ':', 1) <> split_part(max(doc_key), ':', 1)",
     "html_to_text": "SELECT id, replace(crumb, '›', '>') || chr(10) || chr(10) || address AS text FROM chunks WHERE crumb IS NOT NULL",
     "script_share": r"""SELECT doc_id, CASE WHEN n >= 200 THEN round(s / n, 6) END AS sinhala, CASE WHEN n >= 200 THEN round(t / n, 6) END AS tamil FROM (SELECT doc_id, len(regexp_extract_all(text, '\p{L}')) AS n,
   len(list_filter(regexp_extract_all(text, '\p{L}'), lambda x: regexp_matches(x, '[\x{0D80}-\x{0DFF}]'))) AS s, len(list_filter(regexp_extract_all(text, '\p{L}'), lambda x: regexp_matches(x, '[\x{0B80}-\x{0BFF}]'))) AS t FROM documents WHERE text IS NOT NULL)""",
