@@ -16,6 +16,8 @@ from lexloom.llm.splitting import split_texts
 from lexloom.llm.survivors import claims, survivors, truth_discovery
 from lexloom.llm.tokens import token_ids
 from lexloom.llm.truncation import by_source, truncated
+from lexloom.plans.dealt import NORMS
+from lexloom.plans.shared import plain_sql
 from lexloom.tables import table
 
 
@@ -110,6 +112,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "p3_found": rf"""
+WITH {NORMS},
+pins AS (SELECT DISTINCT {plain_sql('doc_key')} AS doc_key, listing_id FROM documents WHERE lower(trim(chosen_by)) = 'pin'),
+k AS (SELECT DISTINCT n.id, {plain_sql('listed_key')} AS doc_key, n.last_seen, coalesce(n.trust, 1 << 30) AS trust, CASE WHEN lower(trim(language)) IN ('english', 'eng', 'en') THEN 1 WHEN lower(trim(language)) IN ('sinhala', 'sin', 'si') THEN 2 WHEN lower(trim(language)) IN ('tamil', 'tam', 'ta') THEN 3 ELSE 4 END AS lang,
+  title IS NOT NULL AND lower(trim(title)) NOT IN ('', '-', 'n/a', '(no title)', 'untitled') AS titled, coalesce(norm <> 'none', false) AS dated FROM n WHERE listed_key IS NOT NULL),
+r AS (SELECT k.*, row_number() OVER (PARTITION BY k.doc_key ORDER BY p.listing_id IS NOT NULL DESC, lang, trust, last_seen DESC NULLS LAST, id DESC) AS place FROM k LEFT JOIN pins p ON p.doc_key = k.doc_key AND p.listing_id = k.id)
+SELECT doc_key, arg_min(id, place) AS listing_id, coalesce(arg_min(id, place) FILTER (WHERE titled), 0) AS title_from, coalesce(arg_min(id, place) FILTER (WHERE dated), 0) AS date_from FROM r GROUP BY doc_key HAVING count(DISTINCT id) > 1
+""",
     "p1_found": r"""
 SELECT c.id, CASE WHEN list_max(list_transform(regexp_split_to_array(c.text, '[ \t\r\n\x{a0}]+'), lambda w: length(w))) > l.max_chars THEN 'hard' ELSE 'natural' END AS how
 FROM chunks c JOIN size_limits l ON l.kind = coalesce(c.kind, '*') WHERE length(c.text) > l.max_chars
