@@ -355,9 +355,10 @@ def repair(text: str, title: str | None, words: Words, model: LineModel) -> tupl
 
     fixes = {t: p for t in set(TOKEN.findall(body)) if (p := words.printed(t))}
     if fixes:
-        # The last word of a text without an end may be cut off, which isn't misread.
+        # The last word of a text without an end may be the beginning of a word cut off, which isn't misread.
         ends = re.search(r"[^\W_]+$", body)
-        fixes = {t: p for t, p in fixes.items() if not (ends and ends.group() == t and body.count(t) == 1)}
+        if ends and ends.group() in fixes and body.count(ends.group()) == 1 and any(w.startswith(ends.group().lower()) for w in words.known):
+            del fixes[ends.group()]
         fixes = {t: p for t, p in fixes.items() if re.search(rf"(?<![\w/-]){re.escape(t)}(?![\w/]|-\w)", body)}
     if fixes:
         kinds.add("char")
