@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.keys import plain_key, plain_label
-from lexloom.operators.skew import spread_join
+from lexloom.operators.skew import HOT_ROWS, spread_join
 
 #: Runs end at multiples of this, so that no window partition holds more distinct integers.
 BLOCK = 4096
@@ -51,19 +51,28 @@ def beyond_runs(references: DataFrame, of: DataFrame) -> DataFrame:
     return starts.unionByName(asked).withColumn("reach", F.last("last", ignorenulls=True).over(before)).where("side = 1").select("field", "family", "block", "n", *extra, F.coalesce(F.col("reach") >= F.col("n"), F.lit(False)).alias("held"))
 
 
-def lifetimes(parents: DataFrame) -> DataFrame:
+def _merged(lives: DataFrame, key: list[str]) -> DataFrame:
+    """Lives (key, from, to, newest) of each key as disjoint spans."""
+    order = Window.partitionBy(*key).orderBy("from", "to")
+    reach = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = lives.withColumn("new", F.when(reach.isNull() | (reach < F.col("from")), 1).otherwise(0)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*key, "island").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.max("newest").alias("newest")).drop("island")
+
+
+def lifetimes(parents: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per key the disjoint spans of time in which some parent exists, and the latest time at which one is built.
 
     Overlapping lives are merged as runs of time; a removed_at of null is an open end, a life that ends before or when it
-    begins covers nothing but still counts as built. A null built_at never exists.
+    begins covers nothing but still counts as built. A null built_at never exists. Keys with very many parents are merged month
+    by month first, so that no task sorts all of their rows; how many there are is bounded by what makes them hot.
     """
     key = ["field", "family", "n"]
-    lives = parents.where("built_at is not null").select(*key, "built_at", F.coalesce("removed_at", F.lit("9999-12-31 00:00:00").cast(parents.schema["removed_at"].dataType)).alias("ends"))
-    lives = lives.groupBy(*key, "built_at").agg(F.max("ends").alias("ends"))
-    order = Window.partitionBy(*key).orderBy("built_at")
-    reach = F.max("ends").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = lives.withColumn("new", F.when(reach.isNull() | (reach < F.col("built_at")), 1).otherwise(0)).withColumn("island", F.sum("new").over(order))
-    spans = islands.groupBy(*key, "island").agg(F.min("built_at").alias("from"), F.max("ends").alias("to"), F.max("built_at").alias("newest"))
+    lives = parents.where("built_at is not null").select(*key, F.col("built_at").alias("from"), F.coalesce("removed_at", F.lit("9999-12-31 00:00:00").cast(parents.schema["removed_at"].dataType)).alias("to"))
+    lives = lives.groupBy(*key, "from").agg(F.max("to").alias("to")).withColumn("newest", F.col("from"))
+    hot = lives.groupBy(*key).count().where(F.col("count") >= hot_rows).select(*key, F.lit(True).alias("hot"))
+    marked = lives.join(F.broadcast(hot), key, "left")
+    by_month = _merged(marked.where("hot").drop("hot").withColumn("month", F.trunc("from", "MM")), [*key, "month"]).drop("month")
+    spans = _merged(marked.where("hot is null").drop("hot").unionByName(by_month), key)
     return spans.groupBy(*key).agg(F.collect_list(F.struct("from", "to")).alias("spans"), F.max("newest").alias("newest"))
 
 

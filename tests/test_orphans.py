@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from lexloom.operators.orphans import family_and_number, orphans, orphans_by_month, runs
+from lexloom.operators.orphans import family_and_number, lifetimes, orphans, orphans_by_month, runs
 from pyspark.sql import functions as F
 
 LINK = "id long, src_doc string, kind string, dst_doc string, dst_label string, dst_chunk string, made_at timestamp_ntz, rows string, slot string"
@@ -74,6 +74,14 @@ def test_keys_split_both_ways(spark):
     assert by["act:9/2023"].f == by["act:10/2023"].f and (by["act:9/2023"].n, by["act:10/2023"].n) == (9, 10)
 
 
+def test_lifetimes_of_a_hot_key_are_those_of_any(spark):
+    rng = random.Random(4)
+    rows = [("f", "x", n % 3, T + timedelta(days=rng.randrange(200)), T + timedelta(days=rng.randrange(230)) if rng.random() < 0.9 else None) for n in range(300)]
+    df = spark.createDataFrame(rows, "field string, family string, n long, built_at timestamp_ntz, removed_at timestamp_ntz")
+    plain = lambda out: {(r.n, r.newest, tuple(sorted((s["from"], s["to"]) for s in r.spans if s["to"] > s["from"]))) for r in out.collect()}
+    assert plain(lifetimes(df, hot_rows=20)) == plain(lifetimes(df))
+
+
 def test_runs(spark):
     rows = spark.createDataFrame([("f", "x", 0, n) for n in (1, 2, 2, 3, 7, 8)], "field string, family string, block long, n long")
     assert {(r.first, r.last) for r in runs(rows).collect()} == {(1, 3), (7, 8)}
