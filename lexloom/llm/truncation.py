@@ -35,8 +35,8 @@ CLOSINGS = [
     re.compile(r"^[A-Z][A-Za-z.&-]{0,12}(?:/[A-Za-z.-]+)*[\s/:.-]*(?:No\.?\s*)?[0-9]+(?:[/-][0-9A-Z]+)+$"),
     re.compile(r"^(?:price|postage|fee)\b[\s:.-]*(?:rs\.?|lkr|cts\.?)?\s*[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{2})?(?:/[=-])?(?:\s*cents)?$", re.IGNORECASE),
 ]
-#: A last line that ends so many documents of different keys closes them; and the longest line that can.
-CLOSING_DOCUMENTS, CLOSING_CHARACTERS = 8, 80
+#: A last line that ends at least this share of the documents, and documents of so many keys, closes them; the longest line that can.
+CLOSING_SHARE, CLOSING_DOCUMENTS, CLOSING_CHARACTERS = 5e-4, 3, 80
 #: A text shorter than this is no sign that a longer one which begins like it is a copy.
 LEAST_PREFIX = 40
 
@@ -164,15 +164,16 @@ def endings(documents: DataFrame) -> DataFrame:
     return told.select("doc_id", "doc_key", "source", how.alias("how"), "last_line")
 
 
-def truncated(documents: DataFrame, closing_documents: int = CLOSING_DOCUMENTS) -> DataFrame:
+def truncated(documents: DataFrame, closing_share: float = CLOSING_SHARE, closing_documents: int = CLOSING_DOCUMENTS) -> DataFrame:
     """(doc_id, source, cut, how) of every document: whether its text was cut off inside a sentence or word, and by what it shows.
 
     how is `sign`, `word`, `open`, `prefix` (a longer copy goes on), `whole` or `none`. Null, empty and blank texts are whole;
     repeated rows come out each; ties in the order are settled by doc_id.
     """
     told = endings(documents)
+    least = max(closing_documents, closing_share * told.count())
     lines = told.where("how = 'line'").groupBy("last_line").agg(F.count("*").alias("rows"), F.approx_count_distinct("doc_key").alias("documents"))
-    closing = lines.withColumn("closes", F.col("documents") >= closing_documents)
+    closing = lines.withColumn("closes", F.col("documents") >= least)
     counted = spread_join(told.where("how = 'line'"), closing.select("last_line", "rows", "closes"), "last_line", "rows", ["closes"])
     judged = counted.select("doc_id", "source", F.when(F.col("closes"), "whole").otherwise("open").alias("how")).unionByName(told.where("how <> 'line'").select("doc_id", "source", "how"))
     blank = documents.where(~F.coalesce(F.col("text").rlike(r"[^\s\x{a0}]"), F.lit(False))).select("doc_id", "source", F.lit("none").alias("how"))
