@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+import re
+import unicodedata
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -67,27 +73,99 @@ def dense(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int,
     return out.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def tokens(df: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, length, term): every lower-case run of letters and digits of each text, with the number of the text's runs."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}\p{Nd}]+", " ")), " "), lambda w: w != "")
-    listed = df.where(F.col(text).isNotNull()).select(F.col(id_).alias("id"), words.alias("words"))
-    return listed.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
+class Tokenizer:
+    """Lower-case runs of letters, marks and decimal digits; all other characters part them."""
+
+    def __init__(self) -> None:
+        self.kept: set[str] = set(" ")
+        self.parting: set[str] = set()
+        self.pattern = re.compile("(?!)")
 
+    def __call__(self, text: str) -> list[str]:
+        text = text.lower()
+        new = set(text) - self.kept - self.parting
+        if new:
+            part = {c for c in new if (kind := unicodedata.category(c))[0] not in "LM" and kind != "Nd"}
+            self.kept |= new - part
+            if part:
+                self.parting |= part
+                self.pattern = re.compile("[" + "".join(f"\\U{ord(c):08x}" for c in sorted(self.parting)) + "]+")
+        return self.pattern.sub(" ", text).split()
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int, id_: str = "id", text: str = "text", query_id: str = "query", query_text: str = "words") -> DataFrame:
-    """(query, hit, score, rank): the k best texts of each query; ties go to the smaller id.
 
-    Only terms that some query has leave the index, so a frequent word that no query asks for isn't shuffled.
+def bm25(corpus: DataFrame, queries: DataFrame, k: int, id_: str = "id", text: str = "text", query_id: str = "query", query_text: str = "words", per_pass: int = QUERIES) -> DataFrame:
+    """(query, hit, score, rank): the k best texts of each query by BM25; ties go to the smaller id, texts without a term of it are no hits.
+
+    The queries are a stated set, asked in blocks of per_pass. One pass counts the texts that hold each of a block's terms, a second
+    scores each text where it lies and keeps k a query and task, so that neither postings nor scores of all texts are shuffled.
     """
-    asked = tokens(queries, query_id, query_text).select(F.col("id").alias("query"), "term").distinct()
-    wanted = tokens(corpus, id_, text).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    size = corpus.where(F.col(text).isNotNull()).select(F.size(F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}\p{Nd}]+", " ")), " "), lambda w: w != "")).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    spread = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = spread.join(F.broadcast(size)).select("term", F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
-    score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    hits = asked.join(weighed, "term").join(wanted, "term").groupBy("query", F.col("id").alias("hit")).agg(F.round(F.sum(score), 6).alias("score"))
+    spark = corpus.sparkSession
+    read = Tokenizer()
+    texts = corpus.where(F.col(text).isNotNull()).select(F.col(id_).cast("string").alias("id"), F.col(text).alias("text"))
+    kind = queries.schema[query_id].dataType.simpleString()
+    out, block = None, []
+    for row in queries.where(F.col(query_text).isNotNull()).select(query_id, query_text).toLocalIterator():
+        if words := sorted(set(read(row[1]))):
+            block.append((row[0], words))
+        if len(block) == per_pass:
+            out, block = _scored(texts, block, k, kind) if out is None else out.union(_scored(texts, block, k, kind)), []
+    if block:
+        out = _scored(texts, block, k, kind) if out is None else out.union(_scored(texts, block, k, kind))
+    if out is None:
+        return spark.createDataFrame([], f"query {kind}, hit string, score double, rank int")
     window = Window.partitionBy("query").orderBy(F.desc("score"), "hit")
-    return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+
+
+def _scored(texts: DataFrame, block: list[tuple[object, list[str]]], k: int, kind: str) -> DataFrame:
+    spark = texts.sparkSession
+    asking: dict[str, list[int]] = {}
+    for q, (_, words) in enumerate(block):
+        for w in words:
+            asking.setdefault(w, []).append(q)
+    sent = spark.sparkContext.broadcast(asking)
+
+    def count(batches):
+        read, known = Tokenizer(), sent.value.keys()
+        found: Counter[str] = Counter()
+        docs = length = 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                words = read(t)
+                docs, length = docs + 1, length + len(words)
+                found.update(known & set(words))
+        terms = [*found, ""]
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([*found.values(), docs], pa.int64()), pa.array([0] * len(found) + [length], pa.int64())], names=["term", "n", "length"])
+
+    counts = {r.term: (r.n, r.length) for r in texts.select("text").mapInArrow(count, "term string, n long, length long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).collect()}
+    docs, length = counts.pop("", (0, 0))
+    mean = length / docs if docs else 1.0
+    idf = spark.sparkContext.broadcast({t: math.log1p((docs - n + 0.5) / (n + 0.5)) for t, (n, _) in counts.items()})
+    names = [q for q, _ in block]
+
+    def score(batches):
+        read, asked, weight = Tokenizer(), sent.value, idf.value
+        best: list[list] = [[] for _ in names]
+        for batch in batches:
+            for id_, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = read(t)
+                flat = K1 * (1 - B + B * len(words) / mean)
+                points: dict[int, float] = {}
+                for w, tf in Counter(words).items():
+                    if w in weight:
+                        p = weight[w] * tf * (K1 + 1) / (tf + flat)
+                        for q in asked[w]:
+                            points[q] = points.get(q, 0.0) + p
+                for q, p in points.items():
+                    best[q].append((-round(p, 6), id_))
+                    if len(best[q]) >= 50 * k:
+                        best[q] = heapq.nsmallest(k, best[q])
+        rows = [(names[q], i, -p) for q, own in enumerate(best) for p, i in heapq.nsmallest(k, own)]
+        columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], names=["query", "hit", "score"])
+
+    id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+    return texts.mapInArrow(score, f"query {kind}, hit string, score double")
 
 
 def rank_fusion(legs: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
@@ -111,10 +189,10 @@ def weighted_fusion(dense_hits: DataFrame, keyword_hits: DataFrame, k: int, weig
     return fused.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def recall(hits: DataFrame, relevant: DataFrame, at: list[int]) -> DataFrame:
-    """One row of recall at each depth: the share of queries whose first relevant hit (query, hit) is no deeper."""
-    first = hits.join(relevant, ["query", "hit"]).groupBy("query").agg(F.min("rank").alias("first"))
-    every = relevant.select("query").distinct().join(first, "query", "left")
+def recall(judged: DataFrame, queries: DataFrame, at: list[int]) -> DataFrame:
+    """One row of recall at each depth: the share of queries (query) whose first relevant hit (query, rank, relevant) is no deeper."""
+    first = judged.where("relevant").groupBy("query").agg(F.min("rank").alias("first"))
+    every = queries.select("query").distinct().join(first, "query", "left")
     return every.agg(*[F.round(F.avg(F.coalesce((F.col("first") <= n).cast("double"), F.lit(0.0))), 6).alias(f"recall_{n}") for n in at])
 
 

@@ -36,8 +36,10 @@ def label_recall(spark: SparkSession, folder: str) -> DataFrame:
     v = _vectors(spark, folder)
     queries = v.where("vec_id % 20 = 0")
     hits = s.dense(v, queries, "vec_id", "embedding", 10)
-    same = queries.select(F.col("vec_id").alias("query"), "label").join(v.select(F.col("vec_id").alias("hit"), "label"), "label").where("query <> hit").select("query", "hit")
-    return s.recall(hits, same, [1, 5, 10])
+    of = v.select(F.col("vec_id").alias("hit"), F.col("label").alias("of_hit"))
+    asked = queries.select(F.col("vec_id").alias("query"), "label")
+    judged = hits.join(of, "hit").join(asked, "query").select("query", "rank", (F.col("label") == F.col("of_hit")).alias("relevant"))
+    return s.recall(judged, asked, [1, 5, 10])
 
 
 def _keyword(spark: SparkSession, folder: str, k: int) -> DataFrame:
