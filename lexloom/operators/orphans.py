@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.keys import plain_key, plain_label
 from lexloom.operators.skew import HOT_ROWS, spread_join
+from lexloom.tables import cut
 
 #: Runs end at multiples of this, so that no window partition holds more distinct integers.
 BLOCK = 4096
@@ -68,12 +69,13 @@ def lifetimes(parents: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """
     key = ["field", "family", "n"]
     lives = parents.where("built_at is not null").select(*key, F.col("built_at").alias("from"), F.coalesce("removed_at", F.lit("9999-12-31 00:00:00").cast(parents.schema["removed_at"].dataType)).alias("to"))
-    lives = lives.groupBy(*key, "from").agg(F.max("to").alias("to")).withColumn("newest", F.col("from"))
-    hot = lives.groupBy(*key).count().where(F.col("count") >= hot_rows).select(*key, F.lit(True).alias("hot"))
-    marked = lives.join(F.broadcast(hot), key, "left")
-    by_month = _merged(marked.where("hot").drop("hot").withColumn("month", F.trunc("from", "MM")), [*key, "month"]).drop("month")
-    spans = _merged(marked.where("hot is null").drop("hot").unionByName(by_month), key)
-    return spans.groupBy(*key).agg(F.collect_list(F.struct("from", "to")).alias("spans"), F.max("newest").alias("newest"))
+    sizes = lives.groupBy(*key).agg(F.count("*").alias("lives"), F.min("from").alias("from"), F.max("to").alias("to"))
+    # Nearly all keys have one parent, and then there is nothing to merge and nothing to sort.
+    single = sizes.where("lives = 1").select(*key, F.array(F.struct("from", "to")).alias("spans"), F.col("from").alias("newest"))
+    many = lives.join(sizes.where("lives > 1").select(*key, (F.col("lives") >= hot_rows).alias("hot")), key).withColumn("newest", F.col("from"))
+    by_month = _merged(many.where("hot").drop("hot").withColumn("month", F.trunc("from", "MM")), [*key, "month"]).drop("month")
+    spans = _merged(many.where("not hot").drop("hot").unionByName(by_month), key)
+    return spans.groupBy(*key).agg(F.collect_list(F.struct("from", "to")).alias("spans"), F.max("newest").alias("newest")).unionByName(single)
 
 
 def parent_rows(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -100,7 +102,8 @@ def orphans(links: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
     is `deleted`. Links repeated under another id are reported each; a whole row repeated is reported once. Empty tables and
     extra columns are of no effect. A label counts only where dst_doc has a docs row.
     """
-    parents = keyed(parent_rows(docs, chunks), "key")
+    # Both tables are read several times below; as written tables they are made once, and the plan stays small.
+    parents = cut(keyed(parent_rows(docs, chunks), "key").select("field", "family", "block", "n", "built_at", "removed_at"))
     references = reference_rows(links.select("id", "made_at", "dst_doc", "dst_chunk", "dst_label").distinct())
     known = references.where("key is not null")
     asked = keyed(known.groupBy("field", "key").agg(F.count("*").alias("asks")), "key").withColumn("doc", F.when(F.col("field") == "dst_label", F.element_at(F.split("key", "\u0003"), 1)))
@@ -110,7 +113,8 @@ def orphans(links: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
     held_docs = docs.where("doc_key is not null").select(plain_key(F.col("doc_key")).alias("doc")).distinct()
     labels = status.where("field = 'dst_label'").join(held_docs, "doc", "left_semi")
     status = status.where("field <> 'dst_label'").unionByName(labels).withColumn("slot", F.concat_ws("\u0004", "field", "key")).withColumn("found", F.lit(True))
-    each = spread_join(known.withColumn("slot", F.concat_ws("\u0004", "field", "key")), status.select("slot", "asks", "held", "spans", "newest", "found"), "slot", "asks", ["held", "spans", "newest", "found"])
+    status = cut(status.select("slot", "asks", "held", "spans", "newest", "found"))
+    each = spread_join(known.withColumn("slot", F.concat_ws("\u0004", "field", "key")), status, "slot", "asks", ["held", "spans", "newest", "found"])
     alive = F.exists("spans", lambda s: (s["from"] <= F.col("made_at")) & (s["to"] > F.col("made_at")))
     reason = F.when(~F.col("held"), "missing").when(F.coalesce(alive, F.lit(False)), None).when(F.col("newest") > F.col("made_at"), "late").otherwise("deleted")
     named = each.where("found").select("id", "made_at", "field", reason.alias("reason")).where("reason is not null")
