@@ -39,6 +39,8 @@ CLOSINGS = [
 CLOSING_SHARE, CLOSING_DOCUMENTS, CLOSING_CHARACTERS = 5e-4, 3, 80
 #: A text shorter than this is no sign that a longer one which begins like it is a copy.
 LEAST_PREFIX = 40
+#: So many copies of one text are held until the next that differs is met; more leave before it.
+HELD = 50_000
 
 
 def closing_line(lines: list[str]) -> bool:
@@ -87,59 +89,81 @@ def goes_on(longer: str, at: int) -> bool:
     return True
 
 
+def cut_inside(core: str, following: str | None) -> bool:
+    """Whether the next core that differs is a longer copy that goes on inside a sentence or word."""
+    return following is not None and len(core) >= LEAST_PREFIX and following.startswith(core) and goes_on(following, len(core))
+
+
 def sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of core; for each how it ends and whether the next core that differs goes on inside a sentence.
 
-    The rows at the end of a partition whose successor is in another come out as `pending`, with their core on one of them, and
-    the first core of each partition comes out as `first`; there is one of each to a partition, whatever the size of the data.
+    Rows whose successor isn't known when they leave come out as `pending` with the number of their core in the partition. What
+    comes of it follows: a row `met` with the verdict, or, where the successor is in another partition, a row `open` with the
+    core. The first two cores of each partition that differ come out as `edge`: one of them is the successor of any open core.
+    There are at most three of these rows to a partition and one to a core with more than HELD copies.
     """
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
-    names = ["doc_id", "doc_key", "source", "how", "last_line", "state", "part", "core"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.bool_()]
+    names = ["doc_id", "doc_key", "source", "how", "last_line", "state", "part", "nth", "core", "inside"]
     rows: list[tuple] = []
     core = None
+    nth = 0  # cores so far
     held = 0  # rows of the present core, which are the last of rows
+    left = False  # whether rows of the present core have left as pending
 
-    def settle(following: str | None) -> None:
-        nonlocal held
-        on = following is not None and len(core) >= LEAST_PREFIX and following.startswith(core) and goes_on(following, len(core))
+    def settle(following: str) -> None:
+        nonlocal held, left
+        on = cut_inside(core, following)
         for i in range(len(rows) - held, len(rows)):
             r = rows[i]
             rows[i] = (*r[:3], "prefix" if on and r[3] not in ("sign", "word") else r[3], *r[4:])
-        held = 0
+        if left:
+            rows.append((None, None, None, None, None, "met", part, nth, None, on))
+        held, left = 0, False
 
     def flush(keep: int) -> pa.RecordBatch:
         nonlocal rows
         out, rows = rows[: len(rows) - keep], rows[len(rows) - keep :]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 8
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
+    def pending() -> None:
+        nonlocal held, left
+        rows[len(rows) - held :] = [(*r[:5], "pending", part, nth, None, None) for r in rows[len(rows) - held :]]
+        held, left = 0, True
+
     for batch in batches:
         columns = {n: batch.column(n).to_pylist() for n in ("doc_id", "doc_key", "source", "title", "core", "text")}
         for doc_id, doc_key, source, title, own, text in zip(*columns.values(), strict=True):
-            if core is None:
-                rows.append((None, None, None, None, None, "first", part, own))
-            elif own != core:
-                settle(own)
-            core = own
+            if own != core:
+                if core is not None:
+                    settle(own)
+                nth += 1
+                if nth <= 2:
+                    rows.append((None, None, None, None, None, "edge", part, nth, own, None))
+                core = own
             how = ending(text, title)
-            rows.append((doc_id, doc_key, source, how, text.rstrip().rpartition("\n")[2].strip() if how == "line" else None, "done", part, None))
+            rows.append((doc_id, doc_key, source, how, text.rstrip().rpartition("\n")[2].strip() if how == "line" else None, "done", part, None, None, None))
             held += 1
+        if held > HELD:
+            pending()
         if held < len(rows):
             yield flush(held)
-        elif held > 50_000:
-            # A core with very many copies: all but one may go, for they share what comes of it.
-            rows = [(*r[:5], "pending", part, None) for r in rows]
-            yield flush(1)
-            held = 1
-    if rows and core is not None:
-        pending = [(*r[:5], "pending", part, None) for r in rows[len(rows) - held :]]
-        rows = [*rows[: len(rows) - held], *pending[:-1], (*pending[-1][:7], core)]
+    if core is not None:
+        pending()
+        rows.append((None, None, None, None, None, "open", part, nth, core, None))
         yield flush(0)
 
 
+def open_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The verdicts of cores that are met with their successor from another partition."""
+    for batch in batches:
+        inside = [cut_inside(a, b) for a, b in zip(batch.column("core").to_pylist(), batch.column("next").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("nth"), pa.array(inside, pa.bool_())], names=["part", "nth", "inside"])
+
+
 def endings(documents: DataFrame) -> DataFrame:
     """(doc_id, doc_key, source, how, last_line) of every document whose text isn't null or blank."""
     # The ends of texts are looked at by themselves: a pattern tried at each place of a long text costs more than the sort.
@@ -149,17 +173,14 @@ def endings(documents: DataFrame) -> DataFrame:
     core = F.substring(text, F.lit(1), F.length(text) - sign)
     rows = documents.where(F.col("text").rlike(r"[^\s\x{a0}]")).select("doc_id", "doc_key", "source", "title", core.alias("core"), F.substring(text, -2000, 2000).alias("text"))
     rows = rows.orderBy("core", "doc_id")
-    schema = "doc_id long, doc_key string, source string, how string, last_line string, state string, part int, core string"
+    schema = "doc_id long, doc_key string, source string, how string, last_line string, state string, part int, nth long, core string, inside boolean"
     out = cut(rows.mapInArrow(sorted_pass, schema))
-    # The last core of each partition meets the next first core that differs: two rows a partition.
-    ends = out.where("core is not null").select("part", "state", "core")
-    order = Window.orderBy("part", F.col("state") == "pending")
-    following = F.first(F.when(F.col("state") == "first", F.col("core")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    on = F.coalesce((F.length("core") >= LEAST_PREFIX) & F.startswith("next", "core"), F.lit(False))
-    at = F.substring(F.col("next"), F.length("core") + 1, F.lit(1))
-    inside = on & at.rlike(r"[^\s]") & (F.col("next") != F.col("core"))
-    last = ends.withColumn("next", following).where("state = 'pending'").select("part", inside.alias("inside"))
-    told = out.where("state <> 'first'").join(F.broadcast(last), "part", "left")
+    # An open core's successor is the next of all cores at the edges, however many partitions its copies fill.
+    edges = out.where("state in ('edge', 'open')")
+    following = edges.select("core").distinct().select("core", F.lead("core").over(Window.orderBy("core")).alias("next"))
+    opened = edges.where("state = 'open'").select("part", "nth", "core").join(following, "core").select("part", "nth", "core", "next")
+    verdicts = opened.mapInArrow(open_cores, "part int, nth long, inside boolean").unionByName(out.where("state = 'met'").select("part", "nth", "inside"))
+    told = out.where("state in ('done', 'pending')").drop("inside").join(F.broadcast(verdicts), ["part", "nth"], "left")
     how = F.when((F.col("state") == "pending") & F.col("inside") & ~F.col("how").isin("sign", "word"), "prefix").otherwise(F.col("how"))
     return told.select("doc_id", "doc_key", "source", how.alias("how"), "last_line")
 

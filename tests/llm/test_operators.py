@@ -339,3 +339,25 @@ def test_truncated(spark):
     assert len(out) == len(rows) and out[3][1] == "none"
     assert {r.source: r.cut for r in truncation.by_source(truncation.truncated(df)).collect()} == {"s": 1, "t": 3}
     assert truncation.truncated(df.limit(0)).count() == 0
+
+
+def hot_texts(spark, copies):
+    """Copies of one text that ends as if it were whole, a longer one, and others before and after them in order."""
+    start = "The Council shall hear the appeal before the end of the year and publish it.\nMinister of Finance"
+    texts = spark.createDataFrame([("hot", start), ("long", f"{start} shall pay the fee."), ("before", "A text ends."), ("after", "Words that end here.\nRegistrar of the Mills")], "doc_key string, own string")
+    hot = spark.range(copies).selectExpr("id AS doc_id", "'hot' AS doc_key")
+    rows = hot.unionByName(texts.where("doc_key <> 'hot'").selectExpr("1000000000 + length(own) AS doc_id", "doc_key"))
+    return rows.join(texts, "doc_key").selectExpr("doc_id", "doc_key", "'s' AS source", "CAST(null AS string) AS title", "own AS text")
+
+
+@pytest.mark.parametrize(("copies", "partitions"), [(400, 4), (120_000, 1), (120_000, 2)])
+def test_truncated_copies_of_a_hot_text(spark, copies, partitions):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        out = Counter((r.doc_key, r.how) for r in truncation.endings(hot_texts(spark, copies)).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert out == {("hot", "prefix"): copies, ("long", "whole"): 1, ("before", "whole"): 1, ("after", "whole"): 1}
