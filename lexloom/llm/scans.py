@@ -3,7 +3,9 @@
 The lines of a text are labelled body, break, header or page by a linear-chain conditional model over layout features of a
 line: how it agrees with the document's title, whether it is a number with the signs around page numbers, how the lines
 around it begin and end. It is fitted to texts of the corpus set as printed pages, of which the labels are known. Paragraphs are put together again from the body lines. Broken and misread words are told by the
-counts of words over the whole corpus: a rare word that a usual misreading makes of a word many times as frequent.
+counts of words over the whole corpus: a rare word that a usual misreading makes of a word many times as frequent. No word is too
+rare to be counted: the distinct words of the texts and what they may have been are looked up by joins with the table of counts,
+and each run of texts gets the verdicts on its own words only.
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ from pyspark.sql import functions as F
 from lexloom.operators.skew import spread_join
 from lexloom.tables import cut, drop
 
-#: Words with at least this share of all words are known to every worker, so there are at most 1 / SHARE of them.
+#: A word of at least this share of all words stands by itself; a rarer one may be the part of a broken word.
 SHARE = 5e-6
+#: So many texts, or characters of texts, are a run, which is repaired with the verdicts on its own words.
+RUN_TEXTS, RUN_CHARACTERS = 2_000, 16_000_000
+#: The longest word that is judged, and the matches of BROKEN that it can hold, of at least three characters each.
+LONGEST, TOUCHING = 40, 14
 #: A word is misread only from one that is at least so many times as frequent, and has at least so many rows.
 RATIO, LEAST = 25, 8
 #: What is read in place of what; the first is read, each of the others may have been printed.
@@ -40,6 +46,8 @@ WORD = re.compile(rf"{LETTER}+(?:-{LETTER}+)*")
 TOKEN = re.compile(rf"[A-Za-z0-9|!$@À-῿‌‍]+(?:-{LETTER}+)*")
 #: A word broken at a line's end, the break kept or lost.
 BROKEN = re.compile(rf"({LETTER}+)(?:([-‐])[ \t]*\n\s*|([-‐])[ \t]+|([¬­])\s*)({LETTER}+)")
+#: What every match of BROKEN holds; far quicker to look for.
+BREAK_SIGN = re.compile(r"[-‐][ \t\n]|[¬\u00ad]")
 #: Words that follow a hyphen left open, as in "in- and outgoing".
 OPEN_AFTER = frozenset("and or to nor but with as und oder හෝ සහ மற்றும் அல்லது".split())
 PAGE = re.compile(r"^[\s\[({<|.~*–—-]*(?:(?:page|pg|p)[\s.]*)?[0-9]{1,4}(?:\s*of\s*[0-9]{1,4})?[\s\])}>|~*–—-]*$", re.IGNORECASE)
@@ -52,85 +60,131 @@ CITES = re.compile(r"(?:cited|known|called|referred to|entitled|titled)(?:\s+as)
 SENTENCE_END = re.compile(r"[.!?:;][\"'”’)\]]*$")
 
 
+def _digits(word: str) -> bool:
+    return any(not c.isalpha() and c != "-" for c in word)
+
+
+def candidate(token: str) -> str | None:
+    """A token in lower case; None if it can't be a misread word."""
+    word = token.lower()
+    letters = sum(c.isalpha() for c in word)
+    if not letters or len(word) < 2 or len(word) > LONGEST or not word.isascii():
+        return None
+    # Capitals and digits in one, or a number with one letter, are codes and numbers of sections.
+    if _digits(word) and (token[1:] != word[1:] and token != token.upper() or token != word and len(word) <= 3 or letters < 2 and len(word) > 2 or token == token.upper() and token != word and letters < 4):
+        return None
+    return word
+
+
+def options(word: str, depth: int | None = None) -> list[set[str]]:
+    """What may have been printed, by the number of misreadings; at most two, in a short word without digits one."""
+    steps: list[set[str]] = []
+    edge = {word}
+    for _ in range(depth or (2 if _digits(word) or len(word) > 4 else 1)):
+        step = set()
+        for w in edge:
+            for i in range(len(w)):
+                for size in (1, 2, 3):
+                    for printed in READ_FOR.get(w[i : i + size], ()) if i + size <= len(w) else ():
+                        step.add(w[:i] + printed + w[i + size :])
+        steps.append({x for x in step if len(x) > 1 and x != word and x.replace("-", "").isalpha()})
+        if len(step) > 400:
+            break
+        edge = step
+    return steps
+
+
+def splits(word: str) -> list[int]:
+    """Where a word may be two that ran together."""
+    return [] if _digits(word) or "-" in word else [at for at in range(1, len(word)) if min(at, len(word) - at) > 1 or word[:at] == "a"]
+
+
+def breaks(first: str, second: str, sure: bool, kept: bool, counts: tuple[int, int, int, int], floor: int) -> bool:
+    """Whether a word of two parts with a hyphen at a line's end is one broken in two; counts of the whole, the compound and the parts."""
+    whole, compound, one, two = counts
+    if second.lower() in OPEN_AFTER:
+        return False
+    if sure:
+        return True
+    if whole or compound:
+        return whole > compound
+    if second[:1].isupper() and not first.isupper():
+        return False
+    # Two words that stand by themselves make a compound; a part that doesn't was broken off.
+    return not (one > 4 * floor and two > 4 * floor) if kept else not (one >= floor and two >= floor)
+
+
 class Words:
-    """Counts of the frequent words of the corpus, in lower case."""
+    """What is told by the counts of words, in lower case, where all of them are at hand; judged() tells the same by joins."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.counts = counts
-        self.known = frozenset(counts)
-        self.judged: dict[str, str | None] = {}
-        self.floor = min(counts.values(), default=0)
+    def __init__(self, counts: dict[str, int], floor: int = 1):
+        self.counts, self.floor = counts, floor
 
     def count(self, word: str) -> int:
-        return self.counts.get(word.lower(), 0)
+        return self.counts.get(word, 0)
+
+    def least(self, word: str) -> int:
+        return max(LEAST, RATIO * self.count(word))
+
+    def misread(self, word: str) -> bool:
+        """Whether a word, however many rows it has, is itself read for one many times as frequent; then it is no print."""
+        return any(self.count(x) >= self.least(word) for x in options(word, 1)[0])
 
     def printed(self, token: str) -> str | None:
         """What a misread token was in print, in lower case; None if it isn't taken to be misread."""
-        if token not in self.judged:
-            if len(self.judged) > 200_000:
-                self.judged.clear()
-            self.judged[token] = self._printed(token)
-        return self.judged[token]
-
-    def _printed(self, token: str) -> str | None:
-        word = token.lower()
-        letters = sum(c.isalpha() for c in word)
-        if not letters or len(word) < 2 or len(word) > 40 or not word.isascii():
-            return None
-        digits = any(not c.isalpha() and c != "-" for c in word)
-        # Capitals and digits in one, or a number with one letter, are codes and numbers of sections.
-        if digits and (token[1:] != word[1:] and token != token.upper() or token != word and len(word) <= 3 or letters < 2 and len(word) > 2 or token == token.upper() and token != word and letters < 4):
+        word = candidate(token)
+        if word is None:
             return None
-        least = max(LEAST, RATIO * self.count(word))
-        best, most = None, 0
-        for option in self._options(word, 2 if digits or len(word) > 4 else 1):
-            if len(option) > 1 and (n := self.count(option)) > most and option.replace("-", "").isalpha():
-                best, most = option, n
-        if best and most >= least:
-            return best
-        if digits or "-" in word:
-            return None
-        best, most = None, 0
-        for at in range(1, len(word)):
-            a, b = word[:at], word[at:]
-            if min(len(a), len(b)) < 2 and a != "a":
-                continue
-            n = min(self.count(a), self.count(b))
-            if n > most and n >= 4 * least:
-                best, most = f"{a} {b}", n
-        return best
-
-    def _options(self, word: str, depth: int) -> set[str]:
-        out: set[str] = set()
-        edge = {word}
-        for _ in range(depth):
-            step = set()
-            for w in edge:
-                for i in range(len(w)):
-                    for size in (1, 2, 3):
-                        for printed in READ_FOR.get(w[i : i + size], ()) if i + size <= len(w) else ():
-                            step.add(w[:i] + printed + w[i + size :])
-            out |= step
-            if any(s in self.known for s in step) or len(step) > 400:
+        for step in options(word):
+            if known := [(-self.count(x), x) for x in step if self.count(x) >= LEAST and not self.misread(x)]:
+                n, best = min(known)
+                if -n >= self.least(word):
+                    return best
                 break
-            edge = step
-        return out
+        n, at = max(((min(self.count(word[:at]), self.count(word[at:])), -at) for at in splits(word)), default=(0, 0))
+        return f"{word[:-at]} {word[-at:]}" if n >= 4 * self.least(word) else None
+
+    def fixes(self, tokens: set[str]) -> dict[str, str]:
+        """What each of the tokens that are misread was in print."""
+        return {t: p for t in tokens if (p := self.printed(t))}
+
+    def begins(self, token: str) -> bool:
+        """Whether a longer word begins with a token."""
+        word = token.lower()
+        return any(n >= LEAST and w != word and w.startswith(word) for w, n in self.counts.items())
 
     def breaks(self, first: str, second: str, sure: bool, kept: bool) -> bool:
-        """Whether a word of two parts with a hyphen at a line's end is one word broken in two."""
         a, b = first.lower(), second.lower()
-        whole, compound = self.count(a + b), self.count(f"{a}-{b}")
-        if b in OPEN_AFTER:
-            return False
-        if sure:
-            return True
-        if whole or compound:
-            return whole > compound
-        if second[:1].isupper() and not first.isupper():
-            return False
-        one, two = self.count(a), self.count(b)
-        # Two words that stand by themselves make a compound; a part that doesn't was broken off.
-        return not (one > 4 * max(1, self.floor) and two > 4 * max(1, self.floor)) if kept else not (one and two)
+        return breaks(first, second, sure, kept, (self.count(a + b), self.count(f"{a}-{b}"), self.count(a), self.count(b)), self.floor)
+
+
+class Verdicts:
+    """What was told of the words and broken words of one run of texts."""
+
+    def __init__(self, floor: int):
+        self.floor = floor
+        self.words: dict[str, tuple[str, bool]] = {}
+        self.sound: set[str] = set()  # tokens seen that aren't misread
+        self.pairs: dict[tuple[str, str], tuple[int, int, int, int]] = {}
+
+    def printed(self, token: str) -> str | None:
+        found = self.words.get(token.lower())
+        return found[0] if found and candidate(token) else None
+
+    def fixes(self, tokens: set[str]) -> dict[str, str]:
+        out = {}
+        for t in tokens - self.sound:
+            if p := self.printed(t):
+                out[t] = p
+            else:
+                self.sound.add(t)
+        return out
+
+    def begins(self, token: str) -> bool:
+        return self.words[token.lower()][1]
+
+    def breaks(self, first: str, second: str, sure: bool, kept: bool) -> bool:
+        return breaks(first, second, sure, kept, self.pairs[first.lower(), second.lower()], self.floor)
 
 
 BODY, BREAK, HEADER, PAGE_LINE = range(4)
@@ -325,39 +379,78 @@ def fit_lines(texts: list[str], titles: list[str], rounds: int = ROUNDS, seed: i
     return LineModel(mean(model.weights, total.weights), mean(model.moves, total.moves))
 
 
-def repair(text: str, title: str | None, words: Words, model: LineModel) -> tuple[str, list[str]]:
-    """The text without its noise, as one line a paragraph, and the kinds of noise found in it, in alphabetical order."""
+def body_of(text: str, title: str | None, model: LineModel) -> tuple[str, set[str]]:
+    """The text without the lines that are headers or page numbers, and the kinds of those."""
     kinds: set[str] = set()
-    body = text
-    if "\n" in text:
-        lines = text.split("\n")
-        kept = []
-        for line, (state, beside) in zip(lines, model.labels(lines, title), strict=True):
-            if state == HEADER:
-                kinds.add("header")
-                if beside:
-                    kinds.add("page")
-            elif state == PAGE_LINE:
+    if "\n" not in text:
+        return text, kinds
+    lines = text.split("\n")
+    kept = []
+    for line, (state, beside) in zip(lines, model.labels(lines, title), strict=True):
+        if state == HEADER:
+            kinds.add("header")
+            if beside:
                 kinds.add("page")
-            else:
-                kept.append(line)
-        body = "\n".join(kept)
+        elif state == PAGE_LINE:
+            kinds.add("page")
+        else:
+            kept.append(line)
+    return "\n".join(kept), kinds
+
+
+def _unbroken(m: re.Match[str]) -> str:
+    first, kept, lost, soft, second = m.groups()
+    return m.group() if lost else f"{first}{kept or soft}{second}"
+
+
+def asked_of(body: str) -> tuple[set[str], set[tuple[str, str]]]:
+    """The tokens of a body, whether or not its broken words are joined, and the parts of those."""
+    tokens = set(TOKEN.findall(body))
+    found = list(BROKEN.finditer(body)) if BREAK_SIGN.search(body) else []
+    at = 0
+    while at < len(found):
+        # Broken words without a blank between them may come to stand in one token.
+        end = at + 1
+        while end < len(found) and not re.search(r"\s", body[found[end - 1].end() : found[end].start()]):
+            end += 1
+        left = ("." + body[max(0, found[at].start() - 4 * LONGEST) : found[at].start()] + ".").split()[-1][:-1]
+        right = re.match(r"\S*", body[found[end - 1].end() : found[end - 1].end() + 4 * LONGEST]).group()
+        for start in range(at, max(at, end - TOUCHING) + 1):
+            own = found[start : min(end, start + TOUCHING)]
+            forms = [left if start == at else ""]
+            for k, m in enumerate(own):
+                after = body[m.end() : own[k + 1].start()] if k + 1 < len(own) else right if own[-1] is found[end - 1] else ""
+                forms = [f"{x}{y}{after}" for x in forms for y in {m[1] + m[5], _unbroken(m)}]
+            for x in forms:
+                tokens.update(TOKEN.findall(x))
+        at = end
+    return tokens, {(m[1].lower(), m[5].lower()) for m in found}
+
+
+def repair(text: str, title: str | None, words: Words, model: LineModel) -> tuple[str, list[str]]:
+    """The text without its noise, as one line a paragraph, and the kinds of noise found in it, in alphabetical order."""
+    body, kinds = body_of(text, title, model)
+    return mended(body, kinds, words)
+
+
+def mended(body: str, kinds: set[str], words: Words | Verdicts) -> tuple[str, list[str]]:
+    """The same from a body and the kinds of its lines that are gone."""
 
     def join(m: re.Match[str]) -> str:
         first, kept, lost, soft, second = m.groups()
         if words.breaks(first, second, bool(soft), bool(kept)):
             kinds.add("hyphen")
             return first + second
-        return m.group() if lost else f"{first}{kept or soft}{second}"
+        return _unbroken(m)
 
-    if "-" in body or "¬" in body or "­" in body or "‐" in body:
+    if BREAK_SIGN.search(body):
         body = BROKEN.sub(join, body)
 
-    fixes = {t: p for t in set(TOKEN.findall(body)) if (p := words.printed(t))}
+    fixes = words.fixes(set(TOKEN.findall(body)))
     if fixes:
         # The last word of a text without an end may be the beginning of a word cut off, which isn't misread.
         ends = re.search(r"[^\W_]+$", body)
-        if ends and ends.group() in fixes and body.count(ends.group()) == 1 and any(w.startswith(ends.group().lower()) for w in words.known):
+        if ends and ends.group() in fixes and body.count(ends.group()) == 1 and words.begins(ends.group()):
             del fixes[ends.group()]
         fixes = {t: p for t, p in fixes.items() if re.search(rf"(?<![\w/-]){re.escape(t)}(?![\w/]|-\w)", body)}
     if fixes:
@@ -410,13 +503,47 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.where("text is not null").select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def known_words(texts: DataFrame, share: float = SHARE) -> Words:
-    """The words of at least the given share of all words, of which there can't be more than 1 / share."""
-    counts = cut(count_words(texts).where(F.length("word") <= 60))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    words = {r.word: r.n for r in counts.where(F.col("n") >= max(1, math.ceil(total * share))).toLocalIterator()}
-    drop(texts.sparkSession, counts)
-    return Words(words)
+def looked_up(rows: DataFrame, column: str, counts: DataFrame, name: str) -> DataFrame:
+    """rows with the count of a column's word as `name`, 0 where there is none."""
+    own = counts.select(F.col("word").alias("_word"), F.col("n").alias("_n"))
+    return rows.join(own, F.col(column) == F.col("_word"), "left").withColumn(name, F.coalesce("_n", F.lit(0))).drop("_word", "_n")
+
+
+def tried(words: DataFrame, counts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(word, least, depth, at, part, n): the options of each word that are words with LEAST rows, and at depth 3 the parts of its splits."""
+
+    def attempt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                out: list[tuple] = []
+                some = batch.slice(start, 500)
+                for word, least in zip(some.column("word").to_pylist(), some.column("least").to_pylist(), strict=True):
+                    out += [(word, least, k, 0, x) for k, step in enumerate(options(word, depth), 1) for x in step]
+                    out += [(word, least, 3, at, x) for at in splits(word) if not depth for x in (word[:at], word[at:])]
+                columns = list(zip(*out, strict=True)) if out else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["word", "least", "depth", "at", "part"])
+
+    rows = words.select("word", "least").mapInArrow(attempt, "word string, least long, depth int, at int, part string")
+    return rows.join(counts.where(F.col("n") >= LEAST).select(F.col("word").alias("part"), "n"), "part")
+
+
+def judged(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """(word, printed, begins) of the distinct words that are misread; begins: a longer word begins with it. As Words tells it."""
+    spark = words.sparkSession
+    least = lambda n: F.greatest(F.lit(LEAST).cast("long"), RATIO * F.col(n))
+    own = looked_up(words.select("word").distinct(), "word", counts, "own").select("word", least("own").alias("least"))
+    hits = cut(tried(own, counts))
+    found = hits.where("depth < 3")
+    misread = tried(found.select(F.col("part").alias("word"), least("n").alias("least")).distinct(), counts, 1).where("n >= least").select(F.col("word").alias("part")).distinct()
+    best = found.join(misread, "part", "left_anti").groupBy("word", "least").agg(F.min(F.struct("depth", (-F.col("n")).alias("less"), "part")).alias("best"))
+    one = best.where(-F.col("best.less") >= F.col("least")).select("word", F.col("best.part").alias("printed"))
+    parts = hits.where("depth = 3").groupBy("word", "least", "at").agg(F.count("*").alias("parts"), F.min("n").alias("n")).where("parts = 2 and n >= 4 * least")
+    two = parts.groupBy("word").agg(F.max(F.struct("n", (-F.col("at")).alias("before"))).alias("best")).select("word", (-F.col("best.before")).alias("at"))
+    two = two.select("word", F.concat(F.expr("left(word, at)"), F.lit(" "), F.expr("substr(word, at + 1)")).alias("printed")).join(one, "word", "left_anti")
+    told = cut(one.unionByName(two))
+    drop(spark, hits)
+    starts = counts.where((F.col("n") >= LEAST) & (F.length("word") > 1)).select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> left(word, i))")).alias("word"))
+    return told.join(starts.distinct().withColumn("begins", F.lit(True)), "word", "left").select("word", "printed", F.coalesce("begins", F.lit(False)).alias("begins"))
 
 
 def fitted_lines(chunks: DataFrame, docs: DataFrame, rows: int = SAMPLE_TEXTS) -> LineModel:
@@ -431,23 +558,55 @@ def fitted_lines(chunks: DataFrame, docs: DataFrame, rows: int = SAMPLE_TEXTS) -
     return fit_lines(sample(chunks, "id", "text"), sample(docs, "doc_key", "title"))
 
 
-def repaired(chunks: DataFrame, docs: DataFrame, words: Words | None = None, with_text: bool = True, model: LineModel | None = None) -> DataFrame:
+RUNS = "run long, place int, id string, text string, noise array<string>, a string, b string, counts array<long>"
+_RUNS = pa.schema([("run", pa.int64()), ("place", pa.int32()), ("id", pa.string()), ("text", pa.string()), ("noise", pa.list_(pa.string())), ("a", pa.string()), ("b", pa.string()), ("counts", pa.list_(pa.int64()))])
+
+
+def in_runs(texts: DataFrame, model: LineModel) -> DataFrame:
+    """(id, text, title) as runs of texts: at place 0 the words of a run that may be misread (a), at 1 its broken words (a, b), at 2 its bodies."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        run, size, rows = TaskContext.get().partitionId() << 32, 0, 0
+        tokens: set[str] = set()
+        pairs: set[tuple[str, str]] = set()
+
+        def asked() -> pa.RecordBatch:
+            words = {w for t in tokens if (w := candidate(t))}
+            n, m = len(words), len(pairs)
+            first, second = [*words, *(a for a, _ in pairs)], [None] * n + [b for _, b in pairs]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(([run] * (n + m), [0] * n + [1] * m, [None] * (n + m), [None] * (n + m), [None] * (n + m), first, second, [None] * (n + m)), _RUNS, strict=True)], schema=_RUNS)
+
+        for batch in batches:
+            out = []
+            for id_, text, title in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if rows >= RUN_TEXTS or size >= RUN_CHARACTERS:
+                    yield asked()
+                    run, size, rows = run + 1, 0, 0
+                    tokens.clear()
+                    pairs.clear()
+                body, kinds = body_of(text, title, model)
+                own, broken = asked_of(body)
+                tokens |= own
+                pairs |= broken
+                size, rows = size + len(body), rows + 1
+                out.append({"run": run, "place": 2, "id": id_, "text": body, "noise": sorted(kinds)})
+            yield pa.RecordBatch.from_pylist(out, schema=_RUNS)
+        yield asked()
+
+    return texts.select("id", "text", "title").mapInArrow(build, RUNS)
+
+
+def repaired(chunks: DataFrame, docs: DataFrame, with_text: bool = True, model: LineModel | None = None, share: float = SHARE) -> DataFrame:
     """(id, text, noise) of every chunk with a text: the repaired text, or null without with_text, and the kinds of noise found.
 
     docs gives the titles (doc_key, title); of repeated keys the last title by bytes counts, and a chunk without a title has
     no headers. Null texts give no row, empty ones an empty text; texts of any length are read whole; repeated ids come out
     each. Only texts with line breaks are joined with titles; a document with very many chunks is spread over tasks.
     """
-    words = words or known_words(chunks)
-    lines_ = model or fitted_lines(chunks, docs)
-    sent = chunks.sparkSession.sparkContext.broadcast(words.counts)
-
-    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Words(sent.value)
-        for batch in batches:
-            done = [repair(x, t, own, lines_) for x, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] if with_text else None for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.string()))], names=["id", "text", "noise"])
-
+    counts = cut(count_words(chunks))
+    floor = max(1, math.ceil((counts.agg(F.sum("n")).first()[0] or 0) * share))
     texts = chunks.where("text is not null").select("id", "doc_key", "text")
     lined = F.col("text").contains("\n")
     titles = docs.where("doc_key is not null").groupBy(F.col("doc_key").alias("key")).agg(F.max("title").alias("title"))
@@ -455,4 +614,30 @@ def repaired(chunks: DataFrame, docs: DataFrame, words: Words | None = None, wit
     known = titles.join(sizes, F.col("key") == F.col("size_key")).select("key", "rows", "title")
     joined = spread_join(texts.where(lined), known, "doc_key", "rows", ["title"]).select("id", "text", "title")
     plain = texts.where(~lined).select("id", "text", F.lit(None).cast("string").alias("title"))
-    return joined.unionByName(plain).mapInArrow(mend, "id string, text string, noise array<string>")
+    runs = cut(in_runs(joined.unionByName(plain), model or fitted_lines(chunks, docs)))
+
+    asked = runs.where("place = 0").select("run", F.col("a").alias("word"))
+    words = judged(asked, counts).join(asked, "word").select("run", F.lit(0).alias("place"), F.col("word").alias("a"), F.col("printed").alias("b"), F.array(F.col("begins").cast("long")).alias("counts"))
+    broken = runs.where("place = 1").select("run", "a", "b")
+    pairs = broken.select("a", "b").distinct().withColumns({"ab": F.concat("a", "b"), "a_b": F.concat("a", F.lit("-"), "b")})
+    for column in ("ab", "a_b", "a", "b"):
+        pairs = looked_up(pairs, column, counts, f"n_{column}")
+    pairs = broken.join(pairs, ["a", "b"]).select("run", F.lit(1).alias("place"), "a", "b", F.array("n_ab", "n_a_b", "n_a", "n_b").alias("counts"))
+
+    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, Verdicts(floor)
+        for batch in batches:
+            out = []
+            for run, place, id_, text, noise, a, b, counted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if run != at:
+                    at, own = run, Verdicts(floor)
+                if place == 0:
+                    own.words[a] = (b, bool(counted[0]))
+                elif place == 1:
+                    own.pairs[a, b] = tuple(counted)
+                else:
+                    out.append((id_, *mended(text, set(noise), own)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] if with_text else None for x in out], pa.string()), pa.array([x[2] for x in out], pa.list_(pa.string()))], names=["id", "text", "noise"])
+
+    every = runs.where("place = 2").unionByName(words, allowMissingColumns=True).unionByName(pairs, allowMissingColumns=True)
+    return every.repartition("run").sortWithinPartitions("run", "place").mapInArrow(mend, "id string, text string, noise array<string>")

@@ -209,6 +209,39 @@ def test_repaired(spark):
     assert scans.repaired(chunks.limit(0), docs.limit(0)).count() == 0
 
 
+def test_rare_words_keep_their_counts(spark):
+    plain = "the council shall be heard " * 20_000
+    rows = [(f"p{i}", "k", plain) for i in range(24)] + [(f"n{i}", "k", "the council of Norvale shall") for i in range(10)]
+    rows += [(f"a{i}", "k", "the tarn shall") for i in range(11)] + [(f"m{i}", "k", "the tam shall") for i in range(14)] + [("x", "k", "the council of Norva1e shall")]
+    chunks = spark.createDataFrame(rows, "id string, doc_key string, text string")
+    docs = spark.createDataFrame([], "doc_key string, title string")
+    out = {r.id: (r.text, r.noise) for r in scans.repaired(chunks, docs).where("size(noise) > 0").collect()}
+    assert out == {"x": ("the council of Norvale shall", ["char"])}
+
+
+def test_verdicts_by_joins_are_those_of_all_counts(spark):
+    rng = random.Random(9)
+    made = ["".join(rng.choices("tbehncuilrmaf1", k=rng.randrange(1, 6))) for _ in range(600)] + ["ofthe", "couucii", "councii", "by-lavv"]
+    made += [x for w in made[:600] for x in sorted(scans.options(w, 1)[0])[:2]]
+    counts = {w: rng.choice([1, 2, 9, 40, 900, 30_000]) for w in made if w.isalpha()} | {"council": 9000, "councii": 40, "by-law": 800, "of": 9000, "the": 9000}
+    tokens = sorted({w for t in made if (w := scans.candidate(t))})
+    told = scans.judged(spark.createDataFrame([(w,) for w in tokens * 2], "word string"), spark.createDataFrame(list(counts.items()), "word string, n long")).collect()
+    words = scans.Words(counts)
+    assert {r.word: (r.printed, r.begins) for r in told} == {w: (p, words.begins(w)) for w in tokens if (p := words.printed(w))}
+    assert len(told) == len({r.word for r in told}) > 20 and {r.word: r.printed for r in told}["couucii"] == "council"
+
+
+def test_words_asked_hold_those_of_every_joining():
+    rng = random.Random(4)
+    for _ in range(500):
+        body = "".join(rng.choice(["the", "in", "a", "-\n", "- ", "¬", "-", "0", " ", "/", "\n"]) for _ in range(rng.randrange(2, 30)))
+        asked, pairs = scans.asked_of(body)
+        for _ in range(8):
+            form = scans.BROKEN.sub(lambda m: m[1] + m[5] if rng.random() < 0.5 else scans._unbroken(m), body)
+            assert {t for t in scans.TOKEN.findall(form) if scans.candidate(t)} <= asked
+        assert {(m[1].lower(), m[5].lower()) for m in scans.BROKEN.finditer(body)} == pairs
+
+
 # 6. Groups
 
 
