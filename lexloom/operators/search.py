@@ -7,11 +7,13 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Queries searched for in one pass over the vectors; more take more passes.
 QUERIES = 4096
@@ -20,6 +22,25 @@ K1, B = 1.2, 0.75
 SINHALA_OR_TAMIL = r"[඀-෿஀-௿]"
 
 
+def unit_rows(lists: pa.Array) -> np.ndarray:
+    """Vectors as rows of length 1; one of length 0 stays 0."""
+    own = np.stack([np.asarray(v, dtype=np.float64) for v in lists.to_pylist()])
+    norms = np.linalg.norm(own, axis=1, keepdims=True)
+    return np.divide(own, norms, out=np.zeros_like(own), where=norms > 0)
+
+
+def query_blocks(queries: DataFrame, id_: str, vector: str, per_pass: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, rows of length 1) of the queries, a block at a time."""
+    block: list[tuple[int, list[float]]] = []
+    for row in queries.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long"), vector).toLocalIterator():
+        block.append((row[0], row[1]))
+        if len(block) == per_pass:
+            yield np.array([q for q, _ in block]), unit_rows(pa.array([v for _, v in block]))
+            block = []
+    if block:
+        yield np.array([q for q, _ in block]), unit_rows(pa.array([v for _, v in block]))
+
+
 def dense(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, per_pass: int = QUERIES) -> DataFrame:
     """(query, hit, cosine, rank): the k nearest rows of each query by cosine, ties by id, the query's own row left out.
 
@@ -27,30 +48,21 @@ def dense(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int,
     rows a query, so that k rows a task and query are shuffled and never all pairs. Null vectors and those of length 0 are no hits.
     """
     spark = vectors.sparkSession
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long"), vector)
-    out, block = None, []
-
-    def search(block: list[tuple[int, list[float]]]) -> DataFrame:
-        ids = np.array([q for q, _ in block])
-        matrix = np.array([v for _, v in block], dtype=np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long"), vector)
+    out = None
+    for ids, matrix in query_blocks(queries, id_, vector, per_pass):
         sent = spark.sparkContext.broadcast((ids, matrix))
 
-        def task(batches):
+        def task(batches, sent=sent):
             ids, matrix = sent.value
             best_score = np.full((len(ids), 0), -np.inf)
             best_id = np.zeros((len(ids), 0), dtype=np.int64)
             for batch in batches:
-                lists = batch.column(1)
-                rows = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-                if not len(rows):
-                    continue
-                own = np.stack([np.asarray(v, dtype=np.float64) for v in lists.to_pylist()])
-                norms = np.linalg.norm(own, axis=1)
-                rows, own = rows[norms > 0], own[norms > 0] / norms[norms > 0, None]
-                for at in range(0, len(rows), 4096):
-                    scores = np.round(matrix @ own[at : at + 4096].T, 9)
-                    near = rows[at : at + 4096]
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    own, near = unit_rows(part.column(1)), np.array(part.column(0).to_pylist(), dtype=np.int64)
+                    scores = np.round(matrix @ own.T, 9)
+                    scores[:, ~own.any(axis=1)] = -np.inf
                     scores[ids[:, None] == near[None, :]] = -np.inf
                     joined, joined_id = np.concatenate([best_score, scores], axis=1), np.concatenate([best_id, np.broadcast_to(near, scores.shape)], axis=1)
                     order = np.lexsort((joined_id, -joined), axis=1)[:, :k]
@@ -59,16 +71,10 @@ def dense(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int,
             keep = best_score.ravel() > -np.inf
             yield pa.RecordBatch.from_arrays([pa.array(query[keep]), pa.array(best_id.ravel()[keep]), pa.array(best_score.ravel()[keep])], names=["query", "hit", "cosine"])
 
-        return vectors.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long"), vector).mapInArrow(task, "query long, hit long, cosine double")
-
-    for row in asked.toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == per_pass:
-            out, block = search(block) if out is None else out.union(search(block)), []
-    if block or out is None:
-        if not block:
-            return spark.createDataFrame([], "query long, hit long, cosine double, rank int")
-        out = search(block) if out is None else out.union(search(block))
+        found = rows.mapInArrow(task, "query long, hit long, cosine double")
+        out = found if out is None else out.union(found)
+    if out is None:
+        return spark.createDataFrame([], "query long, hit long, cosine double, rank int")
     window = Window.partitionBy("query").orderBy(F.desc("cosine"), "hit")
     return out.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
@@ -196,6 +202,40 @@ def recall(judged: DataFrame, queries: DataFrame, at: list[int]) -> DataFrame:
     return every.agg(*[F.round(F.avg(F.coalesce((F.col("first") <= n).cast("double"), F.lit(0.0))), 6).alias(f"recall_{n}") for n in at])
 
 
-def one_per_group(hits: DataFrame, groups: DataFrame) -> DataFrame:
-    """The best hit of each group (hit, group) for each query."""
-    return hits.join(groups, "hit").groupBy("query", "group").agg(F.min(F.struct("rank", "hit")).alias("best")).select("query", "group", F.col("best.hit").alias("hit"), F.col("best.rank").alias("rank"))
+def best_of_groups(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, group: str, per_pass: int = QUERIES) -> DataFrame:
+    """(query, group, hit, cosine, rank): for each query the nearest row of every group, ties by id, and the group's place among them.
+
+    Each block of rows is multiplied with a block of queries and leaves one row a query and group that it holds, so that the best
+    of a group is found however deep it lies among all rows. The query's own row is left out; a null group is a group.
+    """
+    spark = vectors.sparkSession
+    kind = vectors.schema[group].dataType
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long"), vector, group)
+    schema = StructType().add("query", "long").add("group", kind).add("hit", "long").add("cosine", "double")
+    out = None
+    for ids, matrix in query_blocks(queries, id_, vector, per_pass):
+        sent = spark.sparkContext.broadcast((ids, matrix))
+
+        def task(batches, sent=sent):
+            ids, matrix = sent.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096).sort_by([(batch.schema.names[2], "ascending"), (batch.schema.names[0], "ascending")])
+                    own, near = unit_rows(part.column(1)), np.array(part.column(0).to_pylist(), dtype=np.int64)
+                    groups = part.column(2).to_pylist()
+                    scores = np.round(matrix @ own.T, 9)
+                    scores[:, ~own.any(axis=1)] = -np.inf
+                    scores[ids[:, None] == near[None, :]] = -np.inf
+                    starts = [i for i, g in enumerate(groups) if not i or g != groups[i - 1]]
+                    for a, b in zip(starts, [*starts[1:], len(groups)], strict=True):
+                        best = scores[:, a:b].argmax(axis=1)  # the first of equal ones, which is the smallest id
+                        score = scores[np.arange(len(ids)), a + best]
+                        keep = score > -np.inf
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), part.column(2).take(pa.array(np.full(int(keep.sum()), a))), pa.array(near[a + best][keep]), pa.array(score[keep])], names=["query", "group", "hit", "cosine"])
+
+        found = rows.mapInArrow(task, schema)
+        out = found if out is None else out.union(found)
+    if out is None:
+        return spark.createDataFrame([], schema.add("rank", "int"))
+    best = out.groupBy("query", "group").agg(F.max(F.struct("cosine", (-F.col("hit")).alias("h"))).alias("b")).select("query", "group", (-F.col("b.h")).alias("hit"), F.col("b.cosine").alias("cosine"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "hit")))

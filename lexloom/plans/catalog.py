@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.keys import plain_key, plain_label
 from lexloom.operators import cdc
 from lexloom.operators.best import best_per_key
+from lexloom.operators.skew import spread_join
 from lexloom.plans.shared import both, plain_sql
 from lexloom.sources.files import read_back, write_run
 from lexloom.tables import table
@@ -117,13 +118,6 @@ _years, _years_sql = both("""
 SELECT y.year, d.docs IS NOT NULL AND y.year <> 2026 AND y.year <> 2025 AS skip, coalesce(d.docs, 0) AS docs
 FROM (SELECT explode(sequence(1990, 2026)) AS year) y LEFT JOIN (SELECT doc_year, count(*) AS docs FROM {docs} GROUP BY doc_year) d ON d.doc_year = y.year
 """)
-_backfill, _backfill_sql = both("""
-SELECT doc_key, id FROM (SELECT lower(trim(listed_key)) AS doc_key, id, row_number() OVER (PARTITION BY lower(trim(listed_key)) ORDER BY last_seen DESC, id) AS n FROM {listings}
-  WHERE listed_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {documents} d WHERE d.doc_key = lower(trim(listed_key)))) x WHERE n = 1
-""")
-_sha_reuse, _sha_reuse_sql = both("""
-SELECT a.doc_id, min(b.doc_id) AS same_file FROM {documents} a JOIN {documents} b ON a.sha256 = b.sha256 AND b.doc_id < a.doc_id GROUP BY a.doc_id
-""")
 _shards, _shards_sql = both("""
 SELECT source, count(*) AS files, count(DISTINCT doc_type) AS types, sum(CASE WHEN file_format = 'pdf' THEN 1 ELSE 0 END) AS pdf, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM {listings} GROUP BY source
 """)
@@ -132,6 +126,20 @@ SELECT source_url, count(*) AS times, min(id) AS first_id, max(id) AS last_id FR
 """)
 
 
+def same_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose file an earlier one holds already, with the first that does: one minimum a hash, joined back."""
+    held = table(spark, folder, "documents").where("sha256 is not null").select("doc_id", "sha256")
+    first = held.groupBy(F.col("sha256").alias("file")).agg(F.min("doc_id").alias("same_file"), F.count("*").alias("rows"))
+    return spread_join(held, first, "sha256", "rows", ["same_file"]).where("same_file < doc_id").select("doc_id", "same_file").distinct()
+
+
+def backfill(spark: SparkSession, folder: str) -> DataFrame:
+    """For each key listed that no document has, in plain spelling, the listing seen last, of equal ones the first id."""
+    held = table(spark, folder, "documents").select(plain_key(F.col("doc_key")).alias("doc_key"))
+    missing = _listings(spark, folder).where("doc_key is not null").join(held, "doc_key", "left_anti")
+    return missing.groupBy("doc_key").agg(F.max_by("id", F.struct(F.col("last_seen"), (-F.col("id")).alias("i"))).alias("id"))
+
+
 def sharding(spark: SparkSession, folder: str) -> DataFrame:
     from lexloom.functions.ids import shard
 
@@ -153,8 +161,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "is_law": _is_law,
     "filter_all_words": _all_words,
     "years_to_crawl": _years,
-    "backfill_todo": _backfill,
-    "same_file": _sha_reuse,
+    "backfill_todo": backfill,
+    "same_file": same_file,
     "files_by_source": _shards,
     "listed_again": _duplicates,
     "sharding": sharding,
@@ -181,8 +189,8 @@ SELECT CASE WHEN b.id IS NULL THEN 'only_held' WHEN held IS NULL THEN 'only_new'
     "is_law": _is_law_sql,
     "filter_all_words": _all_words_sql,
     "years_to_crawl": _years_sql.replace("explode(sequence(1990, 2026))", "unnest(range(1990, 2027))"),
-    "backfill_todo": _backfill_sql,
-    "same_file": _sha_reuse_sql,
+    "backfill_todo": f"WITH {KEYED} SELECT doc_key, id FROM (SELECT doc_key, id, row_number() OVER (PARTITION BY doc_key ORDER BY last_seen DESC NULLS LAST, id) AS n FROM k WHERE doc_key IS NOT NULL AND doc_key NOT IN (SELECT {plain_sql('doc_key')} FROM documents WHERE doc_key IS NOT NULL)) WHERE n = 1",
+    "same_file": "SELECT a.doc_id, min(b.doc_id) AS same_file FROM documents a JOIN documents b ON a.sha256 = b.sha256 AND b.doc_id < a.doc_id GROUP BY a.doc_id",
     "files_by_source": _shards_sql,
     "listed_again": _duplicates_sql,
     "sharding": "SELECT CAST('0x' || right(sha256, 8) AS BIGINT) % 16 AS shard, count(*) AS files FROM documents WHERE sha256 IS NOT NULL GROUP BY 1",

@@ -44,8 +44,8 @@ def resolve_whole(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def resolve_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """Repeals of a whole Part, link by link: the Part named is the scope in the address of its units."""
-    named = plain_links(spark, folder).where("kind = 'repeals'").select("id", "kind", "src_doc", "dst_doc", F.array(F.lit("Part I"), F.lit("Part II")).alias("labels"))
+    """Repeals of a whole Part, link by link: the Part named is the scope in the address of its units; a link that names none has no row."""
+    named = plain_links(spark, folder).where("kind = 'repeals' and part_named is not null").select("id", "kind", "src_doc", "dst_doc", F.array(F.trim("part_named")).alias("labels"))
     units = table(spark, folder, "chunks").where("kind = 'unit'").withColumn("scope", F.element_at(F.split("address", "/"), -3))
     return r.part_links(named, _twins(spark, folder), units)
 
@@ -175,8 +175,8 @@ ORACLE: dict[str, str] = {
     "resolve_whole": f"{RESOLVE_SQL} SELECT id, held_doc FROM w WHERE n = 1",
     "resolve_parts": f"""{RESOLVE_SQL},
 u AS (SELECT *, string_split(address, '/') AS a FROM chunks WHERE kind = 'unit' AND label IS NOT NULL),
-x AS (SELECT k.id, k.pref, k.doc, u.a[len(u.a) - 2] AS part, u.label, u.seq, u.id AS dst_chunk FROM (SELECT DISTINCT k.id, k.pref, k.doc FROM k JOIN m USING (id) WHERE m.kind = 'repeals') k
-  JOIN u ON u.doc_key = k.doc WHERE u.a[len(u.a) - 2] IN ('Part I', 'Part II')),
+x AS (SELECT k.id, k.pref, k.doc, u.a[len(u.a) - 2] AS part, u.label, u.seq, u.id AS dst_chunk FROM (SELECT DISTINCT k.id, k.pref, k.doc, trim(n.part_named) AS named FROM k JOIN m USING (id) JOIN links n USING (id) WHERE m.kind = 'repeals') k
+  JOIN u ON u.doc_key = k.doc AND u.a[len(u.a) - 2] = k.named),
 f AS (SELECT id, part, doc FROM (SELECT *, row_number() OVER (PARTITION BY id, part ORDER BY pref, doc) AS n FROM (SELECT DISTINCT id, part, pref, doc FROM x)) WHERE n = 1),
 y AS (SELECT x.id, x.part, x.label, x.dst_chunk, row_number() OVER (PARTITION BY x.id, x.part, x.label ORDER BY x.seq, x.dst_chunk) AS n FROM x JOIN f USING (id, part, doc))
 SELECT id, part, label, dst_chunk FROM y WHERE n = 1""",

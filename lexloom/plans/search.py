@@ -27,9 +27,9 @@ def cosine_within_label(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topk_one_per_group(spark: SparkSession, folder: str) -> DataFrame:
+    """The best row of every label for each query, however deep it lies."""
     v = _vectors(spark, folder)
-    hits = s.dense(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", 30)
-    return s.one_per_group(hits, v.select(F.col("vec_id").alias("hit"), F.col("label").alias("group")))
+    return s.best_of_groups(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", "label").select("query", "group", "hit", "rank")
 
 
 def label_recall(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +96,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, hit)
 ORACLE: dict[str, str] = {
     "cosine_topk": f"WITH {NEAR} SELECT query, hit, rank, round(cosine, 6) AS cosine FROM r WHERE rank <= 10",
     "cosine_within_label": f"WITH {NEAR}, x AS (SELECT query, hit, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, hit) AS rank FROM c WHERE label IN (1, 3, 5)) SELECT * FROM x WHERE rank <= 5",
-    "topk_one_per_group": f'WITH {NEAR} SELECT query, label AS "group", arg_min(hit, rank) AS hit, min(rank) AS rank FROM r WHERE rank <= 30 GROUP BY query, label',
+    "topk_one_per_group": f'WITH {NEAR}, g AS (SELECT query, label AS "group", arg_min(hit, rank) AS hit, min(rank) AS first FROM r GROUP BY query, label) SELECT query, "group", hit, row_number() OVER (PARTITION BY query ORDER BY first) AS rank FROM g',
     "label_recall": f"""WITH {NEAR}, q AS (SELECT vec_id AS query, label FROM v WHERE vec_id % 20 = 0), k AS (SELECT q.query, min(r.rank) AS first FROM q LEFT JOIN r ON r.query = q.query AND r.label = q.label AND r.rank <= 10 GROUP BY q.query)
 SELECT round(avg(coalesce((first <= 1)::INT, 0)), 6) AS recall_1, round(avg(coalesce((first <= 5)::INT, 0)), 6) AS recall_5, round(avg(coalesce((first <= 10)::INT, 0)), 6) AS recall_10 FROM k""",
     "bm25_topk": r"""

@@ -52,7 +52,7 @@ def usage_breakdown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def usage_daily(spark: SparkSession, folder: str) -> DataFrame:
-    return u.daily(_events(spark, folder).where("event_type = 'signup' and user_id % 50 = 3"), "ts", "value").select("day", "events", F.round(F.col("cost").cast("double"), 4).alias("cost"))
+    return u.daily(_events(spark, folder), "ts", "value").select("day", "events", F.round(F.col("cost").cast("double"), 4).alias("cost"))
 
 
 def user_counters(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,7 +152,7 @@ WITH t AS (SELECT event_type, count(*) AS events, round(coalesce(sum(value::DECI
 q AS (SELECT event_type, k AS quantity, round(sum(CAST(json_extract_string(props, '$.' || k) AS DOUBLE)), 4) AS amount FROM (SELECT event_type, props, unnest(json_keys(props)) AS k FROM events) GROUP BY event_type, k)
 SELECT event_type, events, cost, quantity, amount FROM t LEFT JOIN q USING (event_type)""",
     "usage_daily": f"""
-WITH p AS (SELECT {DAY} AS day, count(*) AS events, round(sum(value::DECIMAL(18,10))::DOUBLE, 4) AS cost FROM events WHERE event_type = 'signup' AND user_id % 50 = 3 AND ts IS NOT NULL GROUP BY 1),
+WITH p AS (SELECT {DAY} AS day, count(*) AS events, round(sum(value::DECIMAL(18,10))::DOUBLE, 4) AS cost FROM events WHERE ts IS NOT NULL GROUP BY 1),
 d AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM p)
 SELECT d.day, coalesce(events, 0) AS events, coalesce(cost, 0.0) AS cost FROM d LEFT JOIN p USING (day)""",
     "user_counters": f"""
