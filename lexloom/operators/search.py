@@ -236,6 +236,6 @@ def best_of_groups(vectors: DataFrame, queries: DataFrame, id_: str, vector: str
         found = rows.mapInArrow(task, schema)
         out = found if out is None else out.union(found)
     if out is None:
-        return spark.createDataFrame([], schema.add("rank", "int"))
+        out = spark.createDataFrame([], schema)
     best = out.groupBy("query", "group").agg(F.max(F.struct("cosine", (-F.col("hit")).alias("h"))).alias("b")).select("query", "group", (-F.col("b.h")).alias("hit"), F.col("b.cosine").alias("cosine"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "hit")))
