@@ -1,10 +1,11 @@
 """Texts cut off by field limits.
 
-The texts are sorted, so that a text that is a strict prefix of any other is one of the next text that differs; where the longer
-copy goes on inside a sentence or word, the shorter was cut. The same pass looks at how each text ends, for the copies that
-have no longer one: a sign of the cut, a sentence without its end, or a closing line after which nothing is due. Last lines
-that neither end a sentence nor have the form of a closing line are counted over the corpus: what ends many documents closes
-them.
+A text that is a strict prefix of longer copies, one of which goes on inside a sentence or word, was cut. Texts are told apart by
+a hash; hashes of their beginnings at a ladder of lengths leave only those that can be a prefix or have one, and only these are
+sorted, each text once however many copies it has. In the order of texts the prefixes of a text are those on a stack, so that
+every longer copy is met and no pairs are made. How a text ends tells of the cuts that have no longer copy: a sign of the cut,
+a sentence without its end, or a closing line after which nothing is due. Last lines that neither end a sentence nor have the
+form of a closing line are counted over the corpus: what ends many documents closes them.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators.skew import spread_join
-from lexloom.tables import cut
+from lexloom.operators.skew import HOT_ROWS, spread_join
+from lexloom.tables import cut, drop
 
 #: Signs of a cut at the end: dots, an ellipsis alone or in brackets, a broken entity, a broken character, words for "goes on".
 SIGNS = re.compile(r"(?:\s*(?:\.{2,}|…|\[\s*(?:\.{2,}|…)\s*\]|\(\s*(?:\.{2,}|…)\s*\)|&#?\w{0,8}|�+|[\[(](?:continued|cont\.?|more|truncated|read more)[\])]?|\[))+$", re.IGNORECASE)
@@ -37,10 +38,10 @@ CLOSINGS = [
 ]
 #: A last line that ends at least this share of the documents, and documents of so many keys, closes them; the longest line that can.
 CLOSING_SHARE, CLOSING_DOCUMENTS, CLOSING_CHARACTERS = 5e-4, 3, 80
-#: A text shorter than this is no sign that a longer one which begins like it is a copy.
-LEAST_PREFIX = 40
-#: So many copies of one text are held until the next that differs is met; more leave before it.
-HELD = 50_000
+#: Lengths at which beginnings are hashed, each twice the one before; a shorter text is looked up by itself.
+LADDER = (32, 64, 128)
+#: Characters by which texts are spread over tasks in their order, and those by which texts are that share so many with very many others.
+ORDERED, ORDERED_HOT = 128, 2048
 
 
 def closing_line(lines: list[str]) -> bool:
@@ -61,7 +62,7 @@ def closing_line(lines: list[str]) -> bool:
 
 
 def ending(text: str, title: str | None) -> str:
-    """How a text that isn't blank ends: `whole`, `sign`, `word`, `open` (inside a sentence) or `line` (to be counted)."""
+    """How a text that isn't blank ends: `whole`, `title` (it is no more than that), `sign`, `word`, `open` (inside a sentence) or `line` (to be counted)."""
     text = text.rstrip()
     tail = text[-2000:]
     if SIGNS.search(tail):
@@ -70,133 +71,151 @@ def ending(text: str, title: str | None) -> str:
     last = lines[-1].strip()
     if re.search(r"[^\W\d_][-¬­‐]$", last):
         return "word"
+    if title and len(lines) == 1 and last == title.strip():
+        return "title"
     if closing_line(lines):
         return "whole"
     if ENDED.search(last):
         return "open" if ABBREVIATED.search(last) or OPENER.match(last) else "whole"
     if title and re.sub(r"\W+", "", last.lower()) == re.sub(r"\W+", "", title.lower()):
-        return "whole"
+        return "whole" if len(lines) > 1 or len(text) > len(tail) else "title"
     return "line" if len(lines) > 1 and len(last) <= CLOSING_CHARACTERS else "open"
 
 
-def goes_on(longer: str, at: int) -> bool:
-    """Whether the longer copy is inside a sentence or word at a position."""
-    before, after = longer[:at].rstrip(), longer[at:]
-    if not after.strip() or after[0] == "\n" or before != longer[:at] and "\n" in longer[len(before) : at]:
+def goes_on(core: str, after: str) -> bool:
+    """Whether a longer copy, of which after is the next character, is inside a sentence or word where core ends."""
+    bare = core.rstrip()
+    if after == "\n" or "\n" in core[len(bare) :]:
         return False
-    if after[0].isspace() or before != longer[:at]:
-        return not ENDED.search(before[-40:]) or bool(ABBREVIATED.search(before[-40:]))
+    if after.isspace() or bare != core:
+        return not ENDED.search(bare[-40:]) or bool(ABBREVIATED.search(bare[-40:]))
     return True
 
 
-def cut_inside(core: str, following: str | None) -> bool:
-    """Whether the next core that differs is a longer copy that goes on inside a sentence or word."""
-    return following is not None and len(core) >= LEAST_PREFIX and following.startswith(core) and goes_on(following, len(core))
+def look_at_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How each text ends, from its end and title; the other columns as they are."""
+    for batch in batches:
+        hows, lines = [], []
+        for text, title in zip(batch.column("text").to_pylist(), batch.column("title").to_pylist(), strict=True):
+            how = ending(text, title)
+            hows.append(how)
+            lines.append(text.rstrip().rpartition("\n")[2].strip() if how == "line" else None)
+        kept = batch.drop_columns(["text", "title"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(hows, pa.string()), pa.array(lines, pa.string())], names=[*kept.schema.names, "how", "last_line"])
 
 
-def sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of core; for each how it ends and whether the next core that differs goes on inside a sentence.
+def stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From distinct cores in order the verdicts `inside` of those that a longer one goes on from, and `open` those that may have more in the next task.
 
-    Rows whose successor isn't known when they leave come out as `pending` with the number of their core in the partition. What
-    comes of it follows: a row `met` with the verdict, or, where the successor is in another partition, a row `open` with the
-    core. The first two cores of each partition that differ come out as `edge`: one of them is the successor of any open core.
-    There are at most three of these rows to a partition and one to a core with more than HELD copies.
+    The stack holds the cores that are prefixes of the present one, so it is never longer than that has characters.
     """
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.bool_()]
-    names = ["doc_id", "doc_key", "source", "how", "last_line", "state", "part", "nth", "core", "inside"]
-    rows: list[tuple] = []
-    core = None
-    nth = 0  # cores so far
-    held = 0  # rows of the present core, which are the last of rows
-    left = False  # whether rows of the present core have left as pending
-
-    def settle(following: str) -> None:
-        nonlocal held, left
-        on = cut_inside(core, following)
-        for i in range(len(rows) - held, len(rows)):
-            r = rows[i]
-            rows[i] = (*r[:3], "prefix" if on and r[3] not in ("sign", "word") else r[3], *r[4:])
-        if left:
-            rows.append((None, None, None, None, None, "met", part, nth, None, on))
-        held, left = 0, False
-
-    def flush(keep: int) -> pa.RecordBatch:
-        nonlocal rows
-        out, rows = rows[: len(rows) - keep], rows[len(rows) - keep :]
-        columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-    def pending() -> None:
-        nonlocal held, left
-        rows[len(rows) - held :] = [(*r[:5], "pending", part, nth, None, None) for r in rows[len(rows) - held :]]
-        held, left = 0, True
+    stack: list[list] = []  # core, its id, whether a longer one goes on inside
+    out: list[tuple] = []
+    names = ["core_id", "core", "state"]
+
+    def flush() -> pa.RecordBatch:
+        rows = list(zip(*out, strict=True)) if out else [[]] * 3
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in rows], names=names)
 
     for batch in batches:
-        columns = {n: batch.column(n).to_pylist() for n in ("doc_id", "doc_key", "source", "title", "core", "text")}
-        for doc_id, doc_key, source, title, own, text in zip(*columns.values(), strict=True):
-            if own != core:
-                if core is not None:
-                    settle(own)
-                nth += 1
-                if nth <= 2:
-                    rows.append((None, None, None, None, None, "edge", part, nth, own, None))
-                core = own
-            how = ending(text, title)
-            rows.append((doc_id, doc_key, source, how, text.rstrip().rpartition("\n")[2].strip() if how == "line" else None, "done", part, None, None, None))
-            held += 1
-        if held > HELD:
-            pending()
-        if held < len(rows):
-            yield flush(held)
-    if core is not None:
-        pending()
-        rows.append((None, None, None, None, None, "open", part, nth, core, None))
-        yield flush(0)
-
-
-def open_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The verdicts of cores that are met with their successor from another partition."""
+        for core_id, core in zip(batch.column("core_id").to_pylist(), batch.column("core").to_pylist(), strict=True):
+            while stack and not core.startswith(stack[-1][0]):
+                stack.pop()
+            for entry in stack:
+                if not entry[2] and goes_on(entry[0], core[len(entry[0])]):
+                    entry[2] = True
+                    out.append((entry[1], None, "inside"))
+            stack.append([core, core_id, False])
+        yield flush()
+    out += [(core_id, core, "open") for core, core_id, inside in stack if not inside]
+    yield flush()
+
+
+def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of cores with one of the characters after them inside a sentence or word."""
     for batch in batches:
-        inside = [cut_inside(a, b) for a, b in zip(batch.column("core").to_pylist(), batch.column("next").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("nth"), pa.array(inside, pa.bool_())], names=["part", "nth", "inside"])
+        on = [goes_on(c, a) for c, a in zip(batch.column("core").to_pylist(), batch.column("after").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("core_id").filter(pa.array(on, pa.bool_()))], names=["core_id"])
 
 
-def endings(documents: DataFrame) -> DataFrame:
-    """(doc_id, doc_key, source, how, last_line) of every document whose text isn't null or blank."""
-    # The ends of texts are looked at by themselves: a pattern tried at each place of a long text costs more than the sort.
-    text = F.rtrim("text", F.lit(" \t\r\n\u00a0\u3000"))
-    tail = F.substring(text, -14, 14)
+def trimmed(documents: DataFrame) -> DataFrame:
+    """Documents with a text that isn't null or blank, with `whole`, the text without blanks at its end, and `core`, that without a sign of a cut."""
+    # The ends of texts are looked at by themselves: a pattern tried at each place of a long text costs more than all else.
+    whole = F.rtrim("text", F.lit(" \t\r\n\u00a0\u3000"))
+    tail = F.substring(whole, -14, 14)
     sign = F.length(tail) - F.length(F.regexp_replace(tail, r"(?i)\s*(\.{2,}|…|\[(\.{2,}|…)\]|&#?\w{0,8}|�+|[-¬\x{ad}])$", ""))
-    core = F.substring(text, F.lit(1), F.length(text) - sign)
-    rows = documents.where(F.col("text").rlike(r"[^\s\x{a0}]")).select("doc_id", "doc_key", "source", "title", core.alias("core"), F.substring(text, -2000, 2000).alias("text"))
-    rows = rows.orderBy("core", "doc_id")
-    schema = "doc_id long, doc_key string, source string, how string, last_line string, state string, part int, nth long, core string, inside boolean"
-    out = cut(rows.mapInArrow(sorted_pass, schema))
-    # An open core's successor is the next of all cores at the edges, however many partitions its copies fill.
-    edges = out.where("state in ('edge', 'open')")
-    following = edges.select("core").distinct().select("core", F.lead("core").over(Window.orderBy("core")).alias("next"))
-    opened = edges.where("state = 'open'").select("part", "nth", "core").join(following, "core").select("part", "nth", "core", "next")
-    verdicts = opened.mapInArrow(open_cores, "part int, nth long, inside boolean").unionByName(out.where("state = 'met'").select("part", "nth", "inside"))
-    told = out.where("state in ('done', 'pending')").drop("inside").join(F.broadcast(verdicts), ["part", "nth"], "left")
-    how = F.when((F.col("state") == "pending") & F.col("inside") & ~F.col("how").isin("sign", "word"), "prefix").otherwise(F.col("how"))
-    return told.select("doc_id", "doc_key", "source", how.alias("how"), "last_line")
+    return documents.where(F.col("text").rlike(r"[^\s\x{a0}]")).withColumn("whole", whole).withColumn("core", F.substring(whole, F.lit(1), F.length(whole) - sign))
+
+
+def prefixes(texts: DataFrame, cores: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """core_id of each core that is a strict prefix of another which goes on inside a sentence or word.
+
+    texts has (core_id, core), repeated or not; cores has of each of their ids, repeated or not, size (its characters), head (its
+    first characters, one more than the least length of the ladder) and rungs (the hashes of its beginnings along the ladder).
+    """
+    spark = cores.sparkSession
+    known = cores.select("core_id", "size", "head", "rungs").distinct()
+    # Short cores: the beginnings of all texts at the lengths that short cores have, each with the character after it.
+    short = known.where((F.col("size") > 0) & (F.col("size") < LADDER[0]))
+    sizes = sorted(r["size"] for r in short.select("size").distinct().collect())  # fewer than the ladder's least length
+    starts = [F.when(F.col("size") > n, F.struct(F.left("head", F.lit(n)).alias("core"), F.substring("head", n + 1, 1).alias("after"))) for n in sizes]
+    begun = known.select(F.explode(F.array(*starts)).alias("s")).where("s is not null").select("s.*").distinct() if starts else None
+    found = begun.join(short.select(F.col("head").alias("core"), "core_id"), "core").mapInArrow(followed, "core_id string") if starts else short.select("core_id").limit(0)
+    # Others: only where a beginning at the last rung below a core's own length is shared by another that differs.
+    rungs = known.where(F.col("size") >= LADDER[0]).select("core_id", "size", F.posexplode("rungs").alias("rung", "hash")).where("hash is not null")
+    last = F.col("rung") == len(LADDER) - 1
+    shared = rungs.groupBy("rung", "hash").agg(F.min("core_id").alias("a"), F.max("core_id").alias("b"), F.min("size").alias("least")).where("a <> b").where(last | (F.col("least") < F.element_at(F.array(*[F.lit(2 * n) for n in LADDER]), F.col("rung") + 1)))
+    shared = cut(shared.select("rung", "hash"))
+    wanted = cut(rungs.join(shared, ["rung", "hash"], "left_semi").select("core_id").distinct())
+    drop(spark, shared)
+    if wanted.isEmpty():
+        return found.distinct()
+    own = cut(texts.join(wanted, "core_id", "left_semi").groupBy("core_id").agg(F.first("core").alias("core")))
+    drop(spark, wanted)
+    start = F.xxhash64(F.left("core", F.lit(ORDERED)))
+    hot = own.groupBy(start.alias("start")).agg(F.count("*").alias("rows")).where(F.col("rows") >= hot_rows).select("start", F.lit(True).alias("hot"))
+    # The range is one of beginnings, which is what its sampler sends to the driver; equal ones stay together.
+    place = own.withColumn("start", start).join(F.broadcast(hot), "start", "left").withColumn("place", F.when(F.col("hot"), F.left("core", F.lit(ORDERED_HOT))).otherwise(F.left("core", F.lit(ORDERED))))
+    told = cut(place.repartitionByRange("place").sortWithinPartitions("core").select("core_id", "core").mapInArrow(stacked, "core_id string, core string, state string"))
+    # Cores at the end of a task, a stack each, are met with all that begin like them.
+    least = F.xxhash64(F.left("core", F.lit(LADDER[0])))
+    opened = told.where("state = 'open'").select("core_id", "core", least.alias("start"))
+    longer = own.select(F.col("core").alias("longer"), least.alias("start"))
+    met = longer.join(F.broadcast(opened), "start").where((F.length("longer") > F.length("core")) & F.startswith("longer", "core"))
+    more = met.select("core_id", "core", F.substring("longer", F.length("core") + 1, F.lit(1)).alias("after")).distinct().mapInArrow(followed, "core_id string")
+    return found.unionByName(told.where("state = 'inside'").select("core_id")).unionByName(more).distinct()
+
+
+def endings(documents: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(doc_id, doc_key, source, how, last_line) of every document whose text isn't null or blank."""
+    rows = trimmed(documents)
+    size = F.length("core")
+    rungs = F.array(*[F.when(size >= n, F.xxhash64(F.left("core", F.lit(n)))) for n in LADDER])
+    columns = "doc_id long, doc_key string, source string, core_id string, size int, head string, rungs array<long>"
+    looked = rows.select("doc_id", "doc_key", "source", F.md5("core").alias("core_id"), size.alias("size"), F.left("core", F.lit(LADDER[0])).alias("head"), rungs.alias("rungs"), F.substring("whole", -2000, 2000).alias("text"), "title")
+    told = cut(looked.mapInArrow(look_at_ends, f"{columns}, how string, last_line string"))
+    inside = cut(prefixes(rows.select(F.md5("core").alias("core_id"), "core"), told, hot_rows))
+    copies = told.join(inside, "core_id", "left_semi").groupBy("core_id").agg(F.count("*").alias("copies")).select("core_id", "copies", F.lit(True).alias("inside"))
+    met = spread_join(told.select("doc_id", "doc_key", "source", "how", "last_line", "core_id"), copies, "core_id", "copies", ["inside"], hot_rows)
+    how = F.when(F.col("inside") & ~F.col("how").isin("sign", "word", "title"), "prefix").otherwise(F.col("how"))
+    return met.select("doc_id", "doc_key", "source", how.alias("how"), "last_line")
 
 
 def truncated(documents: DataFrame, closing_share: float = CLOSING_SHARE, closing_documents: int = CLOSING_DOCUMENTS) -> DataFrame:
     """(doc_id, source, cut, how) of every document: whether its text was cut off inside a sentence or word, and by what it shows.
 
     how is `sign`, `word`, `open`, `prefix` (a longer copy goes on), `whole` or `none`. Null, empty and blank texts are whole;
-    repeated rows come out each; ties in the order are settled by doc_id.
+    repeated rows come out each. A last line closes documents if it ends those of closing_documents keys or more and of the share
+    closing_share of all; null keys are one.
     """
-    told = endings(documents)
+    told = cut(endings(documents))
     least = max(closing_documents, closing_share * told.count())
-    lines = told.where("how = 'line'").groupBy("last_line").agg(F.count("*").alias("rows"), F.approx_count_distinct("doc_key").alias("documents"))
+    keyed = told.where("how = 'line'").groupBy("last_line", "doc_key").agg(F.count("*").alias("rows"))
+    lines = keyed.groupBy("last_line").agg(F.sum("rows").alias("rows"), F.count("*").alias("documents"))
     closing = lines.withColumn("closes", F.col("documents") >= least)
     counted = spread_join(told.where("how = 'line'"), closing.select("last_line", "rows", "closes"), "last_line", "rows", ["closes"])
-    judged = counted.select("doc_id", "source", F.when(F.col("closes"), "whole").otherwise("open").alias("how")).unionByName(told.where("how <> 'line'").select("doc_id", "source", "how"))
+    judged = counted.select("doc_id", "source", F.when(F.col("closes"), "whole").otherwise("open").alias("how")).unionByName(told.where("how <> 'line'").select("doc_id", "source", F.when(F.col("how") == "title", "whole").otherwise(F.col("how")).alias("how")))
     blank = documents.where(~F.coalesce(F.col("text").rlike(r"[^\s\x{a0}]"), F.lit(False))).select("doc_id", "source", F.lit("none").alias("how"))
     return judged.unionByName(blank).select("doc_id", "source", (~F.col("how").isin("whole", "none")).alias("cut"), "how")
 

@@ -383,14 +383,36 @@ def hot_texts(spark, copies):
     return rows.join(texts, "doc_key").selectExpr("doc_id", "doc_key", "'s' AS source", "CAST(null AS string) AS title", "own AS text")
 
 
-@pytest.mark.parametrize(("copies", "partitions"), [(400, 4), (120_000, 1), (120_000, 2)])
-def test_truncated_copies_of_a_hot_text(spark, copies, partitions):
+def in_partitions(spark, partitions, run):
     before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
-        out = Counter((r.doc_key, r.how) for r in truncation.endings(hot_texts(spark, copies)).collect())
+        return run()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(("copies", "partitions"), [(400, 4), (40_000, 1), (60_000, 1), (60_000, 16), (230_000, 2)])
+def test_truncated_copies_of_a_hot_text(spark, copies, partitions):
+    out = in_partitions(spark, partitions, lambda: Counter((r.doc_key, r.how) for r in truncation.endings(hot_texts(spark, copies), hot_rows=50_000).collect()))
     assert out == {("hot", "prefix"): copies, ("long", "whole"): 1, ("before", "whole"): 1, ("after", "whole"): 1}
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_prefixes_against_brute_force(spark, partitions):
+    rng = random.Random(partitions)
+    base = ["The Council shall hear the appeal. " * 9, "Lots and fees of the harbour, " * 12, "ab\ncd " * 60]
+    texts = {b[: rng.randrange(1, len(b))].rstrip() + rng.choice(["", "", " and so on", "\nx.", "x"]) for b in base for _ in range(60)} | {"A", "The", "Lots and", "ab"}
+    # A copy that goes on in a new line comes before the one that goes on inside the sentence.
+    hidden = "Whoever keeps a lighthouse in repair shall be heard by the Council"
+    texts |= {hidden, f"{hidden}\nAnother line.", f"{hidden} before the year ends."}
+    df = spark.createDataFrame([(i, None, "s", None, t) for i, t in enumerate(sorted(texts) * 2)], "doc_id long, doc_key string, source string, title string, text string")
+    own = {r.whole: r.core for r in truncation.trimmed(df).collect()}
+    cores = set(own.values())
+    want = {c for c in cores if any(o != c and o.startswith(c) and truncation.goes_on(c, o[len(c)]) for o in cores)}
+    got = in_partitions(spark, partitions, lambda: Counter(r.doc_id for r in truncation.endings(df, hot_rows=20).where("how = 'prefix'").collect()))
+    sure = {"sign", "word"}
+    every = {i for i, t in enumerate(sorted(texts) * 2) if own[t] in want and truncation.ending(t, None) not in sure}
+    assert hidden in want and set(got) == every and set(got.values()) == {1}
