@@ -1,10 +1,11 @@
 """Passages of evaluation items in a corpus, by windows of canonical templates.
 
-Every word has a canonical form that depends on the word alone: numbers, names and units become typed placeholders. A shared
-run of words is a shared run of forms, and it holds a whole block of BLOCK forms at a multiple of BLOCK of the corpus text; so
-the corpus is looked up by its blocks in the windows of all items, and a hit is widened word by word. Where the words
-themselves agree, the passage has leaked; where only the forms do and each placeholder stands for one word throughout, a
-re-parameterised passage has.
+Numbers and units become typed placeholders, and in a second reading names too, a name of several words as one. What a
+placeholder is depends on the text it stands in and on nothing else. Equal placeholders of a window are one slot, and which
+slots are equal is part of the window's hash, so that windows of one hash are alike with consistent slots. A shared run of WORDS
+words or forms holds a whole block of BLOCK forms at a multiple of BLOCK of the text: the blocks of all texts are joined by hash
+with the windows of all items, and in the texts that have one, every window of WORDS is joined with those of the items. Where
+the words themselves agree, the passage has leaked; where only the forms do, a re-parameterised passage has.
 """
 
 from __future__ import annotations
@@ -13,134 +14,220 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.tables import cut, drop
+
 #: Words in a row that make a leak, and words of a block: 2 * BLOCK - 1 <= WORDS, so that every leak holds a whole block.
 WORDS, BLOCK = 13, 7
-#: Items searched for in one pass over the corpus; more are searched for in blocks of so many.
-ITEMS = 20_000
+#: Plain words that a window of WORDS and one of BLOCK need for placeholders to stand in it; a window with fewer is taken word
+#: by word. What lies outside the block holds no more than the difference, so that a block of such a window has its own.
+PLAIN_WORDS, PLAIN_BLOCK = 8, 2
+#: Windows of items up to this number are sent to every task (16 bytes each before hashing); more are joined by shuffle.
+BROADCAST_WINDOWS = 1_000_000
 #: Words for units.
 UNITS = frozenset("rs rupees rupee cents ha hectares hectare acres acre perches metres metre km kilometres feet days day weeks week months month years year percent".split())
+#: How windows are read: word by word, with numbers and units as placeholders, with names too.
+EQUAL, TYPED, NAMED = range(3)
 
+_ENDS = re.compile(r"[.!?:;]\W*$")
+_PLAIN, _NUMBER, _UNIT, _NAME = range(4)
 
-class _Cleaner:
-    """Drops characters other than letters, marks, decimal digits and white space: one small class of those met so far."""
 
-    def __init__(self) -> None:
-        self.kept: set[str] = set()
-        self.dropped: set[str] = set()
-        self.pattern = re.compile("(?!)")
+def clean(word: str) -> str:
+    """A word in lower case without characters other than letters, marks and decimal digits."""
+    low = word.lower()
+    if low.isalnum() and low.isascii():
+        return low
+    return "".join(c for c in low if (kind := unicodedata.category(c))[0] in "LM" or kind == "Nd")
 
-    def __call__(self, text: str) -> str:
-        new = set(text) - self.kept - self.dropped
-        if new:
-            drop = {c for c in new if not (c.isspace() or (kind := unicodedata.category(c))[0] in "LM" or kind == "Nd")}
-            self.kept |= new - drop
-            if drop:
-                self.dropped |= drop
-                self.pattern = re.compile("[" + "".join(f"\\U{ord(c):08x}" for c in sorted(self.dropped)) + "]+")
-        return self.pattern.sub("", text)
 
+def hash_of(word: str) -> int:
+    """A hash of 64 bits that is the same in every process."""
+    h = 0xCBF29CE484222325
+    for b in word.encode("utf-8", "surrogatepass"):
+        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+    return h ^ (h >> 29)
 
-_clean = _Cleaner()
 
+class Lexicon:
+    """What is known of each word as written: hash, type, whether it has a capital, whether a sentence may end with it; kept by the worker."""
 
-def words(text: str) -> list[str]:
-    return _clean(text.lower()).split()
+    def __init__(self, most: int = 400_000):
+        self.most = most
+        self.clear()
 
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.hashes: list[int] = []
+        self.types: list[int] = []
+        self.capital: list[bool] = []
+        self.ends: list[bool] = []
+        self.empty: list[bool] = []
 
-def names_in(passages: list[str]) -> frozenset[str]:
-    """Words that the passages write with a capital after another word."""
-    return frozenset(w for p in passages for name in re.findall(r"(?<=[\w,;] )[A-Z]\w+", p) for w in words(name))
+    def __getitem__(self, word: str) -> int:
+        known = self.index.get(word)
+        if known is None:
+            bare = clean(word)
+            known = self.index[word] = len(self.hashes)
+            first = next((c for c in word if c.isalpha()), "")
+            self.hashes.append(hash_of(bare))
+            self.types.append(_NUMBER if any(c.isdecimal() for c in bare) else _UNIT if bare in UNITS else _PLAIN)
+            self.capital.append(first.isupper() and not (len(bare) > 1 and word.upper() == word))
+            self.ends.append(bool(_ENDS.search(word)))
+            self.empty.append(not bare)
+        return known
 
 
-class Items:
-    """The windows of a block of items, by their canonical form."""
+_lexicon = Lexicon()
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.names = names_in([p for _, p in items])
-        self.forms: dict[str, str] = {}
-        self.words = [(i, words(p)) for i, p in items]
-        self.windows: dict[tuple[str, ...], list[tuple[int, int]]] = {}
-        for k, (_, own) in enumerate(self.words):
-            forms = [self.form(w) for w in own]
-            for at in range(len(own) - BLOCK + 1):
-                self.windows.setdefault(tuple(forms[at : at + BLOCK]), []).append((k, at))
 
-    def form(self, word: str) -> str:
-        known = self.forms.get(word)
-        if known is None:
-            known = "<number>" if any(c.isdecimal() for c in word) else "<unit>" if word in UNITS else "<name>" if word in self.names else word
-            if len(self.forms) > 200_000:
-                self.forms.clear()
-            self.forms[word] = known
-        return known
+class Reading:
+    """The words of a batch of texts in a row: hashes, types, and where each text begins and ends."""
+
+    def __init__(self, hashes: np.ndarray, types: np.ndarray, bounds: np.ndarray):
+        self.hashes, self.types, self.bounds = hashes, types, bounds
+
+
+def readings(texts: list[str]) -> tuple[Reading, Reading]:
+    """The texts with numbers and units typed, and with names typed too, those of several words as one."""
+    if len(_lexicon.hashes) > _lexicon.most:
+        _lexicon.clear()
+    get, new = _lexicon.index.get, _lexicon.__getitem__
+    rows = [[i if (i := get(w)) is not None else new(w) for w in t.split()] for t in texts]
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    flat = np.fromiter((i for r in rows for i in r), dtype=np.int64, count=int(sizes.sum()))
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    take = lambda column, kind: np.array(column, dtype=kind)[flat] if len(flat) else np.zeros(0, dtype=kind)
+    hashes, types, capital, ends, empty = take(_lexicon.hashes, np.uint64), take(_lexicon.types, np.int8), take(_lexicon.capital, bool), take(_lexicon.ends, bool), take(_lexicon.empty, bool)
+    opens = np.ones(len(flat), dtype=bool)  # whether a sentence or text may begin with a word
+    opens[1:] = ends[:-1]
+    opens[starts[:-1][sizes > 0]] = True
+    named = capital & ~opens & (types == _PLAIN)
+    keep = ~empty
+    kept = np.concatenate(([0], np.cumsum(keep)))
+    hashes, types, named, bounds = hashes[keep], types[keep], named[keep], kept[starts]
+    plain = Reading(hashes, types, bounds)
+    if not named.any():
+        return plain, Reading(hashes, types, bounds)
+    inner = np.zeros(len(named), dtype=bool)  # a name after a name of the same text
+    inner[1:] = named[1:] & named[:-1]
+    inner[bounds[:-1][bounds[:-1] < len(named)]] = False
+    lead = np.flatnonzero(~inner)
+    with np.errstate(over="ignore"):
+        whole = np.add.reduceat(hashes * (np.arange(len(hashes), dtype=np.uint64) - np.repeat(lead, np.diff(np.append(lead, len(hashes)))).astype(np.uint64) + np.uint64(1)), lead)
+    return plain, Reading(whole, np.where(named[lead], _NAME, types[lead]), np.concatenate(([0], np.cumsum(~inner)))[bounds])
 
-    def found(self, text: str) -> dict[int, tuple[int, int]]:
-        """By item the longest run of equal words and of equal forms with consistent placeholders."""
-        own = words(text)
-        best: dict[int, tuple[int, int]] = {}
-        done: set[tuple[int, int]] = set()
-        get, form = self.windows.get, self.form
-        cached = self.forms
-        forms = [cached.get(w) or form(w) for w in own]
-        for at in range(0, len(own) - BLOCK + 1, BLOCK):
-            hits = get(tuple(forms[at : at + BLOCK]))
-            if hits is None:
-                continue
-            for k, there in hits:
-                # Hits on one diagonal are parts of the same alignment; it is measured once, and whole.
-                if (k, there - at) in done:
-                    continue
-                done.add((k, there - at))
-                item, passage = self.words[k]
-                equal, alike = self.runs(own, forms, passage, there - at)
-                before = best.get(item, (0, 0))
-                best[item] = (max(before[0], equal), max(before[1], alike))
-        return best
-
-    def runs(self, own: list[str], forms: list[str], passage: list[str], shift: int) -> tuple[int, int]:
-        """Longest runs along the diagonal on which word i of the text lies on word i + shift of the passage."""
-        equal = alike = longest_equal = longest_alike = 0
-        slots: dict[tuple[str, str], str] = {}
-        for i in range(max(0, -shift), min(len(own), len(passage) - shift)):
-            a, b = own[i], passage[i + shift]
-            equal = equal + 1 if a == b else 0
-            f = forms[i]
-            if f != self.form(b) or (f[0] == "<" and slots.setdefault((f, b), a) != a):
-                alike, slots = 0, {}
-            else:
-                alike += 1
-            longest_equal, longest_alike = max(longest_equal, equal), max(longest_alike, alike)
-        return longest_equal, longest_alike
-
-
-def leaks(documents: DataFrame, items: DataFrame, block: int = ITEMS) -> DataFrame:
-    """(doc_id, item_id, words, alike) of documents (doc_id, text) that share WORDS words in a row, or as many forms, with a passage.
-
-    words is the longest run of equal words, alike that of equal forms with consistent placeholders. Letter case and
-    characters other than letters, marks and digits are aside. Null, empty and short texts and passages share nothing;
-    repeated documents and items come out once. Items are searched for in blocks of `block`, one pass each, so that what the
-    workers hold is bounded whatever the number of items. No items, no rows.
+
+def _odd(seed: int, n: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+_POWERS, _PAIRS, _TYPES = _odd(1, WORDS), _odd(2, WORDS * WORDS).reshape(WORDS, WORDS), _odd(3, 4)
+
+
+def windows(read: Reading, at: np.ndarray, size: int, least: int, how: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, whether it has placeholders) of the windows of so many forms that begin at given places.
+
+    A window with fewer than `least` plain words, and every one where how is EQUAL, is hashed word by word.
+    """
+    spots = at[:, None] + np.arange(size)
+    own, kind = read.hashes[spots], read.types[spots]
+    slot = kind != _PLAIN
+    with np.errstate(over="ignore"):
+        if how == EQUAL:
+            return (own * _POWERS[:size]).sum(axis=1, dtype=np.uint64), np.zeros(len(at), dtype=bool)
+        typed = slot.any(axis=1) & ((~slot).sum(axis=1) >= least)
+        slot &= typed[:, None]
+        hashed = (np.where(slot, _TYPES[kind], own) * _POWERS[:size]).sum(axis=1, dtype=np.uint64)
+        several = np.flatnonzero(slot.sum(axis=1) > 1)
+        if len(several):
+            same, held = own[several], slot[several]
+            for i in range(size):
+                for j in range(i + 1, size):
+                    hashed[several] += ((same[:, i] == same[:, j]) & held[:, i] & held[:, j]) * _PAIRS[i, j]
+    return hashed, typed
+
+
+def _places(bounds: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of the windows that lie whole in a text, at every step-th form of it."""
+    counts = np.maximum(0, (np.diff(bounds) - size) // step + 1)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, bounds[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
+
+
+def _rows(id_: pa.Array, texts: list[str], size: int, step: int, least: int, hows: tuple[int, ...]) -> pa.RecordBatch:
+    """(id, how, hash) of the windows of a batch of texts; those with names only where they have placeholders."""
+    plain, named = readings(texts)
+    owners, kinds, hashes = [], [], []
+    for how in hows:
+        read = named if how == NAMED else plain
+        owner, at = _places(read.bounds, size, step)
+        if not len(at):
+            continue
+        hashed, typed = windows(read, at, size, least, how)
+        if how == NAMED or how == TYPED and size == WORDS:
+            owner, hashed = owner[typed], hashed[typed]
+        owners.append(owner)
+        hashes.append(hashed.view(np.int64))
+        kinds.append(np.full(len(owner), how, dtype=np.int8))
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+    return pa.RecordBatch.from_arrays([id_.take(pa.array(join(owners, np.int64))), pa.array(join(kinds, np.int8)).cast(pa.int32()), pa.array(join(hashes, np.int64))], names=["id", "how", "hash"])
+
+
+def _windows_of(df: DataFrame, id_: str, text: str, size: int, step: int, least: int, hows: tuple[int, ...]) -> DataFrame:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = characters = 0
+            texts = batch.column(1).to_pylist()
+            for i, t in enumerate(texts):
+                characters += len(t)
+                # Some texts at once, but not so many that their windows fill the worker.
+                if characters > 400_000 or i == len(texts) - 1:
+                    yield _rows(batch.column(0).slice(start, i + 1 - start), texts[start : i + 1], size, step, least, hows)
+                    start, characters = i + 1, 0
+
+    rows = df.where(F.col(id_).isNotNull() & F.col(text).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text"))
+    return rows.mapInArrow(read, "id long, how int, hash long")
+
+
+def _met(windows: DataFrame, items: DataFrame, on: list[str], how: str, most: int) -> DataFrame:
+    """The join, with the items' side sent to every task where its number of rows allows; else by shuffle, in which AQE splits a hot window."""
+    return windows.join(F.broadcast(items) if items.count() <= most else items, on, how)
+
+
+def leaks(documents: DataFrame, items: DataFrame, most: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, item_id, equal, alike) of documents (doc_id, text) and items (item_id, passage) that share a window of WORDS words or forms.
+
+    equal is the number of windows of equal words in the text, alike that of windows equal in form with consistent placeholders,
+    PLAIN_WORDS plain words or more and not word by word the same. Letter case and characters other than letters, marks and
+    digits are aside; a name is a word with a capital inside a sentence, and names in a row are one. Null, empty and short texts
+    and passages share nothing; repeated documents and items come out once. No items, no rows. `most` changes how windows are joined, not what is found.
     """
     spark = documents.sparkSession
-    wanted = [(r.item_id, r.passage) for r in items.where("passage is not null and item_id is not null").select("item_id", "passage").distinct().orderBy("item_id", "passage").toLocalIterator()]
-    schema = "doc_id long, item_id long, words int, alike int"
-    out = None
-    for start in range(0, len(wanted), block):
-        sent = spark.sparkContext.broadcast(wanted[start : start + block])
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = Items(sent.value)
-            for batch in batches:
-                rows = [(d, item, e, a) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for item, (e, a) in own.found(text).items() if max(e, a) >= WORDS]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["doc_id", "item_id", "words", "alike"])
-
-        part = documents.where("text is not null and doc_id is not null").select("doc_id", "text").mapInArrow(search, schema)
-        out = part if out is None else out.union(part)
-    if out is None:
-        return spark.createDataFrame([], schema)
-    return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.max("alike").alias("alike"))
+    asked = cut(_windows_of(items, "item_id", "passage", BLOCK, 1, PLAIN_BLOCK, (TYPED, NAMED)).select("hash").distinct())
+    # A pair of forms in a block decides nothing yet: it only says which texts are looked at window by window.
+    blocks = _windows_of(documents, "doc_id", "text", BLOCK, BLOCK, PLAIN_BLOCK, (TYPED, NAMED)).select("id", "hash")
+    near = cut(_met(blocks, asked, ["hash"], "left_semi", most).select(F.col("id").alias("doc_id")).distinct())
+    texts = documents.select("doc_id", "text").join(near, "doc_id", "left_semi")
+    hows = (EQUAL, TYPED, NAMED)
+    sought = cut(_windows_of(items, "item_id", "passage", WORDS, 1, PLAIN_WORDS, hows).select(F.col("id").alias("item_id"), "how", "hash").distinct())
+    own = _windows_of(texts, "doc_id", "text", WORDS, 1, PLAIN_WORDS, hows).groupBy("id", "how", "hash").agg(F.count("*").alias("n"))
+    pairs = _met(own, sought, ["how", "hash"], "inner", most)
+    count = lambda how: F.coalesce(F.sum(F.when(F.col("how") == how, F.col("n"))), F.lit(0))
+    found = pairs.groupBy(F.col("id").alias("doc_id"), "item_id").agg(count(EQUAL).alias("equal"), F.greatest(count(TYPED), count(NAMED)).alias("alike"))
+    drop(spark, asked)
+    return found
+
+
+def leaked(found: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of passages that stand in a text word by word."""
+    return found.where("equal > 0").select("doc_id", "item_id")
+
+
+def reworded(found: DataFrame) -> DataFrame:
+    """(doc_id, item_id, alike) of passages that stand in a text with other numbers, units or names only."""
+    return found.where("equal = 0 and alike > 0").select("doc_id", "item_id", "alike")

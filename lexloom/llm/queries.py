@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.keys import plain_key, tidy
 from lexloom.llm.groups import components
 from lexloom.llm.languages import languages_of, wrong_labels
-from lexloom.llm.leaks import WORDS, leaks
+from lexloom.llm.leaks import leaked, leaks, reworded
 from lexloom.llm.scans import repaired
 from lexloom.llm.splitting import split_texts
 from lexloom.llm.survivors import claims, survivors, truth_discovery
@@ -57,12 +57,12 @@ def p3_reliability(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).where(F.col("words") >= WORDS).select("doc_id", "item_id")
+    return leaked(leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")))
 
 
 def p9_templates(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a passage whose numbers, names or units are changed throughout."""
-    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).where((F.col("words") < WORDS) & (F.col("alike") >= WORDS)).select("doc_id", "item_id", "alike")
+    return reworded(leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

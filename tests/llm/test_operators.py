@@ -330,20 +330,63 @@ def test_leaks(spark):
         6: (filler + " ") * 20_000 + " ".join(own[-13:]),
         7: f"{filler} " + passage.replace("12", "35"),
     }
-    docs = spark.createDataFrame([(k, v, "x") for k, v in texts.items()] + [(1, texts[1], "x")], "doc_id long, text string, words string")
-    items = spark.createDataFrame([(10, passage), (10, passage), (11, None), (12, "too short")], "item_id long, passage string")
-    got = {(r.doc_id, r.item_id): (r.words, r.alike) for r in leaks.leaks(docs, items).collect()}
-    assert {k for k, v in got.items() if v[0] >= 13} == {(1, 10), (2, 10), (6, 10), (7, 10)}
-    assert {k for k, _ in got} == {1, 2, 6, 7}
-    assert leaks.leaks(docs, items, block=1).count() == len(got)
+    docs = spark.createDataFrame([(k, v, "x") for k, v in texts.items()] + [(1, texts[1], "x"), (None, texts[1], "x")], "doc_id long, text string, hash string")
+    items = spark.createDataFrame([(10, passage, 1), (10, passage, 1), (11, None, 1), (12, "too short", 1), (None, passage, 1)], "item_id long, passage string, id int")
+    found = leaks.leaks(docs, items)
+    got = {(r.doc_id, r.item_id) for r in leaks.leaked(found).collect()}
+    assert got == {(1, 10), (2, 10), (6, 10), (7, 10)} and found.count() == 4
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked(leaks.leaks(docs, items, most=0)).collect()} == got
     assert leaks.leaks(docs, items.limit(0)).count() == 0 and leaks.leaks(docs.limit(0), items).count() == 0
 
 
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = ["The", "council", "12", "days,", "acres", "Norvale", "trust", "3/4", "-", "of", "an", "FEE", "නීතිය", "x."]
+    phrase = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    passages = [phrase(rng.randrange(10, 40)) for _ in range(30)]
+    docs = []
+    for k in range(200):
+        own = rng.choice(passages).split()
+        at = rng.randrange(len(own))
+        docs.append(f"{phrase(rng.randrange(20))} {' '.join(own[at : at + rng.randrange(8, 30)])} {phrase(rng.randrange(20))}")
+    words = lambda t: [w for x in t.split() if (w := leaks.clean(x))]
+    grams = lambda t: {tuple(w[i : i + 13]) for w in [words(t)] for i in range(len(w) - 12)}
+    held = [grams(p) for p in passages]
+    want = {(d, i) for d, t in enumerate(docs) for i, g in enumerate(held) if grams(t) & g}
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, passage string")
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked(leaks.leaks(df, items)).collect()} == want and len(want) > 50
+
+
 def test_reparameterised(spark):
-    passage = "a fee of 100 rupees is payable for each permit within 30 days of the notice under this part"
-    docs = spark.createDataFrame([(1, passage.replace("100", "250").replace("30", "60")), (2, passage)], "doc_id long, text string")
-    got = {r.doc_id: (r.words, r.alike) for r in leaks.leaks(docs, spark.createDataFrame([(1, passage)], "item_id long, passage string")).collect()}
-    assert got[1][0] < 13 <= got[1][1] and got[2][0] == len(passage.split())
+    """Planted passages with other numbers, units and names, of other lengths too; unrelated and inconsistent ones aren't found."""
+    rng = random.Random(6)
+    names = ["Norvale", "Ashlake", "Wexmere Mills", "Harbour Trust Board", "Orchard", "Dunmore"]
+    plain = "shall pay to the council before it opens any gate or bridge over that old canal and keeps its own books in good order".split()
+    shape = lambda: rng.sample(plain, 9)
+    fill = lambda a, n, b, u, c: f"when {n} {' '.join(a)} {u[0]} {u[1]} and {n} with {c} {' '.join(b)} at once"
+    value = lambda: (rng.choice(names), (str(rng.randrange(10, 999)), rng.choice(["days", "acres", "rupees"])), rng.choice(names))
+    items, docs, want = [], [], set()
+    for i in range(60):
+        a, b = shape(), shape()
+        n, u, c = value()
+        items.append((i, fill(a, n, b, u, c)))
+        n2, u2, c2 = value()
+        while n2 == n or c2 == c or (n2 == c2) != (n == c) or u2[0] == u[0]:
+            n2, u2, c2 = value()
+        docs.append((i, f"nothing else is written here. {fill(a, n2, b, u2, c2)} more words follow this one"))
+        want.add((i, i))
+    docs += [(100 + i, f"when Norvale {' '.join(shape())} 3 days and Ashlake with Dunmore {' '.join(shape())} at once") for i in range(60)]
+    df, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    got = {(r.doc_id, r.item_id) for r in leaks.reworded(leaks.leaks(df, table)).collect()}
+    assert got == want
+    alone = {(r.doc_id, r.item_id) for i in (3, 41) for r in leaks.reworded(leaks.leaks(df, table.where(f"item_id = {i}"))).collect()}
+    assert alone == {(3, 3), (41, 41)}
+    passage = "a fee of 100 rupees is payable for each permit or for 100 permits within 30 days of the notice"
+    texts = [(1, passage.replace("100", "250")), (2, passage), (3, passage.replace("100 r", "250 r"))]
+    out = {r.doc_id: (r.equal, r.alike) for r in leaks.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, passage)], "item_id long, passage string")).collect()}
+    assert out[1][0] == 0 < out[1][1] and out[2][0] == len(passage.split()) - 12
+    assert 3 not in out or out[3][1] < out[1][1]
 
 
 # 10. Truncation
