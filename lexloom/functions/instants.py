@@ -84,18 +84,28 @@ def days_in_month(year: Column, month: Column) -> Column:
     return F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
 
 
+def _digits(number: Column, width: int = 2) -> Column:
+    return F.lpad(number.cast("string"), width, "0")
+
+
 def utc_text(seconds: Column) -> Column:
     """Seconds since 1970 UTC as `YYYY-MM-DDTHH:MM:SSZ`, from the day's number and the rest, whatever the session's time zone."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")).cast("string")
     rest = F.pmod(seconds, F.lit(86400))
-    return F.concat(day, F.format_string("T%02d:%02d:%02dZ", F.floor(rest / 3600), F.floor(F.pmod(rest, F.lit(3600)) / 60), F.pmod(rest, F.lit(60))))
+    return F.concat(day, F.lit("T"), _digits(F.floor(rest / 3600)), F.lit(":"), _digits(F.floor(F.pmod(rest, F.lit(3600)) / 60)), F.lit(":"), _digits(F.pmod(rest, F.lit(60))), F.lit("Z"))
 
 
 def _month_number(word: Column) -> Column:
-    whole = {name: i + 1 for i, names in enumerate(MONTHS) for name in names}
-    short = {names[0][:3]: i + 1 for i, names in enumerate(MONTHS)} | {"sept": 9}
-    pairs = [F.lit(x) for kv in {**short, **whole}.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), word)
+    """Each writing has a dozen names in a row of one array, so that a name's place tells its month; null where there is none."""
+    most = max(map(len, MONTHS))
+    rows = [[names[k] if k < len(names) else "" for names in MONTHS] for k in range(most)] + [[names[0][:3] for names in MONTHS], ["sept" if names[0] == "september" else "" for names in MONTHS]]
+    place = F.array_position(F.array(*[F.lit(n) for row in rows for n in row]), word)
+    return F.when((place > 0) & (word != ""), (F.pmod(place - 1, F.lit(12)) + 1).cast("int"))
+
+
+def kept(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once: one row made of each, which the optimizer neither copies into later expressions nor pushes filters through."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def _offset_seconds(text: Column) -> Column:
@@ -119,52 +129,50 @@ def with_norms(df: DataFrame, text: str, precision: str, home_zone: str, date_or
     col = lambda name: F.col(f"{mark}_{name}")
     spark = df.sparkSession
     zones = spark.createDataFrame([(z.lower(), z) for z in sorted(available_timezones())], f"{mark}_zone string, {mark}_rules string")
-    # One column a component: the optimizer keeps a column that is used again and again instead of writing it out in each place.
-    out = df.withColumn(f"{mark}_part", F.split(F.regexp_replace(cleaned, pattern, rewrite), "\u0001"))
+    out = kept(df, **{f"{mark}_part": F.split(F.regexp_replace(cleaned, pattern, rewrite), "\u0001")})
     at = {name: F.get(col("part"), F.lit(i)) for i, name in enumerate(PARTS)}
     number = lambda name: at[name].try_cast("int")
+    year = F.regexp_replace(at["y"], "\u0002", "")
     first_is_month = F.coalesce(F.lower(F.col(date_order)) == "mdy", F.lit(False))
+    short = F.when(year.try_cast("int") + 1900 >= FIRST_YEAR, year.try_cast("int") + 1900).when(year.try_cast("int") + 2000 <= LAST_YEAR, year.try_cast("int") + 2000)
+    hour = F.when(at["half"] == "", number("h")).when(number("h").between(1, 12), F.pmod(number("h"), F.lit(12)) + F.when(at["half"] == "p", 12).otherwise(0))
     read = {
         "parsed": F.size(col("part")) == len(PARTS),
-        "digits": F.length(F.regexp_replace(at["y"], "\u0002", "")),
-        "year": F.regexp_replace(at["y"], "\u0002", "").try_cast("int"),
+        "year": F.when(F.length(year) == 2, short).otherwise(year.try_cast("int")),
         "month": F.coalesce(number("mo"), _month_number(at["mon"]), F.when(first_is_month, number("p")).otherwise(number("q"))),
         "day": F.coalesce(number("d"), F.when(first_is_month, number("q")).otherwise(number("p"))),
         "has_month": (at["mo"] != "") | (at["mon"] != "") | (at["p"] != ""),
         "has_day": (at["d"] != "") | (at["p"] != ""),
         "has_time": at["h"] != "",
-        "hour": number("h"),
+        "hour": hour,
         "minute": number("m"),
         "second": F.coalesce(number("s"), F.lit(0)),
-        "half": at["half"],
         "offset": at["off"],
         "count": at["n"].try_cast("long"),
         "zone": F.coalesce(F.nullif(at["zone"], F.lit("")), F.lower(F.col(home_zone))),
         "said": F.lower(F.col(precision)),
     }
-    out = out.select(*df.columns, *[e.alias(f"{mark}_{n}") for n, e in read.items()])
-    short = F.when(col("year") + 1900 >= FIRST_YEAR, col("year") + 1900).when(col("year") + 2000 <= LAST_YEAR, col("year") + 2000)
-    out = out.withColumn(f"{mark}_year", F.when(col("digits") == 2, short).otherwise(col("year")))
-    out = out.withColumn(f"{mark}_hour", F.when(col("half") == "", col("hour")).when(col("hour").between(1, 12), F.pmod(col("hour"), F.lit(12)) + F.when(col("half") == "p", 12).otherwise(0)))
-    out = out.join(F.broadcast(zones), f"{mark}_zone", "left")
+    out = kept(out, **{f"{mark}_{n}": e for n, e in read.items()}).drop(f"{mark}_part")
+    out = out.join(F.broadcast(zones.withColumnRenamed(f"{mark}_zone", f"{mark}_name")), col("zone") == col("name"), "left")
     dated = (col("year") >= 1) & (~col("has_month") | col("month").between(1, 12)) & (~col("has_day") | col("day").between(1, days_in_month(col("year"), col("month"))))
     timed = ~col("has_time") | (col("hour").between(0, 23) & col("minute").between(0, 59) & col("second").between(0, 59))
-    out = out.withColumn(f"{mark}_valid", F.coalesce(col("parsed") & dated & timed, F.lit(False)))
-    out = out.withColumn(f"{mark}_local", F.when(col("valid") & col("has_time"), days_from_civil(col("year"), col("month"), col("day")) * 86400 + col("hour") * 3600 + col("minute") * 60 + col("second")).cast("long"))
+    local = days_from_civil(col("year"), col("month"), col("day")) * 86400 + col("hour") * 3600 + col("minute") * 60 + col("second")
+    out = kept(out, **{f"{mark}_valid": F.coalesce(col("parsed") & dated & timed, F.lit(False)), f"{mark}_local": local.cast("long")})
     instant = F.when(col("offset") != "", col("local") - _offset_seconds(col("offset"))).otherwise(F.unix_timestamp(F.to_utc_timestamp(F.timestamp_seconds(col("local")), col("rules"))))
     counted = F.when(col("count") >= MILLISECONDS_FROM, F.floor(col("count") / 1000)).otherwise(col("count"))
-    out = out.withColumn(f"{mark}_seconds", F.when(col("count").isNotNull(), F.when(counted < 253_402_300_800, counted)).otherwise(instant).cast("long"))
-    out = out.withColumn(f"{mark}_utc", utc_text(col("seconds")))
+    seconds = F.when(col("count").isNotNull(), F.when(counted < 253_402_300_800, counted)).when(col("valid") & col("has_time"), instant).cast("long")
+    out = kept(out, **{f"{mark}_seconds": seconds})
+    day = F.concat(_digits(col("year"), 4), F.when(col("has_month"), F.concat(F.lit("-"), _digits(col("month")))).otherwise(""), F.when(col("has_day"), F.concat(F.lit("-"), _digits(col("day")))).otherwise(""))
+    whole = utc_text(col("seconds"))
     norm = (
         F.when(F.col(text).isNull(), None)
-        .when(col("count").isNotNull(), F.substring(col("utc"), F.lit(1), F.when(col("said") == "year", 4).when(col("said") == "day", 10).otherwise(20)))
+        .when(col("count").isNotNull(), F.substring(whole, F.lit(1), F.when(col("said") == "year", 4).when(col("said") == "day", 10).otherwise(20)))
         .when(~col("valid"), "none")
-        .when(~col("has_month") | (col("said") == "year"), F.format_string("%04d", col("year")))
-        .when(~col("has_day"), F.format_string("%04d-%02d", col("year"), col("month")))
-        .when(~col("has_time") | (col("said") == "day"), F.format_string("%04d-%02d-%02d", col("year"), col("month"), col("day")))
-        .otherwise(col("utc"))
+        .when(col("said") == "year", _digits(col("year"), 4))
+        .when(~col("has_time") | (col("said") == "day"), day)
+        .otherwise(whole)
     )
-    return out.select(*df.columns, F.when(F.col(text).isNotNull(), F.coalesce(norm, F.lit("none"))).alias(to))
+    return kept(out, **{f"{mark}_norm": F.when(F.col(text).isNotNull(), F.coalesce(norm, F.lit("none")))}).select(*df.columns, col("norm").alias(to))
 
 
 def listing_norms(listings: DataFrame, sources: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
+        # A stage whose generated code is too large fails here, in place of being interpreted.
+        .config("spark.sql.codegen.fallback", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
