@@ -3,7 +3,9 @@
 A text is cut where a rolling hash of the bytes before a blank says so, and only at blanks that begin a word: there the
 tokenizer's own splitting pattern begins a piece too, so the ids of the chunks in a row are the ids of the text. Chunks recur
 across documents; each worker encodes one once and keeps its ids. Where a text has no such place for a long stretch, it is
-cut at a fixed length, and every join made like that is repaired: the chunks beside it are put together and encoded again.
+cut at a fixed length, which may be inside a word, and every join made like that is repaired: from the last piece before the cut
+on the text is split again, in a growing window, until a piece begins where one began in the chunk after the cut. From there on
+the ids of that chunk are those of the whole text; what lies between is encoded again.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 MODULUS = 3
 #: Bytes of the rolling hash, and the odd number by which it moves on.
 WIDTH, STEP = 6, 0x9E3779B1
-#: Bytes after which a chunk without a landmark is cut anyway, to be repaired.
+#: Bytes from which on a chunk without a landmark is cut anyway, every so many characters, and repaired.
 LONGEST = 1 << 16
 #: Bytes of chunks and ids that a worker keeps; the memory is emptied when full, which costs time and loses nothing.
 KEPT_BYTES = 48_000_000
@@ -36,8 +38,10 @@ class ChunkEncoder:
     """Encodes texts given as one buffer of UTF-8 with offsets."""
 
     def __init__(self, folder: str, name: str, kept_bytes: int = KEPT_BYTES, modulus: int = MODULUS, longest: int = LONGEST):
+        import regex
         import tiktoken
 
+        self.piece = regex.compile(PATTERN)
         lines = (Path(folder) / f"{name}.tiktoken").read_bytes().splitlines()
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line)}
         self.plain = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -63,20 +67,6 @@ class ChunkEncoder:
         rolled ^= rolled >> np.uint32(15)
         return blanks[rolled % np.uint32(self.modulus) == 0]
 
-    def pieces(self, data: np.ndarray, start: int, end: int, marks: list[int]) -> list[tuple[int, int, bool]]:
-        """(start, end, sure) of the chunks of a text; sure says whether the chunk begins where the pattern begins a piece."""
-        cuts = [(start, True), *((m, True) for m in marks)]
-        out = []
-        for (a, sure), b in zip(cuts, [*marks, end], strict=True):
-            while b - a > self.longest:
-                cut = a + self.longest
-                while (data[cut] & 0xC0) == 0x80:
-                    cut -= 1
-                out.append((a, cut, sure))
-                a, sure = cut, False
-            out.append((a, b, sure))
-        return out
-
     def lookup(self, chunk: bytes) -> bytes:
         self.asked += 1
         ids = self.kept.get(chunk)
@@ -100,37 +90,70 @@ class ChunkEncoder:
         marks, bounds = marks.tolist(), offsets.tolist()
         parts: list[bytes] = []
         sizes = np.zeros(len(bounds), dtype=np.int64)
-        kept, lookup = self.kept, self.lookup
+        kept, lookup, longest = self.kept, self.lookup, self.longest
         for i, (a, b) in enumerate(zip(first, last, strict=True)):
             start, end = bounds[i], bounds[i + 1]
             if start == end:
                 continue
             own = marks[a:b]
             size = 0
-            if end - start > self.longest:
-                spans = self.repair(self.pieces(data, start, end, own))
-            else:
-                spans = zip([start, *own], [*own, end])
-            for x, y in spans:
+            for x, y in zip([start, *own], [*own, end], strict=True):
                 chunk = buffer[x:y]
                 ids = kept.get(chunk)
                 if ids is None:
-                    ids = lookup(chunk)
+                    ids = lookup(chunk) if y - x <= longest else self.long_ids(chunk.decode("utf-8"))
                 parts.append(ids)
                 size += len(ids)
             sizes[i + 1] = size >> 2
         return np.frombuffer(b"".join(parts), dtype=np.int32), np.cumsum(sizes)
 
-    def repair(self, pieces: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
-        """Spans to encode: a chunk that doesn't begin at a sure place is joined to the one before and encoded with it."""
-        spans: list[list[int]] = []
-        for a, b, sure in pieces:
-            if sure or not spans:
-                spans.append([a, b])
+    def starts(self, text: str, at: int, ends: bool) -> list[int]:
+        """Where the pieces of a text begin that itself begins at a place; with its end if nothing follows it.
+
+        If something does, a piece that begins at the last character may be one with an apostrophe before it: it is left out.
+        """
+        begun = [at + m.start() for m in self.piece.finditer(text)]
+        return [*begun, at + len(text)] if ends else [p for p in begun if p == at or p <= at + len(text) - 2]
+
+    def of_pieces(self, text: str, starts: list[int], end: int) -> bytes:
+        """The ids of pieces one by one, for white space at the end of a part would be split otherwise than within the text."""
+        return b"".join(self.ids(text[a:b].encode()) for a, b in zip(starts, [*starts, end][1:], strict=True))
+
+    def cuts(self, text: str) -> list[bytes]:
+        """The ids of the parts of a text cut at the fixed length, as they are before any repair."""
+        return [self.ids(text[i : i + self.longest].encode()) for i in range(0, len(text), self.longest)]
+
+    def long_ids(self, text: str) -> bytes:
+        """The ids of a text that begins where a piece does and has no other place known to be one: forced cuts, repaired."""
+        out: list[bytes] = []
+        begin, cut = 0, self.longest  # the part not yet given out begins with a piece, and ends at the cut
+        ids = self.ids(text[:cut].encode())
+        size = self.longest
+        while cut < len(text):
+            after = text[cut : cut + size]
+            ids_after, begun = self.ids(after.encode()), self.starts(after, cut, True)
+            among = set(begun)
+            # All pieces before the cut are those of the whole text, but for the last, which may go on behind it.
+            last = self.starts(text[begin:cut], begin, False)[-1]
+            head = len(ids) - len(self.ids(text[last:cut].encode()))
+            out.append(ids[:head])
+            end, width, met = cut + len(after), 64, None
+            while met is None:
+                window = min(end, cut + width)
+                split = self.starts(text[last:window], last, window == len(text))
+                met = next((p for p in split if p >= cut and p in among), None)
+                if window == end:
+                    break
+                width *= 2
+            self.repaired += 1
+            if met is None:
+                # One piece fills the part: it is put together with the next, which is twice as long, so that all is split a few times at most.
+                ids, begin, size = self.ids(text[last:end].encode()), last, 2 * size
             else:
-                spans[-1][1] = b
-                self.repaired += 1
-        return [(a, b) for a, b in spans]
+                out.append(self.of_pieces(text, [p for p in split if p < met], met))
+                ids, begin, size = ids_after[len(self.of_pieces(text, [p for p in begun if p < met], met)) :], met, self.longest
+            cut = end
+        return b"".join([*out, ids])
 
 
 def encoder(folder: str, name: str) -> ChunkEncoder:

@@ -296,6 +296,22 @@ def test_chunked_ids_are_the_whole_texts_ids():
         assert all(ids[a:b].tolist() == own.plain.encode_ordinary(t) for t, a, b in zip(texts, ends, ends[1:], strict=False))
 
 
+def test_forced_cuts_change_ids_and_are_repaired():
+    rng = random.Random(3)
+    changed = 0
+    for longest in (5, 12, 40):
+        own = encoder(longest=longest)
+        for _ in range(120):
+            text = "".join(rng.choices(["the\n", "council", "\t", "1990", "පනත", ",", "\n\n", "  ", "'s", "é", "😀", "shall"], k=rng.randrange(20, 120))).lstrip()
+            whole = own.plain.encode_ordinary(text)
+            changed += np.frombuffer(b"".join(own.cuts(text)), dtype=np.int32).tolist() != whole
+            assert np.frombuffer(own.long_ids(text), dtype=np.int32).tolist() == whole
+        assert own.repaired > 100
+        for text in ("x" * 2000, "\n" * 500 + "x", "x\n" * 300):
+            assert np.frombuffer(own.long_ids(text), dtype=np.int32).tolist() == own.plain.encode_ordinary(text)
+    assert changed > 300
+
+
 def test_token_ids(spark):
     long = "word " * 60_000 + "x" * 100_000
     df = spark.createDataFrame([(1, "a b", "x"), (2, None, "x"), (3, "", "x"), (4, " \n", "x"), (5, long, "x"), (1, "a b", "x"), (None, "a", "x")], "doc_id long, text string, ids string")
