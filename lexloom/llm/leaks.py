@@ -215,9 +215,8 @@ def leaks(documents: DataFrame, items: DataFrame, most: int = BROADCAST_WINDOWS)
     texts = documents.select("doc_id", "text").join(near, "doc_id", "left_semi")
     hows = (EQUAL, TYPED, NAMED)
     sought = cut(_windows_of(items, "item_id", "passage", WORDS, 1, PLAIN_WORDS, hows).select(F.col("id").alias("item_id"), "how", "hash").distinct())
-    own = _windows_of(texts, "doc_id", "text", WORDS, 1, PLAIN_WORDS, hows).groupBy("id", "how", "hash").agg(F.count("*").alias("n"))
-    pairs = _met(own, sought, ["how", "hash"], "inner", most)
-    count = lambda how: F.coalesce(F.sum(F.when(F.col("how") == how, F.col("n"))), F.lit(0))
+    pairs = _met(_windows_of(texts, "doc_id", "text", WORDS, 1, PLAIN_WORDS, hows), sought, ["how", "hash"], "inner", most)
+    count = lambda how: F.count(F.when(F.col("how") == how, 1))
     found = pairs.groupBy(F.col("id").alias("doc_id"), "item_id").agg(count(EQUAL).alias("equal"), F.greatest(count(TYPED), count(NAMED)).alias("alike"))
     drop(spark, asked)
     return found
