@@ -2,10 +2,11 @@
 
 The lines of a text are labelled body, break, header or page by a linear-chain conditional model over layout features of a
 line: how it agrees with the document's title, whether it is a number with the signs around page numbers, how the lines
-around it begin and end. It is fitted to texts of the corpus set as printed pages, of which the labels are known. Paragraphs are put together again from the body lines. Broken and misread words are told by the
-counts of words over the whole corpus: a rare word that a usual misreading makes of a word many times as frequent. No word is too
-rare to be counted: the distinct words of the texts and what they may have been are looked up by joins with the table of counts,
-and each run of texts gets the verdicts on its own words only.
+around it begin and end. It is fitted to texts of the corpus set as printed pages, of which the labels are known. Paragraphs are
+put together again from the body lines. Broken and misread words, in any script, are told by the counts of words over the whole
+corpus: a rare word that a usual misreading makes of a word many times as frequent. Usual misreadings are those of a table for
+Latin letters, and those that the counts themselves show. No word is too rare to be counted: the distinct words of the texts and
+what they may have been are looked up by joins with the table of counts, and each run of texts gets the verdicts on its own words.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import math
 import random
 import re
 import textwrap
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +37,8 @@ RUN_TEXTS, RUN_CHARACTERS = 2_000, 16_000_000
 LONGEST, TOUCHING = 40, 14
 #: A word is misread only from one that is at least so many times as frequent, and has at least so many rows.
 RATIO, LEAST = 25, 8
+#: A sign is usually read for another if so many words with FREQUENT rows, and this share of those that hold the other, are read with it.
+FREQUENT, LEARNT_WORDS, LEARNT_SHARE = 1_000, 5, 0.5
 #: What is read in place of what; the first is read, each of the others may have been printed.
 READ_FOR = {
     "1": ["l", "i"], "0": ["o"], "5": ["s"], "8": ["b"], "6": ["b"], "9": ["g"], "|": ["l", "i"], "!": ["l", "i"], "$": ["s"], "@": ["a"],
@@ -60,15 +65,19 @@ CITES = re.compile(r"(?:cited|known|called|referred to|entitled|titled)(?:\s+as)
 SENTENCE_END = re.compile(r"[.!?:;][\"'”’)\]]*$")
 
 
+def _letter(c: str) -> bool:
+    return c.isalpha() or c > "\u02ff" and (unicodedata.category(c)[0] == "M" or c in "\u200c\u200d")
+
+
 def _digits(word: str) -> bool:
-    return any(not c.isalpha() and c != "-" for c in word)
+    return any(c != "-" and not _letter(c) for c in word)
 
 
 def candidate(token: str) -> str | None:
     """A token in lower case; None if it can't be a misread word."""
     word = token.lower()
-    letters = sum(c.isalpha() for c in word)
-    if not letters or len(word) < 2 or len(word) > LONGEST or not word.isascii():
+    letters = sum(map(_letter, word))
+    if not letters or len(word) < 2 or len(word) > LONGEST:
         return None
     # Capitals and digits in one, or a number with one letter, are codes and numbers of sections.
     if _digits(word) and (token[1:] != word[1:] and token != token.upper() or token != word and len(word) <= 3 or letters < 2 and len(word) > 2 or token == token.upper() and token != word and letters < 4):
@@ -76,7 +85,7 @@ def candidate(token: str) -> str | None:
     return word
 
 
-def options(word: str, depth: int | None = None) -> list[set[str]]:
+def options(word: str, depth: int | None = None, table: dict[str, list[str]] = READ_FOR) -> list[set[str]]:
     """What may have been printed, by the number of misreadings; at most two, in a short word without digits one."""
     steps: list[set[str]] = []
     edge = {word}
@@ -85,18 +94,18 @@ def options(word: str, depth: int | None = None) -> list[set[str]]:
         for w in edge:
             for i in range(len(w)):
                 for size in (1, 2, 3):
-                    for printed in READ_FOR.get(w[i : i + size], ()) if i + size <= len(w) else ():
+                    for printed in table.get(w[i : i + size], ()) if i + size <= len(w) else ():
                         step.add(w[:i] + printed + w[i + size :])
-        steps.append({x for x in step if len(x) > 1 and x != word and x.replace("-", "").isalpha()})
-        if len(step) > 400:
-            break
+        steps.append({x for x in step if len(x) > 1 and x != word and all(map(_letter, x.replace("-", "")))})
         edge = step
     return steps
 
 
 def splits(word: str) -> list[int]:
-    """Where a word may be two that ran together."""
-    return [] if _digits(word) or "-" in word else [at for at in range(1, len(word)) if min(at, len(word) - at) > 1 or word[:at] == "a"]
+    """Where a word may be two that ran together: never before a mark, which belongs to the letter before it."""
+    if _digits(word) or "-" in word:
+        return []
+    return [at for at in range(1, len(word)) if (min(at, len(word) - at) > 1 or word[:at] == "a") and word[at].isalpha()]
 
 
 def breaks(first: str, second: str, sure: bool, kept: bool, counts: tuple[int, int, int, int], floor: int) -> bool:
@@ -117,8 +126,9 @@ def breaks(first: str, second: str, sure: bool, kept: bool, counts: tuple[int, i
 class Words:
     """What is told by the counts of words, in lower case, where all of them are at hand; judged() tells the same by joins."""
 
-    def __init__(self, counts: dict[str, int], floor: int = 1):
-        self.counts, self.floor = counts, floor
+    def __init__(self, counts: dict[str, int], floor: int = 1, table: dict[str, list[str]] = READ_FOR):
+        self.counts, self.floor, self.table = counts, floor, table
+        self.ordered = sorted(w for w, n in counts.items() if n >= LEAST)
 
     def count(self, word: str) -> int:
         return self.counts.get(word, 0)
@@ -128,14 +138,14 @@ class Words:
 
     def misread(self, word: str) -> bool:
         """Whether a word, however many rows it has, is itself read for one many times as frequent; then it is no print."""
-        return any(self.count(x) >= self.least(word) for x in options(word, 1)[0])
+        return any(self.count(x) >= self.least(word) for x in options(word, 1, self.table)[0])
 
     def printed(self, token: str) -> str | None:
         """What a misread token was in print, in lower case; None if it isn't taken to be misread."""
         word = candidate(token)
         if word is None:
             return None
-        for step in options(word):
+        for step in options(word, None, self.table):
             if known := [(-self.count(x), x) for x in step if self.count(x) >= LEAST and not self.misread(x)]:
                 n, best = min(known)
                 if -n >= self.least(word):
@@ -151,7 +161,8 @@ class Words:
     def begins(self, token: str) -> bool:
         """Whether a longer word begins with a token."""
         word = token.lower()
-        return any(n >= LEAST and w != word and w.startswith(word) for w, n in self.counts.items())
+        at = bisect_right(self.ordered, word)
+        return at < len(self.ordered) and self.ordered[at].startswith(word)
 
     def breaks(self, first: str, second: str, sure: bool, kept: bool) -> bool:
         a, b = first.lower(), second.lower()
@@ -193,7 +204,7 @@ BODY, BREAK, HEADER, PAGE_LINE = range(4)
 @lru_cache(50_000)
 def _bare(title: str) -> str:
     """Letters and digits only, those that are misread for each other made alike."""
-    s = re.sub(r"[^a-z0-9]+", "", title.lower())
+    s = "".join(c for c in title.lower() if "a" <= c <= "z" or "0" <= c <= "9" or c > "\x7f" and (c.isalnum() or _letter(c) and c not in "\u200c\u200d"))
     s = s.replace("rn", "m").replace("nn", "m").replace("vv", "w").replace("cl", "d")
     return s.translate(str.maketrans("10568|b", "loshhlh")).translate(str.maketrans("iuceft", "lnoott"))
 
@@ -203,7 +214,7 @@ def agrees(line: str, title: str | None) -> tuple[float, bool]:
     if not title or len(line) > len(title) + 30:
         return 0.0, False
     whole = _bare(title)
-    if len(whole) < 8:
+    if len(whole) < 3:
         return 0.0, False
     best = (0.0, False)
     m = BESIDE.match(line.strip())
@@ -214,7 +225,8 @@ def agrees(line: str, title: str | None) -> tuple[float, bool]:
             options += [(line[: line.rindex(m.group(3))], True), (line[line.index(m.group(1)) + len(m.group(1)) :], True)]
     for text, beside in options:
         own = _bare(text)
-        if len(own) >= 8 and len(text.split()) >= 2 and whole.startswith(own):
+        # A beginning of the title says something if it is two words of some length, a whole title in any case.
+        if own == whole or len(own) >= 8 and len(text.split()) >= 2 and whole.startswith(own):
             score = 0.5 + 0.5 * len(own) / len(whole)
             if score > best[0]:
                 best = (score, beside)
@@ -509,7 +521,30 @@ def looked_up(rows: DataFrame, column: str, counts: DataFrame, name: str) -> Dat
     return rows.join(own, F.col(column) == F.col("_word"), "left").withColumn(name, F.coalesce("_n", F.lit(0))).drop("_word", "_n")
 
 
-def tried(words: DataFrame, counts: DataFrame, depth: int | None = None) -> DataFrame:
+def learnt(counts: DataFrame, frequent: int = FREQUENT, words: int = LEARNT_WORDS, share: float = LEARNT_SHARE) -> dict[str, list[str]]:
+    """What is read in place of what, by the counts of words: READ_FOR and what frequent words are usually read with.
+
+    Words that differ in one sign meet under what they have in common, of which no more can hang together than there are signs.
+    Endings and other words that happen to differ in one letter do so in few of the words with it; a misreading does in most.
+    """
+    own = counts.where((F.length("word") >= 3) & (F.length("word") <= LONGEST))
+    place = F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")
+    gap = F.concat(F.left("word", F.col("i") - 1), F.lit("\u0001"), F.substring("word", F.col("i") + 1, F.lit(LONGEST)))
+    spots = lambda df, sign, n: df.select("word", "n", place).select("word", gap.alias("gap"), F.substring("word", F.col("i"), F.lit(1)).alias(sign), F.col("n").alias(n))
+    often = own.where(F.col("n") >= frequent)
+    pairs = spots(own, "read", "few").drop("word").join(spots(often, "printed", "many"), "gap").where((F.col("read") != F.col("printed")) & (F.col("few") * RATIO <= F.col("many")))
+    met = pairs.groupBy("read", "printed").agg(F.count_distinct("word").alias("words")).where(F.col("words") >= words)
+    held = often.select(F.explode(F.array_distinct(F.split("word", ""))).alias("printed")).groupBy("printed").agg(F.count("*").alias("all"))
+    # No more rows than there are pairs of signs.
+    rows = met.join(held, "printed").where(F.col("words") >= share * F.col("all")).collect()
+    table = {k: list(v) for k, v in READ_FOR.items()}
+    for r in sorted(rows, key=lambda r: (r["read"], -r["words"], r["printed"])):
+        if r["printed"] not in table.setdefault(r["read"], []):
+            table[r["read"]].append(r["printed"])
+    return table
+
+
+def tried(words: DataFrame, counts: DataFrame, depth: int | None = None, table: dict[str, list[str]] = READ_FOR) -> DataFrame:
     """(word, least, depth, at, part, n): the options of each word that are words with LEAST rows, and at depth 3 the parts of its splits."""
 
     def attempt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,7 +553,7 @@ def tried(words: DataFrame, counts: DataFrame, depth: int | None = None) -> Data
                 out: list[tuple] = []
                 some = batch.slice(start, 500)
                 for word, least in zip(some.column("word").to_pylist(), some.column("least").to_pylist(), strict=True):
-                    out += [(word, least, k, 0, x) for k, step in enumerate(options(word, depth), 1) for x in step]
+                    out += [(word, least, k, 0, x) for k, step in enumerate(options(word, depth, table), 1) for x in step]
                     out += [(word, least, 3, at, x) for at in splits(word) if not depth for x in (word[:at], word[at:])]
                 columns = list(zip(*out, strict=True)) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["word", "least", "depth", "at", "part"])
@@ -527,14 +562,14 @@ def tried(words: DataFrame, counts: DataFrame, depth: int | None = None) -> Data
     return rows.join(counts.where(F.col("n") >= LEAST).select(F.col("word").alias("part"), "n"), "part")
 
 
-def judged(words: DataFrame, counts: DataFrame) -> DataFrame:
+def judged(words: DataFrame, counts: DataFrame, table: dict[str, list[str]] = READ_FOR) -> DataFrame:
     """(word, printed, begins) of the distinct words that are misread; begins: a longer word begins with it. As Words tells it."""
     spark = words.sparkSession
     least = lambda n: F.greatest(F.lit(LEAST).cast("long"), RATIO * F.col(n))
     own = looked_up(words.select("word").distinct(), "word", counts, "own").select("word", least("own").alias("least"))
-    hits = cut(tried(own, counts))
+    hits = cut(tried(own, counts, None, table))
     found = hits.where("depth < 3")
-    misread = tried(found.select(F.col("part").alias("word"), least("n").alias("least")).distinct(), counts, 1).where("n >= least").select(F.col("word").alias("part")).distinct()
+    misread = tried(found.select(F.col("part").alias("word"), least("n").alias("least")).distinct(), counts, 1, table).where("n >= least").select(F.col("word").alias("part")).distinct()
     best = found.join(misread, "part", "left_anti").groupBy("word", "least").agg(F.min(F.struct("depth", (-F.col("n")).alias("less"), "part")).alias("best"))
     one = best.where(-F.col("best.less") >= F.col("least")).select("word", F.col("best.part").alias("printed"))
     parts = hits.where("depth = 3").groupBy("word", "least", "at").agg(F.count("*").alias("parts"), F.min("n").alias("n")).where("parts = 2 and n >= 4 * least")
@@ -598,7 +633,7 @@ def in_runs(texts: DataFrame, model: LineModel) -> DataFrame:
     return texts.select("id", "text", "title").mapInArrow(build, RUNS)
 
 
-def repaired(chunks: DataFrame, docs: DataFrame, with_text: bool = True, model: LineModel | None = None, share: float = SHARE) -> DataFrame:
+def repaired(chunks: DataFrame, docs: DataFrame, with_text: bool = True, model: LineModel | None = None, share: float = SHARE, frequent: int = FREQUENT) -> DataFrame:
     """(id, text, noise) of every chunk with a text: the repaired text, or null without with_text, and the kinds of noise found.
 
     docs gives the titles (doc_key, title); of repeated keys the last title by bytes counts, and a chunk without a title has
@@ -617,7 +652,7 @@ def repaired(chunks: DataFrame, docs: DataFrame, with_text: bool = True, model:
     runs = cut(in_runs(joined.unionByName(plain), model or fitted_lines(chunks, docs)))
 
     asked = runs.where("place = 0").select("run", F.col("a").alias("word"))
-    words = judged(asked, counts).join(asked, "word").select("run", F.lit(0).alias("place"), F.col("word").alias("a"), F.col("printed").alias("b"), F.array(F.col("begins").cast("long")).alias("counts"))
+    words = judged(asked, counts, learnt(counts, frequent)).join(asked, "word").select("run", F.lit(0).alias("place"), F.col("word").alias("a"), F.col("printed").alias("b"), F.array(F.col("begins").cast("long")).alias("counts"))
     broken = runs.where("place = 1").select("run", "a", "b")
     pairs = broken.select("a", "b").distinct().withColumns({"ab": F.concat("a", "b"), "a_b": F.concat("a", F.lit("-"), "b")})
     for column in ("ab", "a_b", "a", "b"):

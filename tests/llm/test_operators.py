@@ -219,6 +219,35 @@ def test_rare_words_keep_their_counts(spark):
     assert out == {"x": ("the council of Norvale shall", ["char"])}
 
 
+def test_misreadings_and_heads_in_every_script(spark):
+    """Planted in Sinhala and Tamil: a sign usually read for another is learnt from the counts, heads are told by titles of any script."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for key, words, printed, read in (("s", ["පනත", "නගර", "පදනම", "නියම", "නම", "නිවස", "වන", "රජය"], "න", "ත"), ("t", ["வரி", "வணிகம்", "வனம்", "மனுவை", "வயல்", "சபைவழி", "நீர்", "காடு"], "வ", "ள")):
+        title = " ".join(words[:3])
+        for i in range(400):
+            own = [rng.choice(words) for _ in range(40)]
+            lines = [" ".join(own[a : a + 8]) for a in range(0, 40, 8)]
+            noise = set()
+            if i % 9 == 0:
+                at = next(k for k, w in enumerate(own) if printed in w)
+                lines[at // 8] = " ".join(own[at // 8 * 8 : at] + [own[at].replace(printed, read, 1)] + own[at + 1 : at // 8 * 8 + 8])
+                noise.add("char")
+            if i % 7 == 0:
+                lines.insert(2, title)
+                noise.add("header")
+            rows.append((f"{key}{i}", key, "\n".join(lines)))
+            if noise:
+                want[f"{key}{i}"] = noise
+    chunks = spark.createDataFrame(rows, "id string, doc_key string, text string")
+    docs = spark.createDataFrame([("s", "පනත නගර පදනම"), ("t", "வரி வணிகம் வனம்")], "doc_key string, title string")
+    table = scans.learnt(scans.count_words(chunks), frequent=300)
+    assert {k: v for k, v in table.items() if k not in scans.READ_FOR} == {"ත": ["න"], "ள": ["வ"]}
+    got = {r.id: set(r.noise) for r in scans.repaired(chunks, docs, frequent=300).where("size(noise) > 0").collect()}
+    both = sum(len(got.get(k, set()) & v) for k, v in want.items())
+    assert both >= 0.95 * sum(map(len, want.values())) and both >= 0.95 * sum(map(len, got.values()))
+
+
 def test_verdicts_by_joins_are_those_of_all_counts(spark):
     rng = random.Random(9)
     made = ["".join(rng.choices("tbehncuilrmaf1", k=rng.randrange(1, 6))) for _ in range(600)] + ["ofthe", "couucii", "councii", "by-lavv"]
