@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,27 +76,49 @@ def roman(number: Column) -> Column:
     return F.when(number.rlike("^[IVXLCDM]+$"), total["sum"])
 
 
+def roman_of(numeral: str) -> int:
+    """The value of a numeral in capitals; signs that are none count 0."""
+    values = [{"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}.get(c, 0) for c in numeral]
+    return sum(-a if a < b else a for a, b in zip(values, [*values[1:], 0], strict=True))
+
+
+#: Where a long text may be cut, the best first: after a line, after a sentence or clause, at a blank.
+CUTS = (re.compile(r"\n"), re.compile(r"(?<=[.;]) "), re.compile(r" "))
+
+
 def split_long(text: str, most: int = MOST) -> list[str]:
-    """Pieces of at most so many characters, cut at lines, then at the last sentence or clause past a third, a blank, or hard."""
+    """Pieces of at most so many characters, filled as far as whole lines go.
+
+    A line that is longer than that is cut for itself: behind the last sentence or clause past a third of the limit, else at the
+    last blank, else hard. All places are found in one pass each, and looked up by bisection.
+    """
     if len(text) <= most:
         return [text]
-    units = []
-    for line in text.split("\n"):
-        while len(line) > most:
-            window = line[:most]
-            at = max(window.rfind(". "), window.rfind("; "))
-            cut = at + 1 if at > most // 3 else window.rfind(" ")
-            cut = cut if cut > 0 else most
-            units.append(line[:cut].strip())
-            line = line[cut:].strip()
-        units.append(line)
-    out: list[str] = []
-    for unit in units:
-        if out and len(out[-1]) + 1 + len(unit) <= most:
-            out[-1] += "\n" + unit
-        elif unit:
-            out.append(unit)
-    return out
+    lines, clauses, blanks = ([m.start() for m in p.finditer(text)] for p in CUTS)
+
+    def last(places: list[int], low: int, high: int) -> int | None:
+        """The last place within low < place <= high."""
+        at = bisect_right(places, high) - 1
+        return places[at] if at >= 0 and places[at] > low else None
+
+    pieces: list[str] = []  # what must stay together: a line or a part of one
+    for start, end in zip([0, *(n + 1 for n in lines)], [*lines, len(text)], strict=True):
+        while end - start > most:
+            clause = last(clauses, start, start + most - 2)
+            cut = clause if clause is not None and clause - start > most // 3 + 1 else last(blanks, start, start + most - 1) or start + most
+            pieces.append(text[start:cut].strip())
+            start = cut + len(text[cut:end]) - len(text[cut:end].lstrip())
+        pieces.append(text[start:end])
+    out: list[list[str]] = []
+    room = 0
+    for piece in pieces:
+        if out and len(piece) + 1 <= room:
+            out[-1].append(piece)
+            room -= len(piece) + 1
+        elif piece:
+            out.append([piece])
+            room = most - len(piece)
+    return ["\n".join(own) for own in out]
 
 
 def pack_paragraphs(text: str, most: int = MOST) -> list[str]:

@@ -70,14 +70,18 @@ def _letter(c: str) -> bool:
 
 
 def _digits(word: str) -> bool:
-    return any(c != "-" and not _letter(c) for c in word)
+    return not word.isalpha() and any(c != "-" and not _letter(c) for c in word)
 
 
 def candidate(token: str) -> str | None:
     """A token in lower case; None if it can't be a misread word."""
     word = token.lower()
+    if not 2 <= len(word) <= LONGEST:
+        return None
+    if word.isalpha():
+        return word
     letters = sum(map(_letter, word))
-    if not letters or len(word) < 2 or len(word) > LONGEST:
+    if not letters:
         return None
     # Capitals and digits in one, or a number with one letter, are codes and numbers of sections.
     if _digits(word) and (token[1:] != word[1:] and token != token.upper() or token != word and len(word) <= 3 or letters < 2 and len(word) > 2 or token == token.upper() and token != word and letters < 4):
@@ -96,7 +100,7 @@ def options(word: str, depth: int | None = None, table: dict[str, list[str]] = R
                 for size in (1, 2, 3):
                     for printed in table.get(w[i : i + size], ()) if i + size <= len(w) else ():
                         step.add(w[:i] + printed + w[i + size :])
-        steps.append({x for x in step if len(x) > 1 and x != word and all(map(_letter, x.replace("-", "")))})
+        steps.append({x for x in step if len(x) > 1 and x != word and ((y := x.replace("-", "")).isalpha() or y and not y.isascii() and all(map(_letter, y)))})
         edge = step
     return steps
 
@@ -204,7 +208,9 @@ BODY, BREAK, HEADER, PAGE_LINE = range(4)
 @lru_cache(50_000)
 def _bare(title: str) -> str:
     """Letters and digits only, those that are misread for each other made alike."""
-    s = "".join(c for c in title.lower() if "a" <= c <= "z" or "0" <= c <= "9" or c > "\x7f" and (c.isalnum() or _letter(c) and c not in "\u200c\u200d"))
+    s = re.sub(r"[\x00-/:-`{-\x7f]+", "", title.lower())
+    if not s.isascii():
+        s = "".join(c for c in s if c.isalnum() or _letter(c) and c not in "\u200c\u200d")
     s = s.replace("rn", "m").replace("nn", "m").replace("vv", "w").replace("cl", "d")
     return s.translate(str.maketrans("10568|b", "loshhlh")).translate(str.maketrans("iuceft", "lnoott"))
 

@@ -42,7 +42,14 @@ def build_units(spark: SparkSession, folder: str) -> DataFrame:
 
 def mention_rows(spark: SparkSession, folder: str) -> DataFrame:
     found = named_targets(mentions(table(spark, folder, "chunks")), name_index(table(spark, folder, "docs")))
-    return found.withColumn("labels", F.array_join("labels", ","))
+    return found.withColumns({"labels": F.array_join("labels", ","), "ops": F.size("ops")})
+
+
+def edit_operations(spark: SparkSession, folder: str) -> DataFrame:
+    """What the formulas of amending laws order to be done with words, an operation a row."""
+    chunks = table(spark, folder, "chunks").where("doc_key not like 'gazette:%' and doc_key not like 'ca:%' and doc_key not like 'sc:%'")
+    found = mentions(chunks).where("size(labels) = 1 and relation = 'amends'")
+    return found.select("chunk", F.col("labels")[0].alias("label"), F.explode("ops").alias("o")).select("chunk", "label", "o.op", "o.old", "o.new")
 
 
 def amended_sections(spark: SparkSession, folder: str) -> DataFrame:
@@ -251,7 +258,7 @@ SELECT coalesce(doc_type, 'all') AS doc_type, coalesce(lang, CASE WHEN grouping(
 """)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "split_long_pieces": split_long_pieces, "pages_chunks": pages_chunks, "tree_units": build_units, "mention_rows": mention_rows, "amended_sections": amended_sections, "citing_majority": citing_majority,
+    "split_long_pieces": split_long_pieces, "pages_chunks": pages_chunks, "tree_units": build_units, "edit_operations": edit_operations, "mention_rows": mention_rows, "amended_sections": amended_sections, "citing_majority": citing_majority,
     "unique_names": unique_names, "equal_titles": equal_titles, "commencements": commencements, "html_to_text": html_text, "script_share": script_shares, "display_titles": titles, "natural_labels": natural_labels, "roman_numbers": roman_numbers, "chunk_ids": chunk_ids,
     "text_hash_check": text_hashes, "doc_fingerprint": doc_fingerprint, "bag_diff": bag_diff, "lost_gained_labels": lost_gained_labels, "label_gaps": label_gaps, "run_diff": run_diff, "gate_summary": gate_summary,
     "review_list": review_list, "gold_precision_recall": gold_scores, "release_plan": release_plan, "embedding_changes": embedding_changes, "work_plan": work_plan, "text_parts": text_parts, "office_diff": office_diff,
@@ -264,6 +271,10 @@ n AS (SELECT * FROM chunks WHERE built_at <= TIMESTAMP '2025-06-01' AND (removed
 ISSUES = "SELECT doc_key, 'no_label' AS \"check\", 'warning' AS severity, address AS place, 'continued' AS cause FROM {0} WHERE label IS NULL AND kind = 'unit' UNION ALL SELECT doc_key, 'too_long', 'error', address, coalesce(kind, 'none') FROM {0} WHERE length(text) > 1500"
 
 ORACLE: dict[str, str] = {
+    "edit_operations": r"""
+WITH f AS (SELECT id, unnest(regexp_extract_all(text, '[Ss]ections?\s+\d{1,4}[A-Z]{0,2}\s+of\s+(?:the\s+)?(?:[A-Z][\w’''-]*\s+)(?:(?:[A-Z][\w’''-]*|of|and|for|\([A-Z][\w ]*\))\s+){0,8}?(?:Act|Law|Ordinance)\s+is\s+amended\b[^“.;]*?substitution[^“.;]*?,?\s*for\s+the\s+words?\s+“[^”]+”,?\s*of\s+the\s+words?\s+“[^”]+”')) AS t
+  FROM chunks WHERE NOT regexp_matches(doc_key, '^(gazette|ca|sc):'))
+SELECT id AS chunk, regexp_extract(t, '(\d{1,4}[A-Z]{0,2})', 1) AS label, 'substitute' AS op, regexp_extract(t, '“([^”]+)”', 1) AS old, regexp_extract(t, '“[^”]+”[^“]*“([^”]+)”', 1) AS new FROM f""".replace("\\\\", "\\"),
     "amended_sections": "SELECT id, len(f) AS sections FROM (SELECT id, regexp_extract_all(text, 'Section (\\d+[A-Z]?) of the ([A-Z][a-z]+ [A-Z][a-z]+ Act) is amended') AS f FROM chunks) WHERE len(f) > 0",
     "citing_majority": f"WITH {LINKS}, v AS (SELECT dst_label AS name, dst_doc AS doc_key, count(*) AS n FROM l WHERE dst_label IS NOT NULL GROUP BY ALL) SELECT name, arg_max(doc_key, n) AS doc_key FROM v GROUP BY name HAVING max(n) > sum(n) - max(n)",
     "unique_names": "SELECT name, min(doc_key) AS doc_key, max(doc_year) AS year FROM (SELECT lower(regexp_extract(title, '^(?:The )?(.*?(?:Act|Law|Ordinance))\\b', 1)) AS name, doc_key, doc_year FROM docs WHERE title IS NOT NULL) WHERE name <> '' GROUP BY name HAVING min(doc_key) = max(doc_key)",
