@@ -15,9 +15,37 @@ def classify(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return a.join(b, key, "full_outer").select(*key, change.alias("change"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """The next snapshot: rows of new, and those of old whose key isn't in new."""
-    return new.select(*old.columns).unionByName(old.join(new.select(*key), key, "left_anti").select(*old.columns))
+def last_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row a key: the last by order; of rows that are equal in it the greatest."""
+    rest = [c for c in df.columns if c not in key]
+    last = df.groupBy(*key).agg(F.max(F.struct(*[F.col(o).alias(f"_o{n}") for n, o in enumerate(order)], F.struct(*rest).alias("_row"))).alias("_last"))
+    return last.select(*key, "_last._row.*").select(*df.columns)
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """The next snapshot: rows of new, and those of old whose key isn't in new. Of a key twice in new the last by order (all columns) counts."""
+    chosen = last_of(new.select(*old.columns), key, order or [c for c in old.columns if c not in key])
+    return chosen.unionByName(old.join(new.select(*key), key, "left_anti").select(*old.columns))
+
+
+def merge_upsert(old: DataFrame, new: DataFrame, key: list[str], order: str, json: str) -> DataFrame:
+    """The next snapshot with `change`: inserted, changed, same or kept (in old alone).
+
+    Of a key that stands twice on a side the last by order counts. The JSON map of a new row is laid over the old one's, key by
+    key; a row is changed only if something differs after that, so that what is the same isn't written again.
+    """
+    rest = [c for c in new.columns if c not in key]
+    a = last_of(old, key, [order]).select(*key, F.struct(*rest).alias("_old"))
+    b = last_of(new, key, [order]).select(*key, F.struct(*rest).alias("_new"))
+    met = a.join(b, key, "full_outer")
+    laid = F.map_from_entries(F.array_sort(F.map_entries(F.map_zip_with(F.from_json(f"_old.{json}", "map<string,string>"), F.from_json(f"_new.{json}", "map<string,string>"), lambda k, x, y: F.coalesce(y, x)))))
+    before = F.map_from_entries(F.array_sort(F.map_entries(F.from_json(f"_old.{json}", "map<string,string>"))))
+    both = F.col("_old").isNotNull() & F.col("_new").isNotNull()
+    merged = F.when(both, F.to_json(laid)).otherwise(F.coalesce(f"_new.{json}", f"_old.{json}"))
+    others = [c for c in rest if c != json]
+    same = F.struct(*[F.col(f"_new.{c}") for c in others]).eqNullSafe(F.struct(*[F.col(f"_old.{c}") for c in others])) & F.to_json(laid).eqNullSafe(F.to_json(before))
+    change = F.when(F.col("_old").isNull(), "inserted").when(F.col("_new").isNull(), "kept").when(same, "same").otherwise("changed")
+    return met.select(*key, *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in others], merged.alias(json), change.alias("change"))
 
 
 def bag_difference(old: DataFrame, new: DataFrame) -> DataFrame:
