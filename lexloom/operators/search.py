@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
@@ -174,6 +175,30 @@ def _scored(texts: DataFrame, block: list[tuple[object, list[str]]], k: int, kin
     return texts.mapInArrow(score, f"query {kind}, hit string, score double")
 
 
+def text_vectors(df: DataFrame, id_: str, text: str, dimensions: int = 64) -> DataFrame:
+    """(id, embedding): a text's terms counted in so many dimensions by their hashes, each count damped by its logarithm.
+
+    It stands in for a model where none is at hand; a text without terms has a vector of zeros, which is no hit. Null texts give no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, places = Tokenizer(), {}
+        for batch in batches:
+            out = np.zeros((batch.num_rows, dimensions), dtype=np.float64)
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                for term, n in Counter(read(t)).items():
+                    at = places.get(term)
+                    if at is None:
+                        if len(places) > 200_000:
+                            places.clear()
+                        at = places[term] = int(hashlib.md5(term.encode()).hexdigest()[:4], 16) % dimensions
+                    out[i, at] += n
+            rows = pa.FixedSizeListArray.from_arrays(pa.array(np.log1p(out).ravel()), dimensions).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=["id", "embedding"])
+
+    return df.where(F.col(text).isNotNull()).select(F.col(id_).cast("long").alias("id"), text).mapInArrow(run, "id long, embedding array<double>")
+
+
 def rank_fusion(legs: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     """(query, hit, score, rank) by the sum over the legs of 1 / (constant + rank)."""
     union = legs[0].select("query", "hit", "rank")
