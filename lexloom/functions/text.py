@@ -185,10 +185,17 @@ def arrow_strings(f):
 
 
 def register(spark: SparkSession) -> None:
-    """The functions by name, for SQL."""
+    """The functions by name, for SQL: each as a function to an array, and split_long as rows, `FROM t, LATERAL pieces_of(t.text, 1500)`."""
     for f in (split_long, pack_paragraphs, expand_labels):
         spark.udf.register(f.__name__, arrow_strings(f))
 
+    class Pieces:
+        def eval(self, text: str, most: int):
+            for n, piece in enumerate(split_long(text, most) if text is not None else (), 1):
+                yield n, piece
+
+    spark.udtf.register("pieces_of", F.udtf(Pieces, returnType="n int, piece string"))
+
 
 def gaps(labels: Column) -> Column:
     """The numbers from 1 to the largest that a set of numbered labels lacks; an empty set lacks none."""

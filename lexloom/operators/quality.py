@@ -24,6 +24,44 @@ def mid_sentence(chunks: DataFrame) -> DataFrame:
     return looked.where(F.col("last").rlike("[a-z,]") & F.col("next").rlike("[a-z]")).select("id", "doc_key")
 
 
+def builder_checks(chunks: DataFrame, docs: DataFrame, most: int = 1500) -> DataFrame:
+    """(doc_key, check, severity) of everything that looks wrong in the chunks of built documents; one pass for what a chunk shows by itself."""
+    text, unit = F.col("text"), F.col("kind") == "unit"
+    letters, others = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit("[\u0d80-\u0dff\u0b80-\u0bff]"))
+    alone = {
+        ("too_long", "error"): F.length(text) > most,
+        ("quoted_as_unit", "error"): unit & F.ltrim(text).rlike('^[“"]'),
+        ("no_label", "warning"): unit & F.col("label").isNull() & F.coalesce(~F.col("crumb").endswith(" (cont.)"), F.lit(True)),
+        ("heading_not_scope", "warning"): text.rlike(r"(?m)^(PART|CHAPTER) [IVXL]+\s*$"),
+        ("other_script", "warning"): (letters >= 20) & (others > 0.5 * letters),
+        ("rejected_opener", "warning"): ~unit & F.ltrim(text).rlike(r"^\d{1,3}[A-Z]{0,2}\. \S"),
+    }
+    found = F.array_compact(F.array(*[F.when(F.coalesce(on, F.lit(False)), F.struct(F.lit(c).alias("check"), F.lit(s).alias("severity"))) for (c, s), on in alone.items()]))
+    out = chunks.select("doc_key", F.explode(found).alias("i")).select("doc_key", "i.check", "i.severity")
+    issue = lambda df, check, severity: df.select("doc_key", F.lit(check).alias("check"), F.lit(severity).alias("severity"))
+    twice = chunks.where(unit & F.col("label").isNotNull()).groupBy("doc_key", "label").count().where("count > 1")
+    empty = docs.select("doc_key").join(chunks.select("doc_key"), "doc_key", "left_anti")
+    return out.unionAll(issue(mid_sentence(chunks), "mid_sentence", "warning")).unionAll(issue(twice, "duplicate_label", "error")).unionAll(issue(empty, "empty", "error"))
+
+
+def gate(changed: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(doc_key, label, lost, reason, fails): labels lost, with the reason for which they are accepted, if they are.
+
+    accepted has (doc_key, label, reason); a null label accepts all of the document's.
+    """
+    some = accepted.where("label is not null").groupBy("doc_key", "label").agg(F.min("reason").alias("_one"))
+    whole = accepted.where("label is null").groupBy("doc_key").agg(F.min("reason").alias("_all"))
+    met = changed.where("lost > 0").join(some, ["doc_key", "label"], "left").join(whole, "doc_key", "left")
+    reason = F.coalesce("_one", "_all")
+    return met.select("doc_key", "label", "lost", reason.alias("reason"), reason.isNull().alias("fails"))
+
+
+def against_bars(scores: DataFrame, bars: dict[str, float], otherwise: float, by: str = "kind") -> DataFrame:
+    """Scores with the bar of each kind and whether the precision reaches it."""
+    bar = F.coalesce(*[F.when(F.col(by) == k, F.lit(b)) for k, b in bars.items()], F.lit(otherwise))
+    return scores.withColumn("bar", bar).withColumn("reached", F.col("precision") >= F.col("bar"))
+
+
 def labels_changed(old: DataFrame, new: DataFrame) -> DataFrame:
     """(doc_key, label, lost, gained) with multiplicity between two builds, of documents that both have."""
     shared = old.select("doc_key").distinct().join(new.select("doc_key").distinct(), "doc_key")
@@ -84,3 +122,13 @@ def embedding_changes(held: DataFrame, chunks: DataFrame, least: int = 40) -> Da
     due = chunks.where(F.length("text") >= least).select("id", F.col("text_hash").alias("_due"))
     met = held.select("id", F.col("text_hash").alias("_held")).join(due, "id", "full_outer")
     return met.select("id", F.when(F.col("_due").isNull(), "delete").when(~F.col("_due").eqNullSafe(F.col("_held")), "upsert").alias("action")).where("action is not null")
+
+
+def published(old: DataFrame, state: DataFrame, actions: DataFrame) -> DataFrame:
+    """The next release: the rows of state for documents that are replaced or new to it, and of the old release for what is kept or held.
+
+    All rows carry doc_key; documents that are removed, and those of state that are held without an old row, aren't in it.
+    """
+    taken = state.join(actions.where("action = 'replace'").select("doc_key"), "doc_key", "left_semi")
+    carried = old.join(actions.where("action in ('keep', 'hold')").select("doc_key"), "doc_key", "left_semi")
+    return taken.unionByName(carried.select(taken.columns))
