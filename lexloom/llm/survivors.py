@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.instants import listing_norms
 from lexloom.functions.keys import plain_key, tidy
-from lexloom.tables import cut, drop
+from lexloom.tables import cut
 
 #: Spellings of the labels, and of values that stand in for none.
 LABELS = {
@@ -15,6 +17,8 @@ LABELS = {
     "SINHALA": ["sinhala", "sinhalese", "sin", "si"],
     "TAMIL": ["tamil", "tam", "ta"],
 }
+#: Sources that truth discovery tells apart.
+MOST_SOURCES = 200
 STAND_INS = ["untitled", "na", "none", "null", "nil", "notitle", "titlenotavailable", "notavailable", "unknown", "tba", "tbd", "title"]
 
 
@@ -69,23 +73,37 @@ def truth_discovery(said: DataFrame, rounds: int = 10, enough: float = 1e-3) ->
 
     In turn, a value's support is the sum of the log odds of the sources that claim it, and a source's reliability the share
     of its claims that are the best supported, until no reliability moves by more than `enough`. Claims without a rival, and
-    those of values that tie, tell nothing of a source and are left out of its reliability. Ties go to the value that comes last by bytes. No claims, no rows.
+    those of values that tie, tell nothing of a source and are left out of its reliability. Ties go to the value that comes last by bytes.
+    Claims that repeat another, and those with a null, count for nothing. No claims, no rows.
+
+    A row is a value with the numbers of its sources, so that a round is one aggregate over rows that lie still: it combines
+    before the shuffle, whatever share of all values one document has, and nothing is joined. The sources are a reference
+    table; their names and reliabilities, no more than MOST_SOURCES, are what passes through the driver.
     """
     spark = said.sparkSession
-    said = cut(said)
-    known = cut(said.select("source").distinct().withColumn("reliability", F.lit(0.8)))
-    for _ in range(rounds):
-        odds = F.log(F.col("reliability") / (1 - F.col("reliability")))
-        votes = said.join(known, "source").groupBy("doc_key", "field", "value").agg(F.sum(F.greatest(odds, F.lit(0.01))).alias("support"))
-        best = votes.groupBy("doc_key", "field").agg(F.max(F.struct("support", "value")).alias("best"), F.min(F.struct((-F.col("support")).alias("s"), F.col("value"))).alias("same"), F.count("*").alias("rivals"))
-        judged = said.join(best.where("rivals > 1 and best.value = same.value"), ["doc_key", "field"]).groupBy("source").agg(((F.sum((F.col("value") == F.col("best.value")).cast("int")) + 4) / (F.count("*") + 5)).alias("now"))
-        after = cut(known.join(judged, "source", "left").select("source", F.least(F.coalesce("now", "reliability"), F.lit(0.99)).alias("reliability"), F.abs(F.coalesce("now", "reliability") - F.col("reliability")).alias("moved")))
-        moved = after.agg(F.max("moved")).first()[0]
-        drop(spark, known)
-        known = after.select("source", "reliability")
-        if moved is None or moved <= enough:
+    known = said.where("source is not null").select("source").distinct().orderBy("source").limit(MOST_SOURCES + 1).collect()
+    names = [r.source for r in known]
+    if len(names) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("source")).cast("int") if names else F.lit(0)
+    whole = said.where("doc_key is not null and field is not null and value is not null and source is not null")
+    values = cut(whole.groupBy("doc_key", "field", "value").agg(F.collect_set(place).alias("by")))
+    reliability = [0.8] * len(names)
+
+    def supported() -> DataFrame:
+        odds = F.array(*[F.lit(max(0.01, math.log(r / (1 - r)))) for r in reliability]) if names else F.array().cast("array<double>")
+        # The sources in their order, so that a sum is the same whatever the order of rows.
+        return values.withColumn("support", F.aggregate(F.array_sort("by"), F.lit(0.0), lambda total, i: total + F.element_at(odds, i)))
+
+    for _ in range(rounds if names else 0):
+        best = supported().groupBy("doc_key", "field").agg(
+            F.max(F.struct("support", "value", "by")).alias("best"), F.min(F.struct((-F.col("support")).alias("s"), F.col("value"))).alias("same"), F.count("*").alias("rivals"),
+            *[F.count(F.when(F.array_contains("by", i), 1)).alias(f"n{i}") for i in range(1, len(names) + 1)])
+        told = best.where("rivals > 1 and best.value = same.value").agg(*[f(i) for i in range(1, len(names) + 1) for f in (lambda i: F.sum(f"n{i}").alias(f"n{i}"), lambda i: F.count(F.when(F.array_contains("best.by", i), 1)).alias(f"r{i}"))]).first()
+        after = [min(0.99, (told[f"r{i}"] + 4) / (told[f"n{i}"] + 5)) if told[f"n{i}"] else r for i, r in enumerate(reliability, 1)]
+        moved = max(abs(x - y) for x, y in zip(after, reliability, strict=True))
+        reliability = after
+        if moved <= enough:
             break
-    odds = F.log(F.col("reliability") / (1 - F.col("reliability")))
-    votes = said.join(known, "source").groupBy("doc_key", "field", "value").agg(F.sum(F.greatest(odds, F.lit(0.01))).alias("support"))
-    best = votes.groupBy("doc_key", "field").agg(F.max(F.struct("support", "value")).alias("best"))
-    return best.select("doc_key", "field", "best.value", "best.support"), known
+    best = supported().groupBy("doc_key", "field").agg(F.max(F.struct("support", "value")).alias("best"))
+    return best.select("doc_key", "field", "best.value", "best.support"), spark.createDataFrame(list(zip(names, reliability, strict=True)), "source string, reliability double")

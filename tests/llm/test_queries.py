@@ -13,4 +13,5 @@ def test_query(spark, name):
     if name in ORACLE:
         assert differences(spark, QUERIES[name], ORACLE[name]) == ([], [])
     else:
-        assert QUERIES[name](spark, DATA).count() >= 0
+        # No passage of the tables is re-parameterised; test_reparameterised plants some.
+        assert QUERIES[name](spark, DATA).count() > (-1 if name == "p9_templates" else 0)
