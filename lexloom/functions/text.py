@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -205,17 +204,3 @@ def gaps(labels: Column) -> Column:
 
 def in_parts(df: DataFrame, text: str, pieces: Column) -> DataFrame:
     return df.where(F.col(text).isNotNull()).select("*", F.posexplode(pieces).alias("n", "piece"))
-
-
-def batches(rows: Iterator[tuple[str, int]], most_rows: int = 100, most_characters: int = 150_000) -> Iterator[list[str]]:
-    """Ids gathered greedily into batches of bounded rows and characters, as an embedding service takes them."""
-    now: list[str] = []
-    size = 0
-    for id_, n in rows:
-        if now and (len(now) == most_rows or size + n > most_characters):
-            yield now
-            now, size = [], 0
-        now.append(id_)
-        size += n
-    if now:
-        yield now

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import math
 import re
 import unicodedata
@@ -175,6 +176,45 @@ def _scored(texts: DataFrame, block: list[tuple[object, list[str]]], k: int, kin
     return texts.mapInArrow(score, f"query {kind}, hit string, score double")
 
 
+def overlap(corpus: DataFrame, queries: DataFrame, k: int, longer: int = 0, id_: str = "id", text: str = "text", per_pass: int = QUERIES) -> DataFrame:
+    """(query, hit, score, rank): the k texts that share most different words with each query, ties to the smaller id; words of `longer` characters or fewer are aside.
+
+    Each text is looked at once, and each task keeps k a query, so that pairs of queries and texts are never shuffled.
+    """
+    spark, read = corpus.sparkSession, Tokenizer()
+    kind = queries.schema["query"].dataType.simpleString()
+    rows = corpus.where(F.col(text).isNotNull()).select(F.col(id_).cast("string").alias("id"), F.col(text).alias("text"))
+    asked = queries.where(F.col("words").isNotNull()).select("query", "words").toLocalIterator()
+    out = None
+    for _, block in itertools.groupby(enumerate(asked), key=lambda x: x[0] // per_pass):
+        asking: dict[str, list] = {}
+        for _, r in block:
+            for w in {w for w in read(r["words"]) if len(w) > longer}:
+                asking.setdefault(w, []).append(r["query"])
+        sent = spark.sparkContext.broadcast(asking)
+
+        def task(batches, sent=sent):
+            read, asking = Tokenizer(), sent.value
+            best: dict[object, list[tuple[int, tuple]]] = {}
+            for batch in batches:
+                for own, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    shared = Counter(q for w in asking.keys() & set(read(t)) for q in asking[w])
+                    for q, n in shared.items():
+                        heap = best.setdefault(q, [])
+                        heap.append((-n, own))
+                        if len(heap) > 8 * k:
+                            heap[:] = heapq.nsmallest(k, heap)
+            found = [(q, own, float(-n)) for q, heap in best.items() for n, own in heapq.nsmallest(k, heap)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("query", "hit", "score"), f, strict=True)) for f in found], schema=pa.schema([("query", pa.int64() if kind == "bigint" else pa.string()), ("hit", pa.string()), ("score", pa.float64())]))
+
+        found = rows.mapInArrow(task, f"query {kind}, hit string, score double")
+        out = found if out is None else out.union(found)
+    if out is None:
+        return spark.createDataFrame([], f"query {kind}, hit string, score double, rank int")
+    window = Window.partitionBy("query").orderBy(F.desc("score"), "hit")
+    return out.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+
+
 def text_vectors(df: DataFrame, id_: str, text: str, dimensions: int = 64) -> DataFrame:
     """(id, embedding): a text's terms counted in so many dimensions by their hashes, each count damped by its logarithm.
 

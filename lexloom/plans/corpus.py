@@ -14,7 +14,7 @@ from lexloom.functions.keys import plain_key
 from lexloom.operators import cdc, office, quality
 from lexloom.operators.citations import equal_titles as titles_shared
 from lexloom.operators.citations import majority_target, mentions, name_index, named_targets
-from lexloom.operators.structure import build_chunks, commencement
+from lexloom.operators.structure import build_chunks, commencement, paragraph_kind, paragraphs_of
 from lexloom.plans.shared import LINKS, both, plain_links, plain_sql
 from lexloom.sources.files import text_parts as parts_of
 from lexloom.streaming import ledger
@@ -71,6 +71,47 @@ def equal_titles(spark: SparkSession, folder: str) -> DataFrame:
     return titles_shared(table(spark, folder, "docs"))
 
 
+def paragraph_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """How many paragraphs of the texts are of each kind."""
+
+    @F.pandas_udf("array<string>")
+    def kinds(texts: pd.Series) -> pd.Series:
+        own = texts.map(paragraphs_of)
+        return own.map(lambda ps: [paragraph_kind(p, q) for q, p in zip([None, *ps], ps, strict=False)])
+
+    rows = table(spark, folder, "documents").where("text is not null").select("doc_type", F.explode(kinds("text")).alias("kind"))
+    return rows.groupBy("doc_type", "kind").agg(F.count("*").alias("paragraphs"))
+
+
+def failure_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the documents of each source without a text are within what a run may lose."""
+    rows = table(spark, folder, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.count(F.when(F.col("text").isNull(), 1)).alias("failed"))
+    return rows.withColumn("passes", quality.within_budget(F.col("failed"), F.col("documents")))
+
+
+def clean_titles(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "listings").where("title is not null").select("id", t.clean(F.col("title")).alias("title"))
+
+
+def embedding_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks in batches of at most a hundred texts and 150,000 characters, shard by shard."""
+    rows = table(spark, folder, "chunks").where(F.length("text") >= 40).select(F.pmod(F.xxhash64("id"), F.lit(64)).alias("shard"), "id", F.length("text").alias("n"))
+
+    def gather(frames):
+        last, batch, size, count = None, 0, 0, 0
+        for frame in frames:
+            out = []
+            for shard, n in zip(frame["shard"], frame["n"], strict=True):
+                if shard != last or count == 100 or size + n > 150_000:
+                    batch, size, count, last = (batch + 1 if shard == last else 0), 0, 0, shard
+                size, count = size + n, count + 1
+                out.append(batch)
+            yield frame.assign(batch=out)
+
+    placed = rows.repartition("shard").sortWithinPartitions("shard", "id").mapInPandas(gather, "shard long, id string, n int, batch int")
+    return placed.groupBy("shard", "batch").agg(F.count("*").alias("texts"), F.sum("n").alias("characters"))
+
+
 def commencements(spark: SparkSession, folder: str) -> DataFrame:
     """How documents say that they begin, counted."""
 
@@ -113,8 +154,8 @@ def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks whose hash isn't that of their text."""
-    return table(spark, folder, "chunks").where(F.sha1("text") != F.col("text_hash")).select("id")
+    """How many chunks of each kind have the hash of their text, and how many another."""
+    return table(spark, folder, "chunks").groupBy("kind", (F.sha1("text") == F.col("text_hash")).alias("right")).agg(F.count("*").alias("chunks"))
 
 
 def doc_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
@@ -243,27 +284,20 @@ _embed, _embed_sql = both("""
 SELECT c.id, length(concat_ws(' › ', d.title, c.crumb)) AS heading, CAST(ceil(length(c.text) / 4.0) AS BIGINT) AS tokens, length(c.text) >= 40 AS embedded
 FROM {chunks} c JOIN {docs} d ON d.doc_key = c.doc_key WHERE c.text IS NOT NULL
 """)
-_overlap, _overlap_sql = both("""
-SELECT n.n_name, count(*) AS suppliers, sum(CASE WHEN s.s_acctbal > r.mean THEN 1 ELSE 0 END) AS above FROM {supplier} s JOIN {nation} n ON n.n_nationkey = s.s_nationkey
-JOIN (SELECT s_nationkey, avg(s_acctbal) AS mean FROM {supplier} GROUP BY s_nationkey) r ON r.s_nationkey = s.s_nationkey JOIN {region} g ON g.r_regionkey = n.n_regionkey GROUP BY n.n_name
-""")
 _same_text, _same_text_sql = both("""
 SELECT a.doc_key, count(*) AS chunks, count(b.text_hash) AS elsewhere FROM {chunks} a LEFT JOIN (SELECT DISTINCT text_hash, doc_key FROM {chunks}) b ON b.text_hash = a.text_hash AND b.doc_key <> a.doc_key GROUP BY a.doc_key
 """)
 _sets, _sets_sql = both("""
 (SELECT doc_key FROM {docs} WHERE removed_at IS NULL INTERSECT SELECT doc_key FROM {documents}) EXCEPT SELECT doc_key FROM {chunks} WHERE kind = 'schedule'
 """)
-_rollup, _rollup_sql = both("""
-SELECT coalesce(doc_type, 'all') AS doc_type, coalesce(lang, CASE WHEN grouping(lang) = 1 THEN 'all' ELSE 'none' END) AS lang, count(*) AS documents, sum(n_chars) AS characters FROM {documents} GROUP BY ROLLUP(doc_type, lang)
-""")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "split_long_pieces": split_long_pieces, "pages_chunks": pages_chunks, "tree_units": build_units, "edit_operations": edit_operations, "mention_rows": mention_rows, "amended_sections": amended_sections, "citing_majority": citing_majority,
+    "split_long_pieces": split_long_pieces, "pages_chunks": pages_chunks, "tree_units": build_units, "paragraph_kinds": paragraph_kinds, "failure_budget": failure_budget, "clean_titles": clean_titles, "embedding_batches": embedding_batches, "edit_operations": edit_operations, "mention_rows": mention_rows, "amended_sections": amended_sections, "citing_majority": citing_majority,
     "unique_names": unique_names, "equal_titles": equal_titles, "commencements": commencements, "html_to_text": html_text, "script_share": script_shares, "display_titles": titles, "natural_labels": natural_labels, "roman_numbers": roman_numbers, "chunk_ids": chunk_ids,
     "text_hash_check": text_hashes, "doc_fingerprint": doc_fingerprint, "bag_diff": bag_diff, "lost_gained_labels": lost_gained_labels, "label_gaps": label_gaps, "run_diff": run_diff, "gate_summary": gate_summary,
     "review_list": review_list, "gold_precision_recall": gold_scores, "release_plan": release_plan, "embedding_changes": embedding_changes, "work_plan": work_plan, "text_parts": text_parts, "office_diff": office_diff,
     "case_replay": case_replay, "file_states": file_states, "file_windows": file_windows, "handle_map": handle_map, "stream_daily_counts": stream_daily_counts, "stream_once": stream_once, "stream_states": stream_states,
-    "embedding_texts": _embed, "above_mean": _overlap, "same_text_elsewhere": _same_text, "set_operations": _sets, "rollup_types": _rollup,
+    "embedding_texts": _embed, "same_text_elsewhere": _same_text, "set_operations": _sets,
 }
 
 BUILDS = """o AS (SELECT * FROM chunks WHERE built_at <= TIMESTAMP '2024-01-01' AND (removed_at IS NULL OR removed_at > TIMESTAMP '2024-01-01')),
@@ -271,6 +305,8 @@ n AS (SELECT * FROM chunks WHERE built_at <= TIMESTAMP '2025-06-01' AND (removed
 ISSUES = "SELECT doc_key, 'no_label' AS \"check\", 'warning' AS severity, address AS place, 'continued' AS cause FROM {0} WHERE label IS NULL AND kind = 'unit' UNION ALL SELECT doc_key, 'too_long', 'error', address, coalesce(kind, 'none') FROM {0} WHERE length(text) > 1500"
 
 ORACLE: dict[str, str] = {
+    "failure_budget": "SELECT source, count(*) AS documents, count(*) FILTER (WHERE text IS NULL) AS failed, count(*) FILTER (WHERE text IS NULL) <= greatest(3, count(*) * 0.01) AS passes FROM documents GROUP BY source",
+    "clean_titles": r"SELECT id, trim(regexp_replace(regexp_replace(title, '\s+', ' ', 'g'), ' ([.,;:])', '\1', 'g')) AS title FROM listings WHERE title IS NOT NULL",
     "edit_operations": r"""
 WITH f AS (SELECT id, unnest(regexp_extract_all(text, '[Ss]ections?\s+\d{1,4}[A-Z]{0,2}\s+of\s+(?:the\s+)?(?:[A-Z][\w’''-]*\s+)(?:(?:[A-Z][\w’''-]*|of|and|for|\([A-Z][\w ]*\))\s+){0,8}?(?:Act|Law|Ordinance)\s+is\s+amended\b[^“.;]*?substitution[^“.;]*?,?\s*for\s+the\s+words?\s+“[^”]+”,?\s*of\s+the\s+words?\s+“[^”]+”')) AS t
   FROM chunks WHERE NOT regexp_matches(doc_key, '^(gazette|ca|sc):'))
@@ -283,7 +319,7 @@ SELECT id AS chunk, regexp_extract(t, '(\d{1,4}[A-Z]{0,2})', 1) AS label, 'subst
     "script_share": r"""SELECT doc_id, CASE WHEN n >= 200 THEN round(s / n, 6) END AS sinhala, CASE WHEN n >= 200 THEN round(t / n, 6) END AS tamil FROM (SELECT doc_id, len(regexp_extract_all(text, '\p{L}')) AS n,
   len(list_filter(regexp_extract_all(text, '\p{L}'), lambda x: regexp_matches(x, '[\x{0D80}-\x{0DFF}]'))) AS s, len(list_filter(regexp_extract_all(text, '\p{L}'), lambda x: regexp_matches(x, '[\x{0B80}-\x{0BFF}]'))) AS t FROM documents WHERE text IS NOT NULL)""",
     "natural_labels": r"SELECT doc_key, arg_min(label, (CAST(regexp_extract(label, '^(\d+)', 1) AS INT), regexp_extract(label, '^\d*(.*)$', 1))) AS first, arg_max(label, (CAST(regexp_extract(label, '^(\d+)', 1) AS INT), regexp_extract(label, '^\d*(.*)$', 1))) AS last FROM chunks WHERE regexp_matches(label, '^\d+[A-Z]*$') GROUP BY doc_key",
-    "text_hash_check": "SELECT id FROM chunks WHERE sha1(text) <> text_hash",
+    "text_hash_check": "SELECT kind, sha1(text) = text_hash AS right, count(*) AS chunks FROM chunks GROUP BY ALL",
     "doc_fingerprint": "SELECT doc_key, md5(string_agg(concat_ws('|', id, coalesce(label, ''), coalesce(text_hash, '')), chr(10) ORDER BY seq, id)) AS fingerprint FROM chunks GROUP BY doc_key",
     "bag_diff": f"WITH {BUILDS}, a AS (SELECT doc_key, kind, part_no, count(*) AS c FROM o GROUP BY ALL), b AS (SELECT doc_key, kind, part_no, count(*) AS c FROM n GROUP BY ALL) SELECT coalesce(a.doc_key, b.doc_key) AS doc_key, coalesce(a.kind, b.kind) AS kind, coalesce(a.part_no, b.part_no) AS part_no, greatest(coalesce(a.c, 0) - coalesce(b.c, 0), 0) AS lost, greatest(coalesce(b.c, 0) - coalesce(a.c, 0), 0) AS gained FROM a FULL OUTER JOIN b ON a.doc_key = b.doc_key AND a.kind IS NOT DISTINCT FROM b.kind AND a.part_no IS NOT DISTINCT FROM b.part_no WHERE coalesce(a.c, 0) <> coalesce(b.c, 0)",
     "lost_gained_labels": f"WITH {BUILDS}, s AS (SELECT doc_key FROM o INTERSECT SELECT doc_key FROM n), u AS (SELECT doc_key, label, 1 AS x, 0 AS y FROM o WHERE label IS NOT NULL UNION ALL SELECT doc_key, label, 0, 1 FROM n WHERE label IS NOT NULL) SELECT doc_key, label, greatest(sum(x) - sum(y), 0) AS lost, greatest(sum(y) - sum(x), 0) AS gained FROM u WHERE doc_key IN (SELECT doc_key FROM s) GROUP BY doc_key, label HAVING sum(x) <> sum(y)",
@@ -311,5 +347,5 @@ WHERE json_extract_string(a, '$.' || item) IS DISTINCT FROM json_extract_string(
     "stream_daily_counts": "WITH d AS (SELECT CAST(ts + INTERVAL 330 MINUTE AS DATE) AS day, event_type, count(*) AS events, round(sum(value), 4) AS cost FROM events GROUP BY 1, 2) SELECT * FROM d WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 330 MINUTE <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)",
     "stream_once": "SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type",
     "stream_states": "SELECT user_id, arg_max(event_type, (ts, event_type)) AS state, epoch_us(max(ts)) AS at_us FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
-    "embedding_texts": _embed_sql, "above_mean": _overlap_sql, "same_text_elsewhere": _same_text_sql, "set_operations": _sets_sql, "rollup_types": _rollup_sql,
+    "embedding_texts": _embed_sql, "same_text_elsewhere": _same_text_sql, "set_operations": _sets_sql,
 }

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lexloom.functions.keys import plain_key
 from lexloom.operators import layout as y
 from lexloom.operators.citations import name_index
+from lexloom.operators.search import overlap
+from lexloom.operators.skew import spread_join
 from lexloom.plans.shared import both, plain_sql
 from lexloom.sources.files import backup
 from lexloom.tables import table
@@ -56,10 +58,11 @@ def trimmed_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wrong_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents whose first line prints another number than their key has."""
+    """How many documents print in their first line the number that their key has, or another."""
     head = F.split(F.col("text"), "\n")[0]
     rows = table(spark, folder, "documents").where("text is not null").select("doc_id", F.regexp_extract("doc_key", r"^(?:act|law|ordinance):(.*)$", 1).alias("keyed"), F.concat_ws("/", F.nullif(F.regexp_extract(head, r"No\. (\d+) of \d{4}", 1), F.lit("")), F.nullif(F.regexp_extract(head, r"No\. \d+ of (\d{4})", 1), F.lit(""))).alias("printed"))
-    return rows.where("keyed <> '' and printed <> '' and keyed <> printed")
+    state = F.when((F.col("keyed") == "") | (F.col("printed") == ""), "unprinted").when(F.col("keyed") == F.col("printed"), "right").otherwise("wrong")
+    return rows.groupBy(state.alias("state")).agg(F.count("*").alias("documents"), F.max("doc_id").alias("last"))
 
 
 def title_ratio(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,23 +85,27 @@ def backup_parity(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(out, "name string, written long, back long")
 
 
-_overlap, _overlap_sql = both("""
-WITH q AS (SELECT DISTINCT item_id, lower(w) AS w FROM (SELECT item_id, explode(split(question, ' ')) AS w FROM {eval_items}) x WHERE length(w) > 5),
-d AS (SELECT DISTINCT id, lower(w) AS w FROM (SELECT id, explode(split(text, ' ')) AS w FROM {chunks}) y),
-s AS (SELECT q.item_id, d.id, count(*) AS words FROM q JOIN d ON d.w = q.w GROUP BY q.item_id, d.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY words DESC, id) AS rank FROM s)
-SELECT item_id, id, words, rank FROM r WHERE rank <= 3
-""")
+def word_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """The three chunks that share most long words with each question."""
+    items = table(spark, folder, "eval_items").select(F.col("item_id").alias("query"), F.col("question").alias("words"))
+    hits = overlap(table(spark, folder, "chunks"), items, 3, longer=5)
+    return hits.select(F.col("query").alias("item_id"), F.col("hit").alias("id"), F.col("score").cast("long").alias("words"), "rank")
+
+
+def null_safe_twins(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that repeat an earlier one in key, language and listing, nulls alike, with the first of them."""
+    same = F.to_json(F.struct("doc_key", "lang", "listing_id"))
+    rows = table(spark, folder, "documents").where("doc_key is not null").select("doc_id", same.alias("same"))
+    first = rows.groupBy(F.col("same").alias("group")).agg(F.min("doc_id").alias("twin"), F.count("*").alias("rows"))
+    return spread_join(rows, first, "same", "rows", ["twin"]).where("twin < doc_id").select("doc_id", "twin")
+
+
 _last_seen, _last_seen_sql = both("""
 SELECT d.doc_key, greatest(max(d.built_at), max(c.built_at), max(d.removed_at)) AS last_at, count(DISTINCT c.id) AS chunks FROM {docs} d LEFT JOIN {chunks} c ON c.doc_key = d.doc_key GROUP BY d.doc_key
 """)
-_null_safe, _null_safe_sql = both("""
-SELECT a.doc_id, b.doc_id AS twin FROM {documents} a JOIN {documents} b ON a.doc_key = b.doc_key AND a.lang IS NOT DISTINCT FROM b.lang AND a.listing_id IS NOT DISTINCT FROM b.listing_id AND a.doc_id < b.doc_id
-""")
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "paragraphs_joined": paragraphs_joined, "spans_merged": spans_merged, "nearest_purchase": nearest_purchase, "common_quantity": common_quantity, "cited_names": cited_names, "page_kinds": page_kinds,
-    "trimmed_keys": trimmed_keys, "wrong_files": wrong_files, "title_ratio": title_ratio, "backup_parity": backup_parity, "word_overlap": _overlap, "last_activity": _last_seen, "null_safe_twins": _null_safe,
+    "trimmed_keys": trimmed_keys, "wrong_files": wrong_files, "title_ratio": title_ratio, "backup_parity": backup_parity, "word_overlap": word_overlap, "last_activity": _last_seen, "null_safe_twins": null_safe_twins,
 }
 
 ORACLE: dict[str, str] = {
@@ -120,7 +127,11 @@ WITH c AS (SELECT l_suppkey, l_quantity AS value, count(*) AS n FROM lineitem GR
 k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY reached DESC, value) AS p FROM r) SELECT l_suppkey, value, reached FROM k WHERE p = 1""",
     "page_kinds": "SELECT CASE WHEN source IN ('bundle-archive', 'oldstatutes') AND (coalesce(n_chars, 0) < 20 OR lang IS NULL) THEN 'scan' WHEN coalesce(n_chars, 0) >= 20 THEN 'digital' ELSE 'blank' END AS kind, count(*) AS pages FROM documents GROUP BY 1",
     "trimmed_keys": "SELECT doc_key, CASE WHEN length(s) <= 40 THEN s ELSE regexp_replace(left(s, 31), '[-_ .]+$', '') || '-' || left(sha1(s), 8) END AS key FROM (SELECT doc_key, regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') AS s FROM docs)",
-    "wrong_files": r"SELECT * FROM (SELECT doc_id, regexp_extract(doc_key, '^(?:act|law|ordinance):(.*)$', 1) AS keyed, concat_ws('/', nullif(regexp_extract(h, 'No\. (\d+) of \d{4}', 1), ''), nullif(regexp_extract(h, 'No\. \d+ of (\d{4})', 1), '')) AS printed FROM (SELECT *, split_part(text, chr(10), 1) AS h FROM documents WHERE text IS NOT NULL)) WHERE keyed <> '' AND printed <> '' AND keyed <> printed",
+    "wrong_files": r"SELECT CASE WHEN keyed = '' OR printed = '' THEN 'unprinted' WHEN keyed = printed THEN 'right' ELSE 'wrong' END AS state, count(*) AS documents, max(doc_id) AS last FROM (SELECT doc_id, regexp_extract(doc_key, '^(?:act|law|ordinance):(.*)$', 1) AS keyed, concat_ws('/', nullif(regexp_extract(h, 'No\. (\d+) of \d{4}', 1), ''), nullif(regexp_extract(h, 'No\. \d+ of (\d{4})', 1), '')) AS printed FROM (SELECT *, split_part(text, chr(10), 1) AS h FROM documents WHERE text IS NOT NULL)) GROUP BY 1",
     "backup_parity": "SELECT 'docs' AS name, count(*) AS written, count(*) AS back FROM docs UNION ALL SELECT 'links', count(*), count(*) FROM links UNION ALL SELECT 'sources', count(*), count(*) FROM sources",
-    "word_overlap": _overlap_sql.replace("explode(split(", "unnest(string_split("), "last_activity": _last_seen_sql, "null_safe_twins": _null_safe_sql,
+    "word_overlap": r"""
+WITH q AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(string_split(lower(regexp_replace(question, '[^\p{L}\p{M}\p{Nd}]+', ' ', 'g')), ' ')) AS w FROM eval_items) WHERE length(w) > 5),
+d AS (SELECT DISTINCT id, unnest(string_split(lower(regexp_replace(text, '[^\p{L}\p{M}\p{Nd}]+', ' ', 'g')), ' ')) AS w FROM chunks),
+s AS (SELECT q.item_id, d.id, count(*) AS words FROM q JOIN d ON d.w = q.w GROUP BY q.item_id, d.id)
+SELECT item_id, id, words, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY words DESC, id) AS rank FROM s) WHERE rank <= 3""", "last_activity": _last_seen_sql, "null_safe_twins": "SELECT doc_id, first AS twin FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY doc_key, lang, listing_id) AS first FROM documents WHERE doc_key IS NOT NULL) WHERE first < doc_id",
 }
