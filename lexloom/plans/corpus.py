@@ -14,7 +14,7 @@ from lexloom.functions.keys import plain_key
 from lexloom.operators import cdc, office, quality
 from lexloom.operators.citations import equal_titles as titles_shared
 from lexloom.operators.citations import majority_target, mentions, name_index, named_targets
-from lexloom.operators.structure import build_chunks, commencement, paragraph_kind, paragraphs_of
+from lexloom.operators.structure import build_chunks, commencement_of, paragraph_kind, paragraphs_of
 from lexloom.plans.shared import LINKS, both, plain_links, plain_sql
 from lexloom.sources.files import text_parts as parts_of
 from lexloom.streaming import ledger
@@ -114,12 +114,8 @@ def embedding_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 def commencements(spark: SparkSession, folder: str) -> DataFrame:
     """How documents say that they begin, counted."""
-
-    @F.pandas_udf("string")
-    def how(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else commencement(x)[0])
-
-    return _latest(spark, folder).where("text is not null").groupBy(how("text").alias("how")).agg(F.count("*").alias("documents"))
+    how, _ = commencement_of(F.col("text"))
+    return _latest(spark, folder).where("text is not null").groupBy(how.alias("how")).agg(F.count("*").alias("documents"))
 
 
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -304,7 +300,23 @@ BUILDS = """o AS (SELECT * FROM chunks WHERE built_at <= TIMESTAMP '2024-01-01'
 n AS (SELECT * FROM chunks WHERE built_at <= TIMESTAMP '2025-06-01' AND (removed_at IS NULL OR removed_at > TIMESTAMP '2025-06-01'))"""
 ISSUES = "SELECT doc_key, 'no_label' AS \"check\", 'warning' AS severity, address AS place, 'continued' AS cause FROM {0} WHERE label IS NULL AND kind = 'unit' UNION ALL SELECT doc_key, 'too_long', 'error', address, coalesce(kind, 'none') FROM {0} WHERE length(text) > 1500"
 
+_SHORT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '\([^)]*\)|,? *no\. *\d+( of \d{4})?', ' ', 'g'), '[’'']s\b', '', 'g'), '^ *the ', ''), '[^a-z0-9 ]+', ' ', 'g'), '( (act|law|ordinance|code))+ *$', ''), ' +', ' ', 'g'))"
+_PARTIES = r"'^(.*?) v\. (.*?), ([A-Z][A-Z-]*-\d+-\d{4})\.?$'"
+
 ORACLE: dict[str, str] = {
+    "commencements": r"""
+WITH d AS (SELECT doc_key, arg_max_null(text, doc_id) AS text FROM documents GROUP BY doc_key),
+m AS (SELECT lower(regexp_extract(text, '(?i)((?:deemed to have )?(?:come|came|operate|take effect|taken effect)\w* [^.]{0,60}?\bon (?:(?:the )?date (?:on which )?the certificate|such date|(?:the )?\d{1,2}(?:st|nd|rd|th)?(?: day of)? [A-Z][a-z]+,? \d{4}))', 1)) AS w FROM d WHERE text IS NOT NULL)
+SELECT CASE WHEN w = '' THEN 'unstated' WHEN contains(w, 'certificate') THEN 'certified' WHEN contains(w, 'such date') THEN 'appointed' WHEN starts_with(w, 'deemed') THEN 'deemed' ELSE 'date' END AS how, count(*) AS documents FROM m GROUP BY 1""",
+    "display_titles": rf"""
+WITH t AS (SELECT doc_key, title, trim(regexp_replace(title, ' *- *Gazette No\..*$', '')) AS s FROM docs)
+SELECT doc_key, CASE WHEN length(s) <= 30 THEN s ELSE regexp_replace(s[1:30], ' +[^ ]*$', '') || '…' END AS subject, {_SHORT} AS name, regexp_extract(title, {_PARTIES}, 1) AS first, regexp_extract(title, {_PARTIES}, 2) AS second, regexp_extract(title, {_PARTIES}, 3) AS case_no FROM t""",
+    "roman_numbers": r"""
+WITH n AS (SELECT DISTINCT regexp_extract(address, '/Part ([IVXLCDM]+)/', 1) AS numeral FROM chunks), v AS (SELECT numeral, list_transform(string_split(numeral, ''), lambda c: CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 ELSE 1000 END) AS d FROM n WHERE numeral <> '')
+SELECT numeral, CAST(list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN i < len(d) AND d[i] < d[i + 1] THEN -d[i] ELSE d[i] END)) AS INT) AS number FROM v""",
+    "chunk_ids": r"""
+WITH h AS (SELECT id, address, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(address)) AS s FROM chunks)
+SELECT id, CAST('0x' || left(replace(id, '-', ''), 12) AS BIGINT) + (1::BIGINT << 50) AS vector_id, sha1(address) AS address_hash, s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || ('89ab')[(CAST('0x' || s[17:17] AS INT) & 3) + 1] || s[18:20] || '-' || s[21:32] AS own_id FROM h""",
     "failure_budget": "SELECT source, count(*) AS documents, count(*) FILTER (WHERE text IS NULL) AS failed, count(*) FILTER (WHERE text IS NULL) <= greatest(3, count(*) * 0.01) AS passes FROM documents GROUP BY source",
     "clean_titles": r"SELECT id, trim(regexp_replace(regexp_replace(title, '\s+', ' ', 'g'), ' ([.,;:])', '\1', 'g')) AS title FROM listings WHERE title IS NOT NULL",
     "edit_operations": r"""
