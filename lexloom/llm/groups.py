@@ -14,9 +14,9 @@ from lexloom.operators.skew import HOT_ROWS, spread_join
 from lexloom.tables import cut, drop
 
 #: Rate of the exponential shifts: the smaller, the larger the clusters and the more steps they take to grow.
-RATE = 0.3
+RATE = 0.1
 #: Steps of growth a round. A cluster that would still grow is only smaller: every round is right whatever the steps.
-STEPS = 4
+STEPS = 5
 #: Copies of the label of a hot vertex, over which its edges are spread.
 SALTS = 64
 
