@@ -50,7 +50,7 @@ LETTER = "[A-Za-zÀ-῿‌‍]"
 WORD = re.compile(rf"{LETTER}+(?:-{LETTER}+)*")
 TOKEN = re.compile(rf"[A-Za-z0-9|!$@À-῿‌‍]+(?:-{LETTER}+)*")
 #: A word broken at a line's end, the break kept or lost.
-BROKEN = re.compile(rf"({LETTER}+)(?:([-‐])[ \t]*\n\s*|([-‐])[ \t]+|([¬­])\s*)({LETTER}+)")
+BROKEN = re.compile(rf"(?<!{LETTER})({LETTER}++)(?:([-‐])[ \t]*\n\s*|([-‐])[ \t]+|([¬­])\s*)({LETTER}+)")
 #: What every match of BROKEN holds; far quicker to look for.
 BREAK_SIGN = re.compile(r"[-‐][ \t\n]|[¬\u00ad]")
 #: Words that follow a hyphen left open, as in "in- and outgoing".
@@ -162,6 +162,9 @@ class Words:
         """What each of the tokens that are misread was in print."""
         return {t: p for t in tokens if (p := self.printed(t))}
 
+    def touches(self, body: str) -> bool:
+        return True
+
     def begins(self, token: str) -> bool:
         """Whether a longer word begins with a token."""
         word = token.lower()
@@ -180,6 +183,7 @@ class Verdicts:
         self.floor = floor
         self.words: dict[str, tuple[str, bool]] = {}
         self.sound: set[str] = set()  # tokens seen that aren't misread
+        self.finder = None  # of the misread words, made when the first text comes
         self.pairs: dict[tuple[str, str], tuple[int, int, int, int]] = {}
 
     def printed(self, token: str) -> str | None:
@@ -195,6 +199,21 @@ class Verdicts:
                 self.sound.add(t)
         return out
 
+    def touches(self, body: str) -> bool:
+        """Whether a misread word may stand in a body; what is quick to look for."""
+        if not self.words:
+            return False
+        if self.finder is None:
+            try:
+                import ahocorasick
+            except ImportError:
+                return True
+            self.finder = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for w in self.words:
+                self.finder.add_word(w)
+            self.finder.make_automaton()
+        return next(self.finder.iter(body.lower()), None) is not None
+
     def begins(self, token: str) -> bool:
         return self.words[token.lower()][1]
 
@@ -464,7 +483,7 @@ def mended(body: str, kinds: set[str], words: Words | Verdicts) -> tuple[str, li
     if BREAK_SIGN.search(body):
         body = BROKEN.sub(join, body)
 
-    fixes = words.fixes(set(TOKEN.findall(body)))
+    fixes = words.fixes(set(TOKEN.findall(body))) if words.touches(body) else {}
     if fixes:
         # The last word of a text without an end may be the beginning of a word cut off, which isn't misread.
         ends = re.search(r"[^\W_]+$", body)
