@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from lexloom.operators.best import best_per_key
 from lexloom.operators.skew import spread_join
 from lexloom.plans.shared import both, plain_sql
 from lexloom.sources.files import read_back, write_run
-from lexloom.tables import table
+from lexloom.tables import shared_folder, table
 
 
 def _listings(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,12 +94,42 @@ def run_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def landed_listings(spark: SparkSession, folder: str) -> DataFrame:
-    """Listings through the Python data source, with its filter by source pushed into the reader."""
+    """Listings through the Python data source, with the lines that couldn't be read."""
     from lexloom.sources.listing_source import ListingSource
 
     spark.dataSource.register(ListingSource)
     path = write_run(table(spark, folder, "listings").select("source", "source_url", "title", "date", "listing").repartition(3), "landed")
-    return spark.read.format("landed_listings").option("path", path).load().groupBy("source").agg(F.count("*").alias("rows"), F.count("title").alias("titles"))
+    return spark.read.format("landed_listings").option("path", path).load().groupBy("source").agg(F.count("*").alias("rows"), F.count("title").alias("titles"), F.count("unread").alias("unread"))
+
+
+def landed_of_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings of one source through the data source, whose reader leaves out the others."""
+    from lexloom.sources.listing_source import ListingSource
+
+    spark.dataSource.register(ListingSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    path = write_run(table(spark, folder, "listings").select("source", "source_url", "title", "date", "listing").repartition(3), "landed")
+    rows = spark.read.format("landed_listings").option("path", path).option("pushdown", "true").load().where("source = 'state-press'")
+    return rows.groupBy("date").agg(F.count("*").alias("rows"))
+
+
+def mirror_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of a mirror as tab-separated text: its rows whose address no listing of another source has, the last row of each."""
+    index = table(spark, folder, "listings").where("source = 'bundle-archive'").select("source_url", "listed_key", "id")
+    path = f"{shared_folder(spark)}/mirror-{uuid.uuid4().hex}"
+    as_is = {"sep": "\t", "header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    index.write.options(**as_is).csv(path)
+    mirror = spark.read.options(**as_is).schema(index.schema).csv(path)
+    others = table(spark, folder, "listings").where("source <> 'bundle-archive'").select("source_url")
+    return mirror.join(others, "source_url", "left_anti").groupBy("source_url").agg(F.max_by("listed_key", "id").alias("listed_key"), F.max("id").alias("id"))
+
+
+def json_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """What the JSON of listings holds, by path, key, type and merge with another."""
+    v = F.try_parse_json("listing")
+    laid = F.map_concat(F.map_filter(F.from_json("listing", "map<string,string>"), lambda k, x: k != "pages"), F.create_map(F.lit("pages"), F.lit("0")))
+    kind = F.schema_of_variant(F.try_variant_get(v, "$.pages", "variant"))
+    return table(spark, folder, "listings").select("id", F.try_variant_get(v, "$.record", "long").alias("record"), F.map_contains_key(F.from_json("listing", "map<string,string>"), "pages").alias("has_pages"), F.when(kind == "BIGINT", "number").when(kind == "STRING", "text").alias("kind"), laid["pages"].alias("pages"), F.size(laid).alias("keys"))
 
 
 _types, _types_sql = both(r"""
@@ -157,6 +188,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unshared_files": unshared_files,
     "run_snapshot": run_snapshot,
     "landed_listings": landed_listings,
+    "landed_of_source": landed_of_source,
+    "mirror_index": mirror_index,
+    "json_paths": json_paths,
     "listing_types": _types,
     "is_law": _is_law,
     "filter_all_words": _all_words,
@@ -184,7 +218,10 @@ SELECT CASE WHEN b.id IS NULL THEN 'only_held' WHEN held IS NULL THEN 'only_new'
     "file_manifest": "SELECT sha256, string_agg(CAST(listing_id AS VARCHAR), ',' ORDER BY listing_id) AS listings, count(*) AS n FROM (SELECT DISTINCT sha256, listing_id FROM documents WHERE sha256 IS NOT NULL AND listing_id IS NOT NULL) GROUP BY sha256",
     "unshared_files": "SELECT DISTINCT sha256 FROM docs WHERE removed_at IS NOT NULL AND sha256 IS NOT NULL AND sha256 NOT IN (SELECT sha256 FROM docs WHERE removed_at IS NULL AND sha256 IS NOT NULL)",
     "run_snapshot": "SELECT source, count(*) AS rows, count(title) AS titles, max(id) AS last_id FROM listings GROUP BY source",
-    "landed_listings": "SELECT source, count(*) AS rows, count(title) AS titles FROM listings GROUP BY source",
+    "landed_listings": "SELECT source, count(*) AS rows, count(title) AS titles, 0 AS unread FROM listings GROUP BY source",
+    "landed_of_source": "SELECT date, count(*) AS rows FROM listings WHERE source = 'state-press' GROUP BY date",
+    "mirror_index": "SELECT source_url, arg_max(listed_key, id) AS listed_key, max(id) AS id FROM listings WHERE source = 'bundle-archive' AND source_url NOT IN (SELECT source_url FROM listings WHERE source <> 'bundle-archive' AND source_url IS NOT NULL) GROUP BY source_url",
+    "json_paths": "SELECT id, CAST(listing->>'$.record' AS BIGINT) AS record, json_exists(listing, '$.pages') AS has_pages, CASE json_type(listing, '$.pages') WHEN 'UBIGINT' THEN 'number' WHEN 'VARCHAR' THEN 'text' END AS kind, '0' AS pages, len(list_filter(json_keys(listing), lambda k: k <> 'pages')) + 1 AS keys FROM listings",
     "listing_types": _types_sql.replace("regexp_like", "regexp_matches"),
     "is_law": _is_law_sql,
     "filter_all_words": _all_words_sql,

@@ -13,7 +13,7 @@ from lexloom.functions.ids import uuid5, vector_id
 from lexloom.functions.keys import plain_key
 from lexloom.operators import cdc, office, quality
 from lexloom.operators.citations import equal_titles as titles_shared
-from lexloom.operators.citations import majority_target, mentions, name_index, named_targets
+from lexloom.operators.citations import majority_target, mentions, name_index, named_targets, newest_not_after
 from lexloom.operators.structure import build_chunks, commencement_of, paragraph_kind, paragraphs_of
 from lexloom.plans.shared import LINKS, both, plain_links, plain_sql
 from lexloom.sources.files import text_parts as parts_of
@@ -228,6 +228,15 @@ def text_parts(spark: SparkSession, folder: str) -> DataFrame:
     return parts_of(table(spark, folder, "chunks"), 20_000)
 
 
+def names_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """Laws named in the texts of dated laws, each the newest of that name that isn't younger than the law that names it."""
+    chunks, docs = table(spark, folder, "chunks"), table(spark, folder, "docs")
+    named = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"of the ([A-Z][a-z]+ [A-Z][a-z]+ (?:Act|Ordinance))"), F.lit(1)), lambda x: F.lower(x))))
+    cited = chunks.where("text is not null").select("doc_key", named.alias("name")).distinct().join(docs.where("doc_year is not null").select("doc_key", F.col("doc_year").alias("citing_year")), "doc_key")
+    known = docs.select(F.lower(F.regexp_extract("title", r"^([A-Z][a-z]+ [A-Z][a-z]+ (?:Act|Ordinance))", 1)).alias("name"), F.col("doc_key").alias("law"), F.coalesce("doc_year", F.lit(0)).alias("year")).where("name <> ''")
+    return newest_not_after(cited, known, ["name"], "citing_year").select("doc_key", "name", "law")
+
+
 def office_diff(spark: SparkSession, folder: str) -> DataFrame:
     """Changes between the records of a document's first and last listing, item by item."""
     items = F.from_json("listing", "map<string,string>")
@@ -291,7 +300,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_long_pieces": split_long_pieces, "pages_chunks": pages_chunks, "tree_units": build_units, "paragraph_kinds": paragraph_kinds, "failure_budget": failure_budget, "clean_titles": clean_titles, "embedding_batches": embedding_batches, "edit_operations": edit_operations, "mention_rows": mention_rows, "amended_sections": amended_sections, "citing_majority": citing_majority,
     "unique_names": unique_names, "equal_titles": equal_titles, "commencements": commencements, "html_to_text": html_text, "script_share": script_shares, "display_titles": titles, "natural_labels": natural_labels, "roman_numbers": roman_numbers, "chunk_ids": chunk_ids,
     "text_hash_check": text_hashes, "doc_fingerprint": doc_fingerprint, "bag_diff": bag_diff, "lost_gained_labels": lost_gained_labels, "label_gaps": label_gaps, "run_diff": run_diff, "gate_summary": gate_summary,
-    "review_list": review_list, "gold_precision_recall": gold_scores, "release_plan": release_plan, "embedding_changes": embedding_changes, "work_plan": work_plan, "text_parts": text_parts, "office_diff": office_diff,
+    "review_list": review_list, "gold_precision_recall": gold_scores, "release_plan": release_plan, "embedding_changes": embedding_changes, "work_plan": work_plan, "text_parts": text_parts, "names_as_of": names_as_of, "office_diff": office_diff,
     "case_replay": case_replay, "file_states": file_states, "file_windows": file_windows, "handle_map": handle_map, "stream_daily_counts": stream_daily_counts, "stream_once": stream_once, "stream_states": stream_states,
     "embedding_texts": _embed, "same_text_elsewhere": _same_text, "set_operations": _sets,
 }
@@ -304,6 +313,10 @@ _SHORT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(rege
 _PARTIES = r"'^(.*?) v\. (.*?), ([A-Z][A-Z-]*-\d+-\d{4})\.?$'"
 
 ORACLE: dict[str, str] = {
+    "names_as_of": r"""
+WITH c AS (SELECT DISTINCT c.doc_key, lower(n) AS name, d.doc_year AS y FROM (SELECT doc_key, unnest(regexp_extract_all(text, 'of the ([A-Z][a-z]+ [A-Z][a-z]+ (?:Act|Ordinance))', 1)) AS n FROM chunks WHERE text IS NOT NULL) c JOIN docs d ON d.doc_key = c.doc_key AND d.doc_year IS NOT NULL),
+k AS (SELECT lower(regexp_extract(title, '^([A-Z][a-z]+ [A-Z][a-z]+ (?:Act|Ordinance))', 1)) AS name, doc_key AS law, coalesce(doc_year, 0) AS year FROM docs)
+SELECT doc_key, name, law FROM (SELECT c.doc_key, c.name, k.law, row_number() OVER (PARTITION BY c.doc_key, c.name ORDER BY k.year DESC, k.law DESC) AS p FROM c JOIN k ON k.name = c.name AND k.year <= c.y AND k.name <> '') WHERE p = 1""",
     "commencements": r"""
 WITH d AS (SELECT doc_key, arg_max_null(text, doc_id) AS text FROM documents GROUP BY doc_key),
 m AS (SELECT lower(regexp_extract(text, '(?i)((?:deemed to have )?(?:come|came|operate|take effect|taken effect)\w* [^.]{0,60}?\bon (?:(?:the )?date (?:on which )?the certificate|such date|(?:the )?\d{1,2}(?:st|nd|rd|th)?(?: day of)? [A-Z][a-z]+,? \d{4}))', 1)) AS w FROM d WHERE text IS NOT NULL)
@@ -347,7 +360,11 @@ SELECT i."check", i.severity, count(*) AS issues, count(DISTINCT doc_key) AS doc
 SELECT coalesce(a.doc_key, b.doc_key) AS doc_key, CASE WHEN y IS NULL THEN 'remove' WHEN x = y THEN 'keep' WHEN b.doc_key NOT LIKE 'gazette:%' THEN 'replace' ELSE 'hold' END AS action FROM a FULL OUTER JOIN b ON a.doc_key = b.doc_key""",
     "embedding_changes": f"WITH {BUILDS}, h AS (SELECT id, CASE WHEN seq % 5 = 0 THEN 'old' ELSE text_hash END AS was FROM o), d AS (SELECT id, text_hash AS due FROM n WHERE length(text) >= 40) SELECT * FROM (SELECT coalesce(h.id, d.id) AS id, CASE WHEN due IS NULL THEN 'delete' WHEN due IS DISTINCT FROM was THEN 'upsert' END AS action FROM h FULL OUTER JOIN d ON h.id = d.id) WHERE action IS NOT NULL",
     "work_plan": "WITH a AS (SELECT doc_key, CASE WHEN doc_year % 7 = 0 THEN 'old' ELSE fingerprint END AS done FROM docs WHERE built_at < TIMESTAMP '2023-08-01'), b AS (SELECT doc_key, fingerprint AS due FROM docs WHERE removed_at IS NULL) SELECT coalesce(a.doc_key, b.doc_key) AS doc_key, CASE WHEN b.doc_key IS NULL THEN 'retire' WHEN a.doc_key IS NULL THEN 'new' WHEN done IS NOT DISTINCT FROM due THEN 'done' ELSE 'redo' END AS plan FROM a FULL OUTER JOIN b ON a.doc_key = b.doc_key",
-    "text_parts": "WITH s AS (SELECT doc_key, seq, strlen(text) AS size, CAST(floor(coalesce(sum(strlen(text)) OVER (PARTITION BY doc_key ORDER BY seq, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 20000) AS BIGINT) AS part FROM chunks WHERE text IS NOT NULL) SELECT doc_key, part, min(seq) AS first_seq, count(*) AS chunks, sum(size) AS bytes FROM s GROUP BY doc_key, part",
+    "text_parts": """
+WITH RECURSIVE s AS (SELECT doc_key, seq, id, strlen(text) AS size, sha256(text) AS hash, row_number() OVER (PARTITION BY doc_key ORDER BY seq, id) AS n FROM chunks WHERE text IS NOT NULL AND doc_key IS NOT NULL),
+w AS (SELECT doc_key, n, seq, id, size, hash, 0 AS part, CAST(size AS BIGINT) AS held FROM s WHERE n = 1
+  UNION ALL SELECT s.doc_key, s.n, s.seq, s.id, s.size, s.hash, CASE WHEN w.held > 0 AND w.held + s.size > 20000 THEN w.part + 1 ELSE w.part END, CASE WHEN w.held > 0 AND w.held + s.size > 20000 THEN s.size ELSE w.held + s.size END FROM w JOIN s ON s.doc_key = w.doc_key AND s.n = w.n + 1)
+SELECT doc_key, part, min(seq) AS first_seq, count(*) AS chunks, sum(size) AS bytes, sha256(string_agg(hash, '' ORDER BY seq, id)) AS name FROM w GROUP BY doc_key, part""",
     "file_states": "SELECT user_id % 50 AS file, CASE WHEN event_type IN ('view', 'click') THEN 'read' ELSE 'index' END AS step, arg_max(event_type, (ts, event_type)) AS state, max(ts) AS ts FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
     "office_diff": f"""WITH k AS (SELECT *, {plain_sql('listed_key')} AS doc_key FROM listings WHERE listed_key IS NOT NULL AND listing IS NOT NULL),
 f AS (SELECT doc_key, arg_min(listing, (first_seen, id)) AS a, arg_max(listing, (first_seen, id)) AS b FROM k GROUP BY doc_key), i AS (SELECT unnest(['record', 'description', 'pages']) AS item)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -34,11 +36,27 @@ def backup(rows: DataFrame, name: str) -> tuple[str, int, int]:
 
 
 def text_parts(chunks: DataFrame, most: int = PART_BYTES) -> DataFrame:
-    """(doc_key, part, first_seq, chunks, bytes): texts in their order cut into parts; a part is full when its share of `most` is passed.
+    """(doc_key, part, first_seq, chunks, bytes, name): texts in their order put into parts of at most so many bytes; a larger text is a part of its own.
 
-    A running sum over each document decides the part, so a part may pass `most` by less than one text.
+    A part is named by its content, so that one that is stored already needn't be written again. Documents pass through their
+    task in order, and only the size of the part that is filled is held. Null texts are in no part.
     """
-    order = Window.partitionBy("doc_key").orderBy("seq", "id").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length("text")
-    placed = chunks.where("text is not null").select("doc_key", "seq", size.alias("size"), F.floor(F.coalesce(F.sum(size).over(order), F.lit(0)) / most).alias("part"))
-    return placed.groupBy("doc_key", "part").agg(F.min("seq").alias("first_seq"), F.count("*").alias("chunks"), F.sum("size").alias("bytes"))
+    rows = chunks.where("text is not null and doc_key is not null").select("doc_key", "seq", "id", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("hash"))
+    placed = rows.repartition("doc_key").sortWithinPartitions("doc_key", "seq", "id")
+
+    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, part, held = None, 0, 0
+        for frame in frames:
+            parts = []
+            for own, size in zip(frame["doc_key"], frame["size"], strict=True):
+                if own != key:
+                    key, part, held = own, 0, 0
+                elif held and held + size > most:
+                    part, held = part + 1, 0
+                held += size
+                parts.append(part)
+            yield frame.assign(part=parts)
+
+    filled = placed.mapInPandas(fill, "doc_key string, seq int, id string, size int, hash string, part int")
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id", "hash"))), lambda r: r["hash"]), "")
+    return filled.groupBy("doc_key", "part").agg(F.min("seq").alias("first_seq"), F.count("*").alias("chunks"), F.sum("size").alias("bytes"), F.sha2(ordered, 256).alias("name"))
