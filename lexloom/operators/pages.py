@@ -36,16 +36,16 @@ def words_of(blocks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def gutters(words: DataFrame, by: list[str], step: int = 4) -> DataFrame:
-    """(by, gutter, crossed): of each page the place in its middle half that the fewest words cross, the leftmost of equals.
+    """(by, gutter, crossed): of each page the place in its middle half that the fewest words cross, of equals the one nearest to the middle.
 
     Places are tried every `step` columns; a word meets only those within it, so that what is counted is words and not words by places.
     """
     size = words.groupBy(*by).agg(F.max("right").alias("width")).where(F.col("width") >= 2 * step)
     first, last = F.ceil(F.col("width") / 4 / step), F.floor(F.col("width") * 3 / 4 / step)
-    tried = size.where(first <= last).select(*by, F.explode(F.sequence(first, last)).alias("_p"))
+    tried = size.where(first <= last).select(*by, "width", F.explode(F.sequence(first, last)).alias("_p"))
     inside = F.sequence(F.floor(F.col("left") / step) + 1, F.ceil(F.col("right") / step) - 1)
     met = words.where(F.floor(F.col("left") / step) + 1 <= F.ceil(F.col("right") / step) - 1).select(*by, F.explode(inside).alias("_p")).groupBy(*by, "_p").agg(F.count("*").alias("crossed"))
-    best = tried.join(met, [*by, "_p"], "left").groupBy(*by).agg(F.min(F.struct(F.coalesce("crossed", F.lit(0)).alias("c"), F.col("_p"))).alias("b"))
+    best = tried.join(met, [*by, "_p"], "left").groupBy(*by).agg(F.min(F.struct(F.coalesce("crossed", F.lit(0)).alias("c"), F.abs(2 * step * F.col("_p") - F.col("width")).alias("off"), F.col("_p"))).alias("b"))
     return best.select(*by, (F.col("b._p") * step).cast("int").alias("gutter"), F.col("b.c").alias("crossed"))
 
 
@@ -104,3 +104,9 @@ def data_rows(html: Column, names: list[str]) -> Column:
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<tr\s+(data-[^>]*)>"), F.lit(1))
     value = lambda t, n: F.nullif(F.replace(F.replace(F.regexp_extract(t, rf'data-{n}="([^"]*)"', 1), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&")), F.lit(""))
     return F.transform(tags, lambda t: F.struct(*[value(t, n).alias(n) for n in names]))
+
+
+def paged(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
+    """rows with `page` and `place`: the rows of a text without pages, set on pages of so many rows each."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    return rows.withColumn("_n", n).withColumn("page", F.floor(F.col("_n") / most).cast("int") + 1).withColumn("place", (F.col("_n") % most).cast("int")).drop("_n")

@@ -152,22 +152,25 @@ def _scored(texts: DataFrame, block: list[tuple[object, list[str]]], k: int, kin
     names = [q for q, _ in block]
 
     def score(batches):
-        read, asked, weight = Tokenizer(), sent.value, idf.value
+        read, weight = Tokenizer(), idf.value
+        asked = {w: np.array(qs) for w, qs in sent.value.items() if w in weight}
         best: list[list] = [[] for _ in names]
+        least = np.full(len(names), 1e-9)  # what a text must reach to be among the best of a query so far
         for batch in batches:
             for id_, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = read(t)
                 flat = K1 * (1 - B + B * len(words) / mean)
-                points: dict[int, float] = {}
+                points = np.zeros(len(names))
                 for w, tf in Counter(words).items():
-                    if w in weight:
-                        p = weight[w] * tf * (K1 + 1) / (tf + flat)
-                        for q in asked[w]:
-                            points[q] = points.get(q, 0.0) + p
-                for q, p in points.items():
-                    best[q].append((-round(p, 6), id_))
-                    if len(best[q]) >= 50 * k:
-                        best[q] = heapq.nsmallest(k, best[q])
+                    if w in asked:
+                        points[asked[w]] += weight[w] * tf * (K1 + 1) / (tf + flat)
+                points = np.round(points, 6)
+                for q in np.flatnonzero(points >= least).tolist():
+                    own = best[q]
+                    own.append((-float(points[q]), id_))
+                    if len(own) >= 4 * k:
+                        best[q] = own = heapq.nsmallest(k, own)
+                        least[q] = -own[-1][0]
         rows = [(names[q], i, -p) for q, own in enumerate(best) for p, i in heapq.nsmallest(k, own)]
         columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], names=["query", "hit", "score"])

@@ -65,6 +65,13 @@ def law_rows_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.select("doc_key", F.explode(pages.html_rows(F.col("html"))).alias("r")).select("doc_key", "r.note", F.trim("r.text").alias("text"))
 
 
+def bundle_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of a bundle that come without pages, their lines set on pages of twenty."""
+    rows = table(spark, folder, "documents").where("source = 'bundle-archive'").select("doc_id", F.lit(0).alias("p"), "text")
+    set_ = pages.paged(pages.blocks_of(rows, "doc_id", "p", "text"), "doc_id", ["n"], 20)
+    return set_.groupBy("doc_id", "page").agg(F.count("*").alias("lines"), F.max_by("text", "place").alias("last"))
+
+
 def crawled_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Listings landed as pages of HTML with data attributes, and read back as rows: titles and dates as they were."""
     value = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
@@ -200,7 +207,7 @@ def gold_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    running_titles, page_gutters, spread_halves, lines_from_cells, margin_notes, table_cells, tables_as_text, law_rows_html, crawled_rows, extracted_files, without_masthead, long_titles, document_years, label_kinds, shown_titles, page_ranges,
+    running_titles, page_gutters, spread_halves, lines_from_cells, margin_notes, table_cells, tables_as_text, law_rows_html, bundle_pages, crawled_rows, extracted_files, without_masthead, long_titles, document_years, label_kinds, shown_titles, page_ranges,
     text_signs, near_citations, median_lines, chunks_by_id, links_of, history, status_sentences, whole_sections, embedding_rows, builder_checks, gate_with_overrides, gold_bars)}
 
 _LINES = r"bl AS (SELECT id, doc_key, kind, n - 1 AS n, line AS text FROM (SELECT id, doc_key, kind, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM chunks) WHERE trim(line) <> '')"
@@ -219,9 +226,9 @@ n AS (SELECT * FROM chunks WHERE built_at <= TIMESTAMP '2025-06-01' AND (removed
 ORACLE: dict[str, str] = {
     "running_titles": f"WITH {_LINES}, b AS (SELECT DISTINCT doc_key, id, {_BARE('text')} AS title FROM bl WHERE length({_BARE('text')}) > 3), a AS (SELECT doc_key, count(DISTINCT id) AS n FROM bl GROUP BY doc_key) SELECT b.doc_key, title, count(*) AS pages FROM b JOIN a USING (doc_key) GROUP BY b.doc_key, title, a.n HAVING count(*) >= 2 AND count(*) >= 0.25 * a.n",
     "page_gutters": f"""WITH {_WORDS}, s AS (SELECT id, max(r) AS width FROM wd GROUP BY id HAVING max(r) >= 8),
-p AS (SELECT id, unnest(range(CAST(ceil(width / 16.0) AS BIGINT), CAST(floor(width * 3 / 16.0) AS BIGINT) + 1)) * 4 AS g FROM s),
-x AS (SELECT p.id, p.g, count(wd.id) AS c FROM p LEFT JOIN wd ON wd.id = p.id AND wd.l < p.g AND wd.r > p.g GROUP BY p.id, p.g)
-SELECT id, CAST(arg_min(g, c * 100000 + g) AS INT) AS gutter, min(c) AS crossed FROM x GROUP BY id""",
+p AS (SELECT id, width, unnest(range(CAST(ceil(width / 16.0) AS BIGINT), CAST(floor(width * 3 / 16.0) AS BIGINT) + 1)) * 4 AS g FROM s),
+x AS (SELECT p.id, p.g, any_value(p.width) AS width, count(wd.id) AS c FROM p LEFT JOIN wd ON wd.id = p.id AND wd.l < p.g AND wd.r > p.g GROUP BY p.id, p.g)
+SELECT id, CAST(arg_min(g, c * 10000000000 + abs(2 * g - width) * 100000 + g) AS INT) AS gutter, min(c) AS crossed FROM x GROUP BY id""",
     "spread_halves": f"WITH {_WORDS}, m AS (SELECT *, max(r) OVER (PARTITION BY id) AS width FROM wd) SELECT id, CASE WHEN (l + r) / 2.0 < width / 2.0 THEN 'left' ELSE 'right' END AS half, count(*) AS words FROM m GROUP BY 1, 2",
     "lines_from_cells": """
 WITH f AS (SELECT l_orderkey, l_quantity, l_linenumber, CASE WHEN l_quantity - lag(l_quantity) OVER w > 3 OR lag(l_quantity) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber)),
@@ -231,6 +238,7 @@ SELECT l_orderkey, line, min(l_quantity) AS top, string_agg(CAST(l_linenumber AS
     "table_cells": f'WITH {_CELLS} SELECT doc_id, n, "column", cell FROM tc',
     "tables_as_text": f"""WITH {_CELLS}, r AS (SELECT doc_id, n, string_agg(cell, ' | ' ORDER BY "column") AS row FROM tc WHERE cell <> '' GROUP BY doc_id, n) SELECT doc_id, string_agg(row, chr(10) ORDER BY n) AS text FROM r GROUP BY doc_id""",
     "law_rows_html": "SELECT doc_key, label AS note, trim(replace(crumb, chr(10), ' ')) AS text FROM chunks WHERE crumb IS NOT NULL",
+    "bundle_pages": f"WITH {_DLINES}, p AS (SELECT dl.doc_id, dl.text, row_number() OVER (PARTITION BY dl.doc_id ORDER BY n) - 1 AS k FROM dl JOIN documents d ON d.doc_id = dl.doc_id AND d.source = 'bundle-archive') SELECT doc_id, CAST(k // 20 + 1 AS INT) AS page, count(*) AS lines, arg_max(text, k) AS last FROM p GROUP BY 1, 2",
     "crawled_rows": "SELECT source, id, nullif(title, '') AS title, nullif(date, '') AS date FROM listings",
     "extracted_files": r"SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'none' WHEN starts_with(ltrim(text[1:64]), '%PDF') THEN 'pdf' WHEN starts_with(ltrim(text[1:64]), '<') THEN 'html' ELSE 'other' END AS by, coalesce(len(regexp_extract_all(text, '\p{L}')), 0) < 40 AS needs_ocr FROM documents",
     "without_masthead": rf"WITH {_DLINES} SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE NOT coalesce({_BARE('text')} = {_BARE('title')} OR regexp_matches(text, '^\s*[0-9]{{1,4}}\s*$'), false)) AS kept FROM dl WHERE doc_key LIKE 'gazette:%' GROUP BY doc_id",
