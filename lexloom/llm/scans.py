@@ -351,9 +351,9 @@ def printed_page(text: str, title: str, rng: random.Random) -> tuple[list[str],
             labels.append(BREAK)
         if (kind := rng.random()) < 0.08:
             start = rng.randrange(1, 90)
-            own = ["Lots:", *[str(start + 2 * i) for i in range(rng.randrange(3, 8))]]
+            own = [f"{rng.choice(part.split() or ['Items']).strip('.,;:”“').capitalize()}:", *[str(start + rng.randrange(1, 4) * i) for i in range(rng.randrange(3, 8))]]
         elif kind < 0.16:
-            own = ["This may be cited as the", *textwrap.wrap(f"{title}.", width)]
+            own = [f"{rng.choice(['This', 'These', 'It', 'The same'])} {rng.choice(['may be', 'shall be', 'is'])} {rng.choice(['cited', 'known', 'referred to', 'called'])} as the", *textwrap.wrap(f"{title}.", width)]
         elif kind < 0.2:
             own = [f"({rng.randrange(2, 9)})", *textwrap.wrap(part, width)]
         else:
