@@ -56,11 +56,17 @@ def bag_difference(old: DataFrame, new: DataFrame) -> DataFrame:
     return counted.where("_o <> _n").select(*columns, F.greatest(F.col("_o") - F.col("_n"), F.lit(0)).alias("lost"), F.greatest(F.col("_n") - F.col("_o"), F.lit(0)).alias("gained"))
 
 
-def fingerprint(df: DataFrame, key: list[str], lines, order: list[str], to: str = "fingerprint") -> DataFrame:
-    """(key, to): the MD5 of the rows' lines in order, joined by line breaks; a row's place is its order, never its arrival."""
-    rows = df.select(*key, F.struct(*[F.col(o) for o in order], lines.alias("_line")).alias("_row"))
-    grouped = rows.groupBy(*key).agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
-    return grouped.select(*key, F.md5(F.array_join(F.transform("_rows", lambda r: r["_line"]), "\n")).alias(to))
+def fingerprint(df: DataFrame, key: list[str], lines, order: list[str], to: str = "fingerprint", block: int = 1000) -> DataFrame:
+    """(key, to): the MD5 of the rows' lines in order, block by block: a row's place is its order, never its arrival.
+
+    The rows fall into blocks by the first of their order columns, a number; a block's hash is that of its lines, and the whole's
+    that of the blocks' in order, so that no row holds all lines of a key.
+    """
+    place = F.coalesce(F.floor(F.col(order[0]) / block), F.lit(-1)).alias("_block")
+    rows = df.select(*key, place, F.struct(*[F.col(o) for o in order], lines.alias("_line")).alias("_row"))
+    joined = lambda rows, part: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda r: r[part]), "\n"))
+    blocks = rows.groupBy(*key, "_block").agg(joined("_row", "_line").alias("_hash"))
+    return blocks.groupBy(*key).agg(joined(F.struct("_block", "_hash"), "_hash").alias(to))
 
 
 def planned(ledger: DataFrame, wanted: DataFrame, item: str, print_: str) -> DataFrame:

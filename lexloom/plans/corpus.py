@@ -345,7 +345,7 @@ SELECT id AS chunk, regexp_extract(t, '(\d{1,4}[A-Z]{0,2})', 1) AS label, 'subst
   len(list_filter(regexp_extract_all(text, '\p{L}'), lambda x: regexp_matches(x, '[\x{0D80}-\x{0DFF}]'))) AS s, len(list_filter(regexp_extract_all(text, '\p{L}'), lambda x: regexp_matches(x, '[\x{0B80}-\x{0BFF}]'))) AS t FROM documents WHERE text IS NOT NULL)""",
     "natural_labels": r"SELECT doc_key, arg_min(label, (CAST(regexp_extract(label, '^(\d+)', 1) AS INT), regexp_extract(label, '^\d*(.*)$', 1))) AS first, arg_max(label, (CAST(regexp_extract(label, '^(\d+)', 1) AS INT), regexp_extract(label, '^\d*(.*)$', 1))) AS last FROM chunks WHERE regexp_matches(label, '^\d+[A-Z]*$') GROUP BY doc_key",
     "text_hash_check": "SELECT kind, sha1(text) = text_hash AS right, count(*) AS chunks FROM chunks GROUP BY ALL",
-    "doc_fingerprint": "SELECT doc_key, md5(string_agg(concat_ws('|', id, coalesce(label, ''), coalesce(text_hash, '')), chr(10) ORDER BY seq, id)) AS fingerprint FROM chunks GROUP BY doc_key",
+    "doc_fingerprint": "SELECT doc_key, md5(string_agg(h, chr(10) ORDER BY b)) AS fingerprint FROM (SELECT doc_key, seq // 1000 AS b, md5(string_agg(concat_ws('|', id, coalesce(label, ''), coalesce(text_hash, '')), chr(10) ORDER BY seq, id)) AS h FROM chunks GROUP BY 1, 2) GROUP BY doc_key",
     "bag_diff": f"WITH {BUILDS}, a AS (SELECT doc_key, kind, part_no, count(*) AS c FROM o GROUP BY ALL), b AS (SELECT doc_key, kind, part_no, count(*) AS c FROM n GROUP BY ALL) SELECT coalesce(a.doc_key, b.doc_key) AS doc_key, coalesce(a.kind, b.kind) AS kind, coalesce(a.part_no, b.part_no) AS part_no, greatest(coalesce(a.c, 0) - coalesce(b.c, 0), 0) AS lost, greatest(coalesce(b.c, 0) - coalesce(a.c, 0), 0) AS gained FROM a FULL OUTER JOIN b ON a.doc_key = b.doc_key AND a.kind IS NOT DISTINCT FROM b.kind AND a.part_no IS NOT DISTINCT FROM b.part_no WHERE coalesce(a.c, 0) <> coalesce(b.c, 0)",
     "lost_gained_labels": f"WITH {BUILDS}, s AS (SELECT doc_key FROM o INTERSECT SELECT doc_key FROM n), u AS (SELECT doc_key, label, 1 AS x, 0 AS y FROM o WHERE label IS NOT NULL UNION ALL SELECT doc_key, label, 0, 1 FROM n WHERE label IS NOT NULL) SELECT doc_key, label, greatest(sum(x) - sum(y), 0) AS lost, greatest(sum(y) - sum(x), 0) AS gained FROM u WHERE doc_key IN (SELECT doc_key FROM s) GROUP BY doc_key, label HAVING sum(x) <> sum(y)",
     "label_gaps": r"WITH u AS (SELECT doc_key, list(DISTINCT CAST(regexp_extract(label, '^(\d{1,4})', 1) AS INT)) AS l FROM chunks WHERE kind = 'unit' AND regexp_matches(label, '^\d{1,4}') GROUP BY doc_key), g AS (SELECT doc_key, list_filter(range(1, list_max(l) + 1), lambda i: NOT list_contains(l, i)) AS g FROM u) SELECT doc_key, array_to_string(g, ',') AS gaps FROM g WHERE len(g) > 0",
