@@ -148,11 +148,11 @@ def trimmed(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("text").rlike(r"[^\s\x{a0}]")).withColumn("whole", whole).withColumn("core", F.substring(whole, F.lit(1), F.length(whole) - sign))
 
 
-def prefixes(texts: DataFrame, cores: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def prefixes(documents: DataFrame, cores: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """core_id of each core that is a strict prefix of another which goes on inside a sentence or word.
 
-    texts has (core_id, core), repeated or not; cores has of each of their ids, repeated or not, size (its characters), head (its
-    first characters, one more than the least length of the ladder) and rungs (the hashes of its beginnings along the ladder).
+    documents has (doc_id, text), repeated or not; cores has of each, by doc_id and core_id (the hash of core), size (its characters), head
+    (its first characters, as many as the least length of the ladder) and rungs (the hashes of its beginnings along the ladder).
     """
     spark = cores.sparkSession
     known = cores.select("core_id", "size", "head", "rungs").distinct()
@@ -163,15 +163,18 @@ def prefixes(texts: DataFrame, cores: DataFrame, hot_rows: int = HOT_ROWS) -> Da
     begun = known.select(F.explode(F.array(*starts)).alias("s")).where("s is not null").select("s.*").distinct() if starts else None
     found = begun.join(short.select(F.col("head").alias("core"), "core_id"), "core").mapInArrow(followed, "core_id string") if starts else short.select("core_id").limit(0)
     # Others: only where a beginning at the last rung below a core's own length is shared by another that differs.
-    rungs = known.where(F.col("size") >= LADDER[0]).select("core_id", "size", F.posexplode("rungs").alias("rung", "hash")).where("hash is not null")
+    rungs = cores.where(F.col("size") >= LADDER[0]).select("doc_id", "core_id", "size", F.posexplode("rungs").alias("rung", "hash")).where("hash is not null")
     last = F.col("rung") == len(LADDER) - 1
     shared = rungs.groupBy("rung", "hash").agg(F.min("core_id").alias("a"), F.max("core_id").alias("b"), F.min("size").alias("least")).where("a <> b").where(last | (F.col("least") < F.element_at(F.array(*[F.lit(2 * n) for n in LADDER]), F.col("rung") + 1)))
     shared = cut(shared.select("rung", "hash"))
-    wanted = cut(rungs.join(shared, ["rung", "hash"], "left_semi").select("core_id").distinct())
+    wanted = cut(rungs.join(shared, ["rung", "hash"], "left_semi").groupBy("core_id").agg(F.min("doc_id").alias("wanted_id")))
     drop(spark, shared)
     if wanted.isEmpty():
         return found.distinct()
-    own = cut(texts.join(wanted, "core_id", "left_semi").groupBy("core_id").agg(F.first("core").alias("core")))
+    # One document of each is read again; ids that repeat bring other texts too, which the hash tells apart.
+    again = documents.join(wanted.select("wanted_id").distinct(), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    again = trimmed(again).select(F.md5("core").alias("core_id"), "core").join(wanted, "core_id", "left_semi")
+    own = cut(again.groupBy("core_id").agg(F.first("core").alias("core")))
     drop(spark, wanted)
     start = F.xxhash64(F.left("core", F.lit(ORDERED)))
     hot = own.groupBy(start.alias("start")).agg(F.count("*").alias("rows")).where(F.col("rows") >= hot_rows).select("start", F.lit(True).alias("hot"))
@@ -195,7 +198,7 @@ def endings(documents: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     columns = "doc_id long, doc_key string, source string, core_id string, size int, head string, rungs array<long>"
     looked = rows.select("doc_id", "doc_key", "source", F.md5("core").alias("core_id"), size.alias("size"), F.left("core", F.lit(LADDER[0])).alias("head"), rungs.alias("rungs"), F.substring("whole", -2000, 2000).alias("text"), "title")
     told = cut(looked.mapInArrow(look_at_ends, f"{columns}, how string, last_line string"))
-    inside = cut(prefixes(rows.select(F.md5("core").alias("core_id"), "core"), told, hot_rows))
+    inside = cut(prefixes(documents.select("doc_id", "text"), told, hot_rows))
     copies = told.join(inside, "core_id", "left_semi").groupBy("core_id").agg(F.count("*").alias("copies")).select("core_id", "copies", F.lit(True).alias("inside"))
     met = spread_join(told.select("doc_id", "doc_key", "source", "how", "last_line", "core_id"), copies, "core_id", "copies", ["inside"], hot_rows)
     how = F.when(F.col("inside") & ~F.col("how").isin("sign", "word", "title"), "prefix").otherwise(F.col("how"))

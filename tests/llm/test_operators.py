@@ -466,6 +466,7 @@ def test_reparameterised(spark):
         ("The Council shall hear the appeal.", False), ("The Council shall hear the app", True), ("The Council shall hear the app-", True), ("The Council shall…", True), ("The Council shall [...]", True),
         ("The Council shall &am", True), ("The Council sha�", True), ("The fee is Rs.", True), ("One.\n2.", True), ("One.\nNorvale, 1 July 1991", False), ("One.\nMinister of Canal Lands", False),
         ("One.\nL.D.-B. 61/92", False), ("One.\nPrice: Rs. 7,500", False), ("One.\nLot 1 | A | 0.2 ha\nLot 2 | B | 0.3 ha", False), ("One.\nLot 1 | A | 0.2 ha\nLot 2 | B", True), ("for “a”, of the words “b”.", False), ("for “a”, of the words “b”", True),
+        ("නියෝග විසින් කරනු ලැබේ.", False), ("නියෝග විසින් කරනු ලැබ", True), ("1. එක.\n2. දෙක නියෝ", True), ("சட்டம் வரி காணி ஆகும்.", False), ("சட்டம் வரி காணி ஆகு", True), ("சட்டம் வரி காணி…", True),
     ],
 )
 def test_endings(spark, text, cut):
@@ -519,11 +520,15 @@ def test_prefixes_against_brute_force(spark, partitions):
     # A copy that goes on in a new line comes before the one that goes on inside the sentence.
     hidden = "Whoever keeps a lighthouse in repair shall be heard by the Council"
     texts |= {hidden, f"{hidden}\nAnother line.", f"{hidden} before the year ends."}
-    df = spark.createDataFrame([(i, None, "s", None, t) for i, t in enumerate(sorted(texts) * 2)], "doc_id long, doc_key string, source string, title string, text string")
+    # Ids repeat with another text, and some are null.
+    ids = [i if i % 11 else None for i in range(2 * len(texts))]
+    odd = [(1, None, "s", None, "Another text of the same id."), (None, None, "s", None, "Another of none.")]
+    df = spark.createDataFrame(odd + [(ids[i], None, "s", None, t) for i, t in enumerate(sorted(texts) * 2)], "doc_id long, doc_key string, source string, title string, text string")
     own = {r.whole: r.core for r in truncation.trimmed(df).collect()}
     cores = set(own.values())
     want = {c for c in cores if any(o != c and o.startswith(c) and truncation.goes_on(c, o[len(c)]) for o in cores)}
     got = in_partitions(spark, partitions, lambda: Counter(r.doc_id for r in truncation.endings(df, hot_rows=20).where("how = 'prefix'").collect()))
     sure = {"sign", "word"}
     every = {i for i, t in enumerate(sorted(texts) * 2) if own[t] in want and truncation.ending(t, None) not in sure}
-    assert hidden in want and set(got) == every and set(got.values()) == {1}
+    counted = Counter(ids[i] for i in every)
+    assert hidden in want and got == counted
