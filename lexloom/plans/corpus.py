@@ -95,7 +95,7 @@ def clean_titles(spark: SparkSession, folder: str) -> DataFrame:
 
 def embedding_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks in batches of at most a hundred texts and 150,000 characters, shard by shard."""
-    rows = table(spark, folder, "chunks").where(F.length("text") >= 40).select(F.pmod(F.xxhash64("id"), F.lit(64)).alias("shard"), "id", F.length("text").alias("n"))
+    rows = table(spark, folder, "chunks").where(F.length("text") >= 40).select((F.conv(F.substring(F.md5("id"), 1, 2), 16, 10).cast("long") % 64).alias("shard"), "id", F.length("text").alias("n"))
 
     def gather(frames):
         last, batch, size, count = None, 0, 0, 0
@@ -313,6 +313,12 @@ _SHORT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(rege
 _PARTIES = r"'^(.*?) v\. (.*?), ([A-Z][A-Z-]*-\d+-\d{4})\.?$'"
 
 ORACLE: dict[str, str] = {
+    "embedding_batches": """
+WITH RECURSIVE s AS (SELECT CAST('0x' || md5(id)[1:2] AS BIGINT) % 64 AS shard, id, CAST(length(text) AS BIGINT) AS size FROM chunks WHERE length(text) >= 40),
+o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY id) AS n FROM s),
+w AS (SELECT shard, n, size, CAST(0 AS BIGINT) AS batch, size AS held, CAST(1 AS BIGINT) AS texts FROM o WHERE n = 1
+  UNION ALL SELECT o.shard, o.n, o.size, CASE WHEN w.texts = 100 OR w.held + o.size > 150000 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.texts = 100 OR w.held + o.size > 150000 THEN o.size ELSE w.held + o.size END, CASE WHEN w.texts = 100 OR w.held + o.size > 150000 THEN 1 ELSE w.texts + 1 END FROM w JOIN o ON o.shard = w.shard AND o.n = w.n + 1)
+SELECT shard, CAST(batch AS INT) AS batch, count(*) AS texts, sum(size) AS characters FROM w GROUP BY shard, batch""",
     "names_as_of": r"""
 WITH c AS (SELECT DISTINCT c.doc_key, lower(n) AS name, d.doc_year AS y FROM (SELECT doc_key, unnest(regexp_extract_all(text, 'of the ([A-Z][a-z]+ [A-Z][a-z]+ (?:Act|Ordinance))', 1)) AS n FROM chunks WHERE text IS NOT NULL) c JOIN docs d ON d.doc_key = c.doc_key AND d.doc_year IS NOT NULL),
 k AS (SELECT lower(regexp_extract(title, '^([A-Z][a-z]+ [A-Z][a-z]+ (?:Act|Ordinance))', 1)) AS name, doc_key AS law, coalesce(doc_year, 0) AS year FROM docs)

@@ -109,6 +109,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "cited_names": r"""
+WITH k AS (SELECT lower(regexp_extract(title, '^(?:The )?(.*?(?:Act|Law|Ordinance))\b', 1)) AS name, doc_key FROM docs WHERE title IS NOT NULL),
+u AS (SELECT name, min(doc_key) AS doc_key FROM k WHERE name <> '' GROUP BY name HAVING min(doc_key) = max(doc_key)),
+p AS (SELECT DISTINCT id, words, string_split_regex(lower(words), '\s+') AS w FROM (SELECT id, unnest(regexp_extract_all(text, '(?:[A-Za-z()]+ ){1,8}(?:Act|Ordinance)')) AS words FROM chunks)),
+e AS (SELECT id, words, unnest(list_transform(range(1, least(len(w), 12) + 1), lambda n: array_to_string(w[len(w) - n + 1:], ' '))) AS name FROM p)
+SELECT id, words, arg_max(u.doc_key, length(e.name)) AS doc_key FROM e JOIN u ON u.name = e.name GROUP BY id, words""",
     "paragraphs_joined": """
 WITH t AS (SELECT id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM chunks WHERE text IS NOT NULL), l AS (SELECT * FROM t WHERE trim(line) <> ''),
 m AS (SELECT *, lag(line) OVER (PARTITION BY id ORDER BY n) AS b FROM l),
