@@ -52,6 +52,13 @@ def edit_operations(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("chunk", F.col("labels")[0].alias("label"), F.explode("ops").alias("o")).select("chunk", "label", "o.op", "o.old", "o.new")
 
 
+def powers_used(spark: SparkSession, folder: str) -> DataFrame:
+    """The sections under which texts say that something was made."""
+    chunks = table(spark, folder, "chunks").where("doc_key not like 'ca:%' and doc_key not like 'sc:%'")
+    found = mentions(chunks).where("relation = 'made_under' and via = 'power' and size(labels) = 1 and dst_doc like 'name:%'")
+    return found.select("chunk", F.col("labels")[0].alias("label"), F.substring("dst_doc", 6, 500).alias("law"))
+
+
 def amended_sections(spark: SparkSession, folder: str) -> DataFrame:
     """The sections that the text itself says are amended, by the words of its formula alone."""
     found = F.regexp_extract_all("text", F.lit(r"Section (\d+[A-Z]?) of the ([A-Z][a-z]+ [A-Z][a-z]+ Act) is amended"), F.lit(0))
@@ -297,7 +304,7 @@ _sets, _sets_sql = both("""
 """)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "split_long_pieces": split_long_pieces, "pages_chunks": pages_chunks, "tree_units": build_units, "paragraph_kinds": paragraph_kinds, "failure_budget": failure_budget, "clean_titles": clean_titles, "embedding_batches": embedding_batches, "edit_operations": edit_operations, "mention_rows": mention_rows, "amended_sections": amended_sections, "citing_majority": citing_majority,
+    "split_long_pieces": split_long_pieces, "pages_chunks": pages_chunks, "tree_units": build_units, "paragraph_kinds": paragraph_kinds, "failure_budget": failure_budget, "clean_titles": clean_titles, "embedding_batches": embedding_batches, "edit_operations": edit_operations, "powers_used": powers_used, "mention_rows": mention_rows, "amended_sections": amended_sections, "citing_majority": citing_majority,
     "unique_names": unique_names, "equal_titles": equal_titles, "commencements": commencements, "html_to_text": html_text, "script_share": script_shares, "display_titles": titles, "natural_labels": natural_labels, "roman_numbers": roman_numbers, "chunk_ids": chunk_ids,
     "text_hash_check": text_hashes, "doc_fingerprint": doc_fingerprint, "bag_diff": bag_diff, "lost_gained_labels": lost_gained_labels, "label_gaps": label_gaps, "run_diff": run_diff, "gate_summary": gate_summary,
     "review_list": review_list, "gold_precision_recall": gold_scores, "release_plan": release_plan, "embedding_changes": embedding_changes, "work_plan": work_plan, "text_parts": text_parts, "names_as_of": names_as_of, "office_diff": office_diff,
@@ -313,6 +320,9 @@ _SHORT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(rege
 _PARTIES = r"'^(.*?) v\. (.*?), ([A-Z][A-Z-]*-\d+-\d{4})\.?$'"
 
 ORACLE: dict[str, str] = {
+    "powers_used": r"""
+WITH f AS (SELECT id, unnest(regexp_extract_all(text, '\b(?:made|issued|published|prescribed|framed)\s+under\s+(?:the\s+)?[Ss]ections?\s+\d{1,4}[A-Z]{0,2}\s*,?\s*(?:of|to|in|under)\s+(?:the\s+)?(?:[A-Z][\w’''-]*\s+)(?:(?:[A-Z][\w’''-]*|of|and|for|\([A-Z][\w ]*\))\s+){0,8}?(?:Act|Law|Ordinance)\b')) AS t FROM chunks WHERE NOT regexp_matches(doc_key, '^(ca|sc):'))
+SELECT id AS chunk, regexp_extract(t, 'ections?\s+(\d{1,4}[A-Z]{0,2})', 1) AS label, regexp_replace(lower(regexp_extract(t, '(?s)^.*?\d[A-Z]{0,2}\s*,?\s*(?:of|to|in|under)\s+(?:the\s+)?([A-Z].*)$', 1)), '\s+', ' ', 'g') AS law FROM f""",
     "embedding_batches": """
 WITH RECURSIVE s AS (SELECT CAST('0x' || md5(id)[1:2] AS BIGINT) % 64 AS shard, id, CAST(length(text) AS BIGINT) AS size FROM chunks WHERE length(text) >= 40),
 o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY id) AS n FROM s),
