@@ -28,6 +28,8 @@ WORDS, BLOCK = 13, 7
 PLAIN_WORDS, PLAIN_BLOCK = 8, 2
 #: Windows of items up to this number are sent to every task (16 bytes each before hashing); more are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
+#: Windows that are hashed at once, which bounds what a very long text takes.
+PART = 100_000
 #: Words for units.
 UNITS = frozenset("rs rupees rupee cents ha hectares hectare acres acre perches metres metre km kilometres feet days day weeks week months month years year percent".split())
 #: How windows are read: word by word, with numbers and units as placeholders, with names too.
@@ -159,23 +161,19 @@ def _places(bounds: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.nd
     return owner, bounds[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
 
 
-def _rows(id_: pa.Array, texts: list[str], size: int, step: int, least: int, hows: tuple[int, ...]) -> pa.RecordBatch:
-    """(id, how, hash) of the windows of a batch of texts; those with names only where they have placeholders."""
+def _rows(id_: pa.Array, texts: list[str], size: int, step: int, least: int, hows: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """(id, how, hash) of the windows of some texts, a part at a time; those with names only where they have placeholders."""
     plain, named = readings(texts)
-    owners, kinds, hashes = [], [], []
     for how in hows:
         read = named if how == NAMED else plain
-        owner, at = _places(read.bounds, size, step)
-        if not len(at):
-            continue
-        hashed, typed = windows(read, at, size, least, how)
-        if how == NAMED or how == TYPED and size == WORDS:
-            owner, hashed = owner[typed], hashed[typed]
-        owners.append(owner)
-        hashes.append(hashed.view(np.int64))
-        kinds.append(np.full(len(owner), how, dtype=np.int8))
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
-    return pa.RecordBatch.from_arrays([id_.take(pa.array(join(owners, np.int64))), pa.array(join(kinds, np.int8)).cast(pa.int32()), pa.array(join(hashes, np.int64))], names=["id", "how", "hash"])
+        owners, places = _places(read.bounds, size, step)
+        for start in range(0, len(places), PART):
+            owner, at = owners[start : start + PART], places[start : start + PART]
+            hashed, typed = windows(read, at, size, least, how)
+            if how == NAMED or how == TYPED and size == WORDS:
+                owner, hashed = owner[typed], hashed[typed]
+            kinds = np.full(len(owner), how, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([id_.take(pa.array(owner)), pa.array(kinds), pa.array(hashed.view(np.int64))], names=["id", "how", "hash"])
 
 
 def _windows_of(df: DataFrame, id_: str, text: str, size: int, step: int, least: int, hows: tuple[int, ...]) -> DataFrame:
@@ -187,7 +185,7 @@ def _windows_of(df: DataFrame, id_: str, text: str, size: int, step: int, least:
                 characters += len(t)
                 # Some texts at once, but not so many that their windows fill the worker.
                 if characters > 400_000 or i == len(texts) - 1:
-                    yield _rows(batch.column(0).slice(start, i + 1 - start), texts[start : i + 1], size, step, least, hows)
+                    yield from _rows(batch.column(0).slice(start, i + 1 - start), texts[start : i + 1], size, step, least, hows)
                     start, characters = i + 1, 0
 
     rows = df.where(F.col(id_).isNotNull() & F.col(text).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text"))
