@@ -88,22 +88,25 @@ def truth_discovery(said: DataFrame, rounds: int = 10, enough: float = 1e-3) ->
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("source")).cast("int") if names else F.lit(0)
     whole = said.where("doc_key is not null and field is not null and value is not null and source is not null")
     values = cut(whole.groupBy("doc_key", "field", "value").agg(F.collect_set(place).alias("by")))
+    # Only values with a rival tell of sources; they are picked out once, and the rounds go over them alone.
+    rivals = values.groupBy("doc_key", "field").agg(F.count("*").alias("rivals")).where("rivals > 1").select("doc_key", "field")
+    contested = cut(values.join(rivals, ["doc_key", "field"], "left_semi"))
     reliability = [0.8] * len(names)
 
-    def supported() -> DataFrame:
+    def supported(values: DataFrame) -> DataFrame:
         odds = F.array(*[F.lit(max(0.01, math.log(r / (1 - r)))) for r in reliability]) if names else F.array().cast("array<double>")
         # The sources in their order, so that a sum is the same whatever the order of rows.
         return values.withColumn("support", F.aggregate(F.array_sort("by"), F.lit(0.0), lambda total, i: total + F.element_at(odds, i)))
 
     for _ in range(rounds if names else 0):
-        best = supported().groupBy("doc_key", "field").agg(
-            F.max(F.struct("support", "value", "by")).alias("best"), F.min(F.struct((-F.col("support")).alias("s"), F.col("value"))).alias("same"), F.count("*").alias("rivals"),
+        best = supported(contested).groupBy("doc_key", "field").agg(
+            F.max(F.struct("support", "value", "by")).alias("best"), F.min(F.struct((-F.col("support")).alias("s"), F.col("value"))).alias("same"),
             *[F.count(F.when(F.array_contains("by", i), 1)).alias(f"n{i}") for i in range(1, len(names) + 1)])
-        told = best.where("rivals > 1 and best.value = same.value").agg(*[f(i) for i in range(1, len(names) + 1) for f in (lambda i: F.sum(f"n{i}").alias(f"n{i}"), lambda i: F.count(F.when(F.array_contains("best.by", i), 1)).alias(f"r{i}"))]).first()
+        told = best.where("best.value = same.value").agg(*[f(i) for i in range(1, len(names) + 1) for f in (lambda i: F.sum(f"n{i}").alias(f"n{i}"), lambda i: F.count(F.when(F.array_contains("best.by", i), 1)).alias(f"r{i}"))]).first()
         after = [min(0.99, (told[f"r{i}"] + 4) / (told[f"n{i}"] + 5)) if told[f"n{i}"] else r for i, r in enumerate(reliability, 1)]
         moved = max(abs(x - y) for x, y in zip(after, reliability, strict=True))
         reliability = after
         if moved <= enough:
             break
-    best = supported().groupBy("doc_key", "field").agg(F.max(F.struct("support", "value")).alias("best"))
+    best = supported(values).groupBy("doc_key", "field").agg(F.max(F.struct("support", "value")).alias("best"))
     return best.select("doc_key", "field", "best.value", "best.support"), spark.createDataFrame(list(zip(names, reliability, strict=True)), "source string, reliability double")
