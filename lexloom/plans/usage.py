@@ -93,12 +93,23 @@ def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return u.sessions(table(spark, folder, "events").where("ts is not null"), "user_id", "ts", "6 hours").select("user_id", "session", "start", "end", "events")
 
 
+def members(spark: SparkSession, folder: str) -> DataFrame:
+    """Each nation with its customers and suppliers, counted apart: a join of both holds every customer with every supplier of the nation."""
+    customers = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.count_distinct("c_custkey").alias("customers"), F.max("c_acctbal").alias("best"), F.min("c_mktsegment").alias("first"), F.max("c_mktsegment").alias("last"))
+    suppliers = table(spark, folder, "supplier").groupBy("s_nationkey").agg(F.count_distinct("s_suppkey").alias("suppliers"))
+    nations = table(spark, folder, "nation").select("n_name", "n_nationkey").distinct()
+    joined = nations.join(customers, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(suppliers, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    return joined.select(
+        "n_name", "n_nationkey", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"), F.round("best", 2).alias("best"),
+        F.when(F.col("first") < F.col("last"), F.col("last")).otherwise("one").alias("segment"))
+
+
 _recon, _recon_sql = both("""
 WITH a AS (SELECT CAST(ts AS DATE) AS day, count(*) AS ours FROM {events} WHERE event_type <> 'error' GROUP BY CAST(ts AS DATE)),
 b AS (SELECT CAST(ts AS DATE) AS day, count(*) AS theirs FROM {events} WHERE event_id % 10 <> 0 GROUP BY CAST(ts AS DATE))
 SELECT coalesce(a.day, b.day) AS day, coalesce(ours, 0) AS ours, coalesce(theirs, 0) AS theirs, coalesce(ours, 0) - coalesce(theirs, 0) AS difference FROM a FULL OUTER JOIN b ON a.day = b.day
 """)
-_members, _members_sql = both("""
+_, _members_sql = both("""
 SELECT n.n_name, n.n_nationkey, count(DISTINCT c.c_custkey) AS customers, count(DISTINCT s.s_suppkey) AS suppliers, round(max(c.c_acctbal), 2) AS best,
   CASE WHEN min(c.c_mktsegment) < max(c.c_mktsegment) THEN max(c.c_mktsegment) ELSE 'one' END AS segment
 FROM {nation} n LEFT JOIN {customer} c ON c.c_nationkey = n.n_nationkey LEFT JOIN {supplier} s ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name, n.n_nationkey
@@ -126,7 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "limits_reached": limits_reached,
     "user_sessions": user_sessions,
     "reconciliation": _recon,
-    "members": _members,
+    "members": members,
     "unattributed": _unattributed,
     "top_spenders": _top_spenders,
     "spend_by_customer": _orders_spend,
